@@ -39,12 +39,55 @@ def op4_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def _id_crc(column: str = "doc_id"):
+    """crc32 of the id as text; that of the empty string for a null id."""
+    return F.crc32(F.encode(F.coalesce(F.col(column).cast("string"), F.lit("")), "UTF-8"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    held = (_id_crc() % 3) == 1
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held)
+    return identify(docs, allowed=~F.col("held_out"), keep=["doc_id", "held_out"]).select("doc_id", "held_out", "lang_pred", "score", "entropy", "rejected")
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secretscan import KINDS, joined_spans, scan_secrets
+
+    found = scan_secrets(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    count = lambda k: F.size(F.filter("secrets", lambda s: s["kind"] == k)).cast("long")
+    base = F.filter("secrets", lambda s: s["kind"] < KINDS.index("live"))
+    return found.select(
+        "doc_id",
+        count(0).alias("n_assign"),
+        count(1).alias("n_access"),
+        count(2).alias("n_hex"),
+        F.sha2(joined_spans(base), 256).alias("base_sha256"),
+        joined_spans(F.col("secrets")).alias("spans"),
+        count(3).alias("n_live"),
+    )
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import rate
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return rate(docs, labels, keep=["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
 def op8_orc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .orcids import encode_to_orc, with_crc
 
     return with_crc(encode_to_orc(table(spark, sf_dir, "documents"), end_id=0)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lmscore import score
+
+    return score(table(spark, sf_dir, "documents"), held_out=(_id_crc() % 10) == 0)
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import format_conversations, parse
 
@@ -75,7 +118,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontaminate, op2_pack, op4_shard, op8_orc_ids, op10_chat)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_pack, op4_shard, op5_language_id, op6_secrets, op7_quality, op8_orc_ids, op9_lm_score, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
