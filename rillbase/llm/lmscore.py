@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, materialize, utf8
+from .counting import hash_parts, hash_ranges, most_frequent, summed
 from .gru import GRU
 from .textvec import LOWER, SPACES, span_hashes, words
 
@@ -44,93 +45,13 @@ def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return (np.concatenate(hashes), np.concatenate(counts)) if hashes else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-def _parts(spark) -> int:
-    """Hash ranges: a power of two, about twice the shuffle partitions."""
-    return 1 << max(3, int(2 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length())
-
-
-def _ranges(sorted_hashes: np.ndarray, parts: int) -> np.ndarray:
-    return np.searchsorted(sorted_hashes, np.arange(parts, dtype=np.uint64) << np.uint64(65 - int(parts).bit_length())).tolist() + [len(sorted_hashes)]
-
-
-def _sum(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, n = keys[order], n[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], (np.add.reduceat(n, first) if len(first) else n)
-
-
 def word_counts(docs: DataFrame, text: str, training: Column) -> DataFrame:
     """p, keys and counts (binary, ascending keys) of all training documents."""
-    parts = _parts(docs.sparkSession)
-    schema = "p int, keys binary, counts binary"
-
-    def blobs(keys, n):
-        at = _ranges(keys, parts)
-        some = [p for p in range(parts) if at[p + 1] > at[p]]
-        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([keys[at[p] : at[p + 1]].tobytes() for p in some], pa.binary()), pa.array([n[at[p] : at[p + 1]].tobytes() for p in some], pa.binary())], ["p", "keys", "counts"])
-
-    def count(batches):
-        keys, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for b in batches:
-            got, m = np.unique(tokens_of(*utf8(b.column(0)))[0], return_counts=True)
-            keys, n = _sum(np.concatenate([keys, got]), np.concatenate([n, m]))
-            if len(keys) > 4_000_000:
-                yield blobs(keys, n)
-                keys, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        if len(keys):
-            yield blobs(keys, n)
-
-    def add(batches):
-        found: dict[int, list] = {}
-        for b in batches:
-            for p, k, n in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                found.setdefault(p, []).append((np.frombuffer(k, np.uint64), np.frombuffer(n, np.int64)))
-        for p, x in found.items():
-            keys, n = _sum(np.concatenate([k for k, _ in x]), np.concatenate([n for _, n in x]))
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([keys.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], ["p", "keys", "counts"])
-
-    return docs.where(training).select(text).mapInArrow(count, schema).repartition("p").mapInArrow(add, schema)
-
-
-def _each(batches):
-    for b in batches:
-        for k, n in zip(b.column("keys").to_pylist(), b.column("counts").to_pylist(), strict=True):
-            yield np.frombuffer(k, np.uint64), np.frombuffer(n, np.int64)
-
-
-def head_words(counts: DataFrame, head: int) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """The most frequent words (at most ``head``, by ascending hash), their counts, N and V."""
-
-    def summary(batches):
-        out = np.zeros((512, 2), np.int64)
-        for _, n in _each(batches):
-            b = np.floor(8 * np.log2(n)).astype(np.int64)
-            out[:, 0] += np.bincount(b, minlength=512)
-            out[:, 1] += np.bincount(b, n, minlength=512).astype(np.int64)
-        some = np.flatnonzero(out[:, 0])
-        if len(some):
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(out[some, 0]), pa.array(out[some, 1])], ["b", "v", "n"])
-
-    table = {r.b: (r.v, r.n) for r in counts.mapInArrow(summary, "b long, v long, n long").groupBy("b").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).collect()}
-    total_n, total_v = sum(n for _, n in table.values()), sum(v for v, _ in table.values())
-    least, taken = 512, 0
-    for b in sorted(table, reverse=True):
-        if taken + table[b][0] > head:
-            break
-        taken, least = taken + table[b][0], b
 
-    def frequent(batches):
-        for k, n in _each(batches):
-            mask = np.floor(8 * np.log2(n)) >= least
-            if mask.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k[mask].tobytes()], pa.binary()), pa.array([n[mask].tobytes()], pa.binary())], ["k", "n"])
+    def each(batch):
+        return np.unique(tokens_of(*utf8(batch.column(0)))[0], return_counts=True)
 
-    rows = counts.mapInArrow(frequent, "k binary, n binary").collect()
-    keys = np.concatenate([np.frombuffer(r.k, np.uint64) for r in rows] or [np.zeros(0, np.uint64)])
-    n = np.concatenate([np.frombuffer(r.n, np.int64) for r in rows] or [np.zeros(0, np.int64)])
-    order = np.argsort(keys)
-    return keys[order], n[order], total_n, total_v
+    return summed(docs.where(training).select(text), each)
 
 
 class Head:
@@ -226,7 +147,7 @@ def _score_units(docs: DataFrame, doc_id: str, text: str, held: Column, head, ne
                 first = np.flatnonzero(np.concatenate([[True], (rare[1:] != rare[:-1]) | (mine[1:] != mine[:-1])]))
                 times = np.diff(np.append(first, len(rare))).astype(np.int32)
                 rare, mine = rare[first], mine[first].astype(np.int32)
-                edge = _ranges(rare, parts)
+                edge = hash_ranges(rare, parts)
                 some = [p for p in range(parts) if edge[p + 1] > edge[p]]
                 blob = lambda x: pa.array([x[edge[p] : edge[p + 1]].tobytes() for p in some], pa.binary())
                 k = len(some)
@@ -299,13 +220,13 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out:
     spark = docs.sparkSession
     held = F.lit(False) if held_out is None else held_out
     counts = materialize(word_counts(docs, text, ~held), "word-counts")
-    keys, n, total, distinct = head_words(counts, head)
+    keys, n, total, distinct = most_frequent(counts, head)
     table = Head(keys, n, CLASSES * WIDTH)
     shared = spark.sparkContext.broadcast(table)  # at most `head` words
     network = spark.sparkContext.broadcast(fit_network(docs, doc_id, text, ~held, shared, sample_docs, sample_tokens) if total else None)
     inside = table.ids > 0
     others = float(total - n[inside].sum() + 0.1 * (distinct - inside.sum() + 1))
-    units = materialize(_score_units(docs, doc_id, text, held.alias("held_out"), shared, network, _parts(spark)), "scored-units")
+    units = materialize(_score_units(docs, doc_id, text, held.alias("held_out"), shared, network, hash_parts(spark)), "scored-units")
     rare = _rare_sums(units, counts)
     rows = units.where("p is null").join(rare, ["unit", "idx"], "left").fillna(0, ["rare_sum", "rare_known"])
     base = F.col("head_sum") + F.col("rare_sum") - F.col("n_tokens") * float(np.log10(total + 0.1 * (distinct + 1)))

@@ -32,6 +32,12 @@ def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op3_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .nearjoin import near_components
+
+    return near_components(table(spark, sf_dir, "documents"), k=5, percent=75)
+
+
 def op4_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard
 
@@ -118,7 +124,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontaminate, op2_pack, op4_shard, op5_language_id, op6_secrets, op7_quality, op8_orc_ids, op9_lm_score, op10_chat)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_pack, op3_near_join, op4_shard, op5_language_id, op6_secrets, op7_quality, op8_orc_ids, op9_lm_score, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
