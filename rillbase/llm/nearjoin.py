@@ -262,3 +262,15 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     of_text = labelled.join(least, "component").select("th", "th2", "component_id")
     linked = rows.where("n > 0").join(of_text, ["th", "th2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return linked.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of docs with one of each group of linked rows: that with the smallest id (nulls last), then the first.
+
+    Rows without words belong to no group and stay.
+    """
+    numbered = materialize(docs.withColumn("near_row", F.monotonically_increasing_id()), "near-rows")
+    key = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), "near_row")
+    found = near_components(numbered.select(key.alias("key"), F.col(text).alias("text")), "key", "text", k, percent)
+    kept = found.where((F.col("n_shingles") == 0) | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id.near_row").alias("near_row"))
+    return numbered.join(kept, "near_row").select(*docs.columns)

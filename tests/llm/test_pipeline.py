@@ -1,0 +1,53 @@
+import re
+from collections import Counter
+
+import pytest
+from test_decontaminate_shard_chat import brute as brute_hits
+from test_near_join import brute as brute_near
+from test_tokens_packing_orc import check_packed
+
+corpus_pipeline = pytest.importorskip("corpus_pipeline")
+
+
+def rows(df):
+    return [tuple(r) for r in df.select("doc_id", "text", "lang", "source", "n_chars").collect()]
+
+
+def test_stages(spark, sf, tmp_path):
+    docs, at = spark.read.parquet(f"{sf}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        if name != "packing":
+            made = stage(spark, docs, sf)
+            assert made.schema.names == ["doc_id", "text", "lang", "source", "n_chars"]
+            made.write.parquet(f"{tmp_path}/{name}")
+            at[name] = (rows(docs), rows(spark.read.parquet(f"{tmp_path}/{name}")))
+            docs = spark.read.parquet(f"{tmp_path}/{name}")
+        else:
+            check_packed(stage(spark, docs, sf).collect(), [r[:2] for r in rows(docs)], 1024)
+    before, after = at["language"]
+    assert Counter(after) <= Counter(before) and len(after) >= 0.98 * len(before)
+    before, after = at["near_copies"]
+    assert {r[0] for r in after} == {d for d, n, c in brute_near([r[:2] for r in before]) if not n or d == c} and len(after) < len(before)
+    before, after = at["benchmark"]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    assert {r[0] for r in after} == {h[0] for h in brute_hits([r[:2] for r in before], items) if not h[2]} and len(after) < len(before)
+    before, after = at["secrets"]
+    assert sorted(r[0] for r in before) == sorted(r[0] for r in after)
+    old = {r[0]: r[1] for r in before}
+    for d, text, _, _, n in after:
+        assert n == len(text)
+        assert re.fullmatch("(?s:.*)".join(map(re.escape, text.split("[secret]"))), old[d])
+
+
+def test_odd_rows(spark, tmp_path):
+    odd = [(1, None, "en", "a", None), (None, "a text without an id and with a few more words", "en", "a", 3), (3, "", None, None, 0), (4, "words of a text in a language " * 40, "en", "b", 9), (4, "words of a text in a language " * 40, "en", "b", 9), (5, "token = abcdef0123456789 and the words of a text", "en", "c", 1)]
+    spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in got) == {None: 1, 4: 1, 5: 1}
+
+
+def test_empty(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
