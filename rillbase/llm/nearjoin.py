@@ -2,10 +2,12 @@
 
 Exact, in four steps.
 
-1. Cells. Shingles get a fixed order: those found often (a bounded list) last, by frequency, the others by
-   hash. Two linked documents share one of the first n - ceil(percent n / 100) + 1 shingles of each, so a cell
-   is a connected component of documents over those shingles; no link crosses cells. A shingle's documents
-   are tied to one of them, first within a task and then over all, so a common shingle sends one row per task.
+1. Cells. A document of which more than n - ceil(percent n / 100) shingles are in no other document is
+   linked with none; this settles most documents from a hash sample of their shingles, in one pass. The others'
+   shingles are ordered by their number of documents (its exponent), then by hash. Two linked documents share
+   one of the first n - ceil(percent n / 100) + 1 shingles of each, so a cell is a connected component of
+   documents over those; no link crosses cells. A shingle's documents are tied to one of them, first within a
+   unit and then over all, so a common shingle sends one entry per unit.
 2. In a cell, a packed R-tree over count vectors (how many shingles fall in each of ``groups`` hash groups)
    bounds the overlap of two documents, or two nodes, by the sum of coordinate-wise minima; pairs and nodes
    that can't reach the needed overlap are cut.
@@ -21,8 +23,8 @@ are linked with nothing, not with each other; a document of fewer words than ``k
 as one shingle; a null id never becomes a component's id unless all ids in it are null; repeated rows are
 rows of their own; an empty table gives no rows.
 
-Scale: per document about a quarter of its shingles is shuffled, 16 bytes each, packed in few rows; texts
-are shuffled once, one of each set of copies, and those in cells once more.
+Scale: a sample of the shingles is shuffled, 6 bytes each, packed in few rows; texts are shuffled once, one of
+each set of copies, and only those of unsettled documents again.
 """
 
 from __future__ import annotations
@@ -36,12 +38,18 @@ from pyspark.sql import functions as F
 
 from .common import chunks, materialize, read_scratch, utf8, write_scratch
 from .components import connected_components
-from .counting import hash_parts, hash_ranges, most_frequent, summed
+from .counting import hash_parts
 from .rtree import links
 from .textvec import LOWER, SPACES, shingle_hashes, span_hashes, words
 
 #: A cell of more nodes or bytes is cut into blocks of about this many nodes.
 BLOCK_NODES, BLOCK_BYTES = 400, 16 << 20
+#: Of 256 shingles so many, by hash, are looked at to settle documents.
+SAMPLED = np.uint64(104)
+#: The document number that stands for several; so many documents a unit has at most.
+SHARED = 65535
+#: Text bytes of a unit of unsettled documents.
+UNIT_BYTES = 4 << 20
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
@@ -58,39 +66,152 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarr
     return out
 
 
-class Frequent:
-    """Frequent shingles and the exponent of their number of documents."""
+def takes(n, percent: int):
+    """How many first shingles of a set of n hold one that any linked set shares."""
+    return n - -(-percent * n // 100) + 1
 
-    def __init__(self, keys: np.ndarray, n: np.ndarray):
-        self.keys, self.level = keys, np.floor(np.log2(np.maximum(n, 1))).astype(np.int8) + np.int8(1)
 
-    def first(self, shingles: np.ndarray, percent: int) -> np.ndarray:
-        """The shingles of a set of which a linked set shares one."""
-        take = len(shingles) - -(-percent * len(shingles) // 100) + 1
-        if not len(self.keys):
-            return shingles[:take]
-        at = np.minimum(np.searchsorted(self.keys, shingles), len(self.keys) - 1)
-        level = np.where(self.keys[at] == shingles, self.level[at], 0)
-        rare = shingles[level == 0]
-        return rare[:take] if len(rare) >= take else shingles[np.argsort(level, kind="stable")[:take]]
+def short_keys(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """The hash range and the next 32 bits; equal shingles have equal keys, and different ones may."""
+    return hashes >> np.uint64(33 - parts.bit_length())
 
 
-def _once(batch: pa.RecordBatch, column: int, text: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text hash, bytes and offsets of the batch's distinct texts."""
-    th = np.asarray(batch.column(column))
-    th, at = np.unique(th, return_index=True)
-    return th, *utf8(batch.column(text).take(pa.array(at)))
+def _cut(keys: np.ndarray, parts: int) -> tuple[list[int], list[int]]:
+    """Ranges that ascending keys fall in, and the edges of all ranges."""
+    edge = np.searchsorted(keys, np.arange(parts + 1, dtype=np.uint64) << np.uint64(32)).tolist()
+    return [p for p in range(parts) if edge[p + 1] > edge[p]], edge
 
 
-def frequent_shingles(texts: DataFrame, k: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    def each(batch):
-        _, data, offsets = _once(batch, 0, 1)
-        sets = shingle_sets(data, offsets, k)
-        return np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_counts=True)
+def _low(keys: np.ndarray) -> np.ndarray:
+    return (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
-    counts = materialize(summed(texts.select("th", "text"), each, least=2), "shingle-counts")
-    keys, n, _, _ = most_frequent(counts, most)
-    return keys, n
+
+def shingled(texts: DataFrame, k: int, parts: int) -> DataFrame:
+    """Rows of documents (doc_id, th, th2, n, unit, idx) and of their sampled shingles by hash range (p, unit, keys, docs).
+
+    A unit is a batch of documents, idx a distinct text in it. Of the shingles the ``SAMPLED`` share by hash is
+    sent; one that several texts of the unit hold is sent once, for document SHARED.
+    """
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField("doc_id", texts.schema["doc_id"].dataType), *T.StructType.fromDDL("th long, th2 long, n long, unit long, idx int, p int, keys binary, docs binary").fields])
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        unit = TaskContext.get().partitionId() << 20
+        for batch in batches:
+            for b in (batch.slice(i, SHARED) for i in range(0, batch.num_rows, SHARED)):
+                th, at, inverse = np.unique(np.asarray(b.column(1)), return_index=True, return_inverse=True)
+                sets = shingle_sets(*utf8(b.column(3).take(pa.array(at))), k)
+                n = np.array([len(s) for s in sets], np.int64)
+                rows, binary = b.num_rows, pa.binary()
+                nulls = [pa.nulls(rows, t) for t in (pa.int32(), binary, binary)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(n[inverse]), pa.array(np.full(rows, unit)), pa.array(inverse.astype(np.int32)), *nulls], schema.names)
+                every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+                chosen = (every & np.uint64(255)) < SAMPLED
+                key, owner = short_keys(every[chosen], parts), owner[chosen]
+                order = np.argsort(key, kind="stable")
+                key, owner = key[order], owner[order]
+                first = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
+                many = np.diff(np.append(np.flatnonzero(first), len(key))) > 1
+                key, owner = key[first], np.where(many, SHARED, owner[first]).astype(np.uint16)
+                some, edge = _cut(key, parts)
+                blob = lambda x: pa.array([x[edge[p] : edge[p + 1]].tobytes() for p in some], binary)
+                m = len(some)
+                nulls = [pa.nulls(m, t) for t in (b.schema.field(0).type, pa.int64(), pa.int64(), pa.int64())]
+                yield pa.RecordBatch.from_arrays([*nulls, pa.array(np.full(m, unit)), pa.nulls(m, pa.int32()), pa.array(some, pa.int32()), blob(_low(key)), blob(owner)], schema.names)
+                unit += 1
+
+    return texts.select("doc_id", "th", "th2", "text").mapInArrow(run, schema)
+
+
+def unique_shingles(sent: DataFrame) -> DataFrame:
+    """unit, idx, m: how many sampled shingles of a document no other document has."""
+
+    def over_all(batches):
+        found: dict[int, list] = {}
+        for b in batches:
+            for p, unit, keys, docs in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                found.setdefault(p, []).append((unit, np.frombuffer(keys, np.uint32), np.frombuffer(docs, np.uint16)))
+        for rows in found.values():
+            keys = np.concatenate([k for _, k, _ in rows])
+            docs = np.concatenate([d for _, _, d in rows]).astype(np.int64)
+            owner = np.repeat(np.arange(len(rows)), [len(k) for _, k, _ in rows])
+            order = np.argsort(keys)
+            keys = keys[order]
+            differ = keys[1:] != keys[:-1]
+            alone = np.concatenate([[True], differ]) & np.concatenate([differ, [True]])
+            mine = order[alone]
+            mine = mine[docs[mine] != SHARED]
+            pair, m = np.unique(owner[mine] << 16 | docs[mine], return_counts=True)
+            edge = np.searchsorted(pair >> 16, np.arange(len(rows) + 1)).tolist()
+            some = [i for i in range(len(rows)) if edge[i + 1] > edge[i]]
+            if some:
+                blob = lambda x: pa.array([x[edge[i] : edge[i + 1]].tobytes() for i in some], pa.binary())  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i in some], pa.int64()), blob((pair & 0xFFFF).astype(np.uint16)), blob(m.astype(np.uint32))], ["unit", "docs", "m"])
+
+    def of_unit(batches):
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for unit, docs, m in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if unit not in total:
+                    total[unit] = np.zeros(SHARED, np.int64)
+                total[unit][np.frombuffer(docs, np.uint16)] += np.frombuffer(m, np.uint32)
+        for unit, x in total.items():
+            idx = np.flatnonzero(x)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(idx), unit)), pa.array(idx, pa.int32()), pa.array(x[idx])], ["unit", "idx", "m"])
+
+    counted = sent.repartition("p").mapInArrow(over_all, "unit long, docs binary, m binary")
+    return counted.repartition("unit").mapInArrow(of_unit, "unit long, idx int, m long")
+
+
+def _of_unit(batches, width: int):
+    """The rows of each unit in turn, from rows sorted by unit."""
+    now, rows = None, []
+    for b in batches:
+        for row in zip(*(b.column(i).to_pylist() for i in range(width)), strict=True):
+            if row[0] != now and rows:
+                yield now, rows
+                rows = []
+            now = row[0]
+            rows.append(row)
+    if rows:
+        yield now, rows
+
+
+def _unit_sets(rows: list, k: int, parts: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+    """Nodes, key sets, distinct keys and their number of documents in a unit; rows: unit, th, text."""
+    node = np.array([r[1] for r in rows], np.int64)
+    sets = [np.unique(short_keys(s, parts)) for s in shingle_sets(*utf8(pa.array([r[2] for r in rows], pa.large_string())), k)]
+    keys, n = np.unique(np.concatenate(sets), return_counts=True)
+    return node, sets, keys, n
+
+
+def levels(units: DataFrame, k: int, parts: int) -> DataFrame:
+    """unit, p, levels: for each of a unit's distinct keys in a range, ascending, the exponent of its number of documents."""
+
+    def ask(batches):
+        for unit, rows in _of_unit(batches, 3):
+            _, _, keys, n = _unit_sets(rows, k, parts)
+            some, edge = _cut(keys, parts)
+            blob = lambda x: pa.array([x[edge[p] : edge[p + 1]].tobytes() for p in some], pa.binary())  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(np.full(len(some), unit)), blob(_low(keys)), blob(n.astype(np.uint32))], ["p", "unit", "keys", "n"])
+
+    def answer(batches):
+        found: dict[int, list] = {}
+        for b in batches:
+            for p, unit, keys, n in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                found.setdefault(p, []).append((unit, np.frombuffer(keys, np.uint32), np.frombuffer(n, np.uint32)))
+        for p, rows in found.items():
+            _, inverse = np.unique(np.concatenate([x for _, x, _ in rows]), return_inverse=True)
+            total = np.bincount(inverse, np.concatenate([n for _, _, n in rows]))
+            level = np.floor(np.log2(total)).astype(np.uint8)[inverse]
+            at = np.concatenate([[0], np.cumsum([len(x) for _, x, _ in rows])]).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array([u for u, _, _ in rows], pa.int64()), pa.array(np.full(len(rows), p, np.int32)), pa.array([level[s:e].tobytes() for s, e in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["unit", "p", "levels"])
+
+    asked = units.repartition("unit").sortWithinPartitions("unit").mapInArrow(ask, "p int, unit long, keys binary, n binary")
+    return asked.repartition("p").mapInArrow(answer, "unit long, p int, levels binary")
 
 
 def _ties(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -104,44 +225,28 @@ def _ties(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return key[first], node[first], pairs[:, 0], pairs[:, 1]
 
 
-def signatures(texts: DataFrame, k: int, percent: int, frequent) -> DataFrame:
-    """Rows of documents (doc_id, th, th2, n), of first shingles by hash range (p, key, node), and of ties (src, dst)."""
-    from pyspark.sql import types as T
-
-    parts = hash_parts(texts.sparkSession)
-    schema = T.StructType([T.StructField("doc_id", texts.schema["doc_id"].dataType), *T.StructType.fromDDL("th long, th2 long, n long, p int, key binary, node binary, src binary, dst binary").fields])
-
-    def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            th, at, inverse = np.unique(np.asarray(b.column(1)), return_index=True, return_inverse=True)
-            sets = shingle_sets(*utf8(b.column(3).take(pa.array(at))), k)
-            n = np.array([len(s) for s in sets], np.int64)
-            rows = b.num_rows
-            blank = lambda m, kinds: [pa.nulls(m, t) for t in kinds]
-            binary = pa.binary()
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(n[inverse]), *blank(rows, [pa.int32(), binary, binary, binary, binary])], schema.names)
-            firsts = [frequent.value.first(s, percent) if len(s) else s for s in sets]
-            key = np.concatenate(firsts)
-            key, node, src, dst = _ties(key, np.repeat(th, [len(f) for f in firsts]))
-            edge = hash_ranges(key, parts)
-            some = [p for p in range(parts) if edge[p + 1] > edge[p]]
-            cut = lambda x: pa.array([x[edge[p] : edge[p + 1]].tobytes() for p in some], binary)
-            m = len(some)
-            yield pa.RecordBatch.from_arrays([*blank(m, [b.schema.field(0).type, pa.int64(), pa.int64(), pa.int64()]), pa.array(some, pa.int32()), cut(key), cut(node), *blank(m, [binary, binary])], schema.names)
-            if len(src):
-                yield pa.RecordBatch.from_arrays([*blank(1, [b.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.int32(), binary, binary]), pa.array([src.tobytes()], binary), pa.array([dst.tobytes()], binary)], schema.names)
-
-    return texts.select("doc_id", "th", "th2", "text").mapInArrow(run, schema)
-
-
 def _edges(src, dst):
     return pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
 
-def cells(signed: DataFrame) -> DataFrame:
-    """th, cell: text hashes tied by a first shingle, directly or by others."""
+def cells(units: DataFrame, k: int, percent: int) -> DataFrame:
+    """th, cell: texts tied by a first shingle, directly or by others; units: unit, th, text."""
+    parts = hash_parts(units.sparkSession)
+    known = levels(units, k, parts).select("unit", F.lit(0).cast("long").alias("th"), F.lit(None).cast("string").alias("text"), "p", "levels")
+    both = units.select("unit", "th", "text", F.lit(-1).alias("p"), F.lit(None).cast("binary").alias("levels")).unionByName(known)
+
+    def first(batches):
+        for _, rows in _of_unit(batches, 5):
+            node, sets, keys, _ = _unit_sets([r for r in rows if r[3] < 0], k, parts)
+            level = np.frombuffer(b"".join(r[4] for r in rows if r[3] >= 0), np.uint8)  # by p, as the keys are
+            firsts = []
+            for s in sets:
+                mine = level[np.searchsorted(keys, s)]
+                firsts.append(s[np.argsort(mine, kind="stable")[: takes(len(s), percent)]])
+            key, least, src, dst = _ties(np.concatenate(firsts), np.repeat(node, [len(f) for f in firsts]))
+            some, edge = _cut(key, parts)
+            blob = lambda x: pa.array([x[edge[p] : edge[p + 1]].tobytes() for p in some], pa.binary())  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([pa.array([*some, None], pa.int32()), pa.concat_arrays([blob(key), pa.array([src.tobytes()], pa.binary())]), pa.concat_arrays([blob(least), pa.array([dst.tobytes()], pa.binary())])], ["p", "a", "b"])
 
     def over_all(batches):
         keys, nodes = [], []
@@ -152,13 +257,14 @@ def cells(signed: DataFrame) -> DataFrame:
             _, _, src, dst = _ties(np.concatenate(keys), np.concatenate(nodes))
             yield _edges(src, dst)
 
-    def in_tasks(batches):
+    def in_units(batches):
         for b in batches:
             for s, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 yield _edges(np.frombuffer(s, np.int64), np.frombuffer(d, np.int64))
 
-    wide = signed.where("p is not null").select("p", "key", "node").repartition("p").mapInArrow(over_all, "src long, dst long")
-    near = signed.where("src is not null").select("src", "dst").mapInArrow(in_tasks, "src long, dst long")
+    signed = materialize(both.repartition("unit").sortWithinPartitions("unit", "p", "th").mapInArrow(first, "p int, a binary, b binary"), "near-signatures")
+    wide = signed.where("p is not null").repartition("p").mapInArrow(over_all, "src long, dst long")
+    near = signed.where("p is null").select("a", "b").mapInArrow(in_units, "src long, dst long")
     return connected_components(wide.unionByName(near)).select(F.col("node").alias("th"), F.col("component").alias("cell"))
 
 
@@ -236,26 +342,33 @@ def large_links(members: DataFrame, k: int, percent: int, groups: int) -> DataFr
     return known.unionByName(solve(left.unionByName(right), k, percent, groups))
 
 
-def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75, groups: int = 64, most_frequent_shingles: int = 1 << 18) -> DataFrame:
+def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75, groups: int = 64) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     spark = docs.sparkSession
+    parts = hash_parts(spark)
     t = F.coalesce(F.col(text), F.lit(""))
     texts = docs.select(F.col(doc_id).alias("doc_id"), t.alias("text"), F.xxhash64(t).alias("th"), F.xxhash64(t, F.lit(1)).alias("th2"))
-    frequent = spark.sparkContext.broadcast(Frequent(*frequent_shingles(texts, k, most_frequent_shingles)))  # a bounded list
-    made = signatures(texts, k, percent, frequent)
-    signed = read_scratch(spark, write_scratch(made, "near-signatures"), made.schema)
-    rows = signed.where("n is not null").select("doc_id", "th", "th2", "n")
-    nodes = rows.where("n > 0").groupBy("th", "th2").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n"))
+    made = shingled(texts, k, parts)
+    made = read_scratch(spark, write_scratch(made, "near-shingles"), made.schema)
+    rows = made.where("n is not null").select("doc_id", "th", "th2", "n", "unit", "idx")
+    alone = unique_shingles(made.where("p is not null").select("p", "unit", "keys", "docs"))
+    take = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    open_rows = rows.where("n > 0").join(alone, ["unit", "idx"], "left").where(F.coalesce("m", F.lit(0)) < take)
+    open_nodes = open_rows.groupBy("th", "th2").agg(F.max("n").alias("n"))
     name = F.concat(F.hex("th"), F.lit("."), F.hex("th2"))
-    inside = materialize(nodes.join(cells(signed), "th").withColumn("node", name), "near-cells")
-    distinct = texts.groupBy("th", "th2").agg(F.first("text").alias("text"))
-    members = inside.join(distinct, ["th", "th2"])
-    size = inside.groupBy("cell").agg(F.count("*").alias("m"), F.sum("n").alias("words"))
-    kept = materialize(members.join(size, "cell").select("cell", "node", "n", "text", ((F.col("m") > BLOCK_NODES) | (F.col("words") * 8 > BLOCK_BYTES)).alias("large")), "near-members")
+    distinct = texts.select("th", "th2", "text").groupBy("th", "th2").agg(F.first("text").alias("text"))
+    open_texts = materialize(open_nodes.join(distinct, ["th", "th2"]).withColumn("node", name).select("node", "th", "n", "text"), "near-open")
+    size = open_texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    units = open_texts.select(F.pmod(F.xxhash64("th", F.lit(2)), F.lit(max(1, size // UNIT_BYTES))).alias("unit"), "th", "text")
+    inside = materialize(cells(units, k, percent), "near-cells")
+    members = open_texts.join(inside, "th")
+    per = members.groupBy("cell").agg(F.count("*").alias("m"), F.sum(F.octet_length("text")).alias("bytes"))
+    kept = materialize(members.join(per, "cell").select("cell", "node", "n", "text", ((F.col("m") > BLOCK_NODES) | (F.col("bytes") > BLOCK_BYTES)).alias("large")), "near-members")
     found = solve(kept.where("not large").select(F.col("cell").cast("string").alias("task"), F.lit(-1).alias("side"), "node", "text"), k, percent, groups)
     if kept.where("large").limit(1).count():
         found = found.unionByName(large_links(kept.where("large").drop("large"), k, percent, groups))
     component = connected_components(found, "a", "b")
+    nodes = rows.where("n > 0").groupBy("th", "th2").agg(F.min("doc_id").alias("first_id"))
     labelled = nodes.withColumn("node", name).join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     labelled = materialize(labelled.select("th", "th2", "first_id", "component"), "near-labels")
     least = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
