@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from rillbase import admin_queries  # noqa: F401  adds its queries to the registry
 from rillbase import queries as Q
 from rillbase.operators.append import python_fold
 

@@ -177,6 +177,25 @@ def test_wal_sources(spark, tmp_path):
     assert spark.read.format("wal").option("from_seq", 40).load(str(tmp_path)).count() == 11
 
 
+def test_command_filter(spark):
+    from rillbase.operators import admin
+
+    log = spark.createDataFrame([(f"c{i}",) for i in range(500)], "command_id string").repartition(3)
+    known = admin.build_filter(log, 1 << 14)
+    asked = spark.createDataFrame([(f"c{i}",) for i in range(500)] + [(f"x{i}",) for i in range(2000)], "command_id string")
+    maybe = {r.command_id for r in admin.maybe_known(asked, "command_id", known).where("maybe").collect()}
+    assert {f"c{i}" for i in range(500)} <= maybe and len(maybe) < 500 + 40
+
+
+def test_liveness(spark):
+    from rillbase.operators import admin
+
+    probes = [("a", t, False, False) for t in (1, 2, 3)] + [("b", 1, False, False), ("b", 2, True, False), ("b", 3, False, False), ("b", 4, False, False)]
+    probes += [("c", t, False, True) for t in (0, 1500, 3000)] + [("d", t, False, True) for t in (0, 2999)] + [("e", 0, False, True), ("e", 1, True, False)]
+    got = admin.liveness(spark.createDataFrame(probes, "node string, at_ms long, answered boolean, refused boolean")).collect()
+    assert {r.node for r in got if r.down} == {"a", "c"}
+
+
 def seats(n, nodes, factor, draining=(), down=()):
     ring = [f"n{i}" for i in range(nodes)]
     slots = {s: Slot(ring[s % nodes], [ring[(s + i) % nodes] for i in range(factor)]) for s in range(n)}
