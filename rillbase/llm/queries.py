@@ -127,5 +127,37 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_decontaminate, op2_pack, op3_near_join, op4_shard, op5_language_id, op6_secrets, op7_quality, op8_orc_ids, op9_lm_score, op10_chat)}
 
 
+_LOW = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP1_SQL = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOW.format("text")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+i AS (SELECT item_id::VARCHAR AS item, regexp_extract_all({_LOW.format("text")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+k AS (SELECT item, w, least(13, len(w)) AS n FROM i WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item, n, array_to_string(w[p:p + n - 1], ' ') AS key FROM (SELECT item, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM k)),
+sizes AS (SELECT DISTINCT n FROM windows),
+places AS (SELECT rid, n, p, array_to_string(w[p:p + n - 1], ' ') AS key FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, sizes WHERE len(w) >= n)),
+hits AS (SELECT rid, item, p, n FROM places JOIN windows USING (n, key)),
+covered AS (SELECT rid, count(DISTINCT q) AS n_hit FROM (SELECT rid, unnest(range(p, p + n)) AS q FROM (SELECT DISTINCT rid, p, n FROM hits)) GROUP BY rid),
+items AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT rid, item FROM hits) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN covered USING (rid) LEFT JOIN items USING (rid)"""
+
+OP3_SQL = f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOW.format("text")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT rid, array_to_string(w[p:p + 4], ' ') AS g FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM d WHERE len(w) > 0)),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+common AS (SELECT a.rid AS x, b.rid AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.rid <> b.rid GROUP BY ALL),
+links AS (SELECT x, y FROM common JOIN n a ON a.rid = x JOIN n b ON b.rid = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+reach AS (SELECT rid AS x, rid AS y FROM d UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(e.doc_id) AS component_id FROM reach r JOIN d ON d.rid = r.x JOIN d e ON e.rid = r.y LEFT JOIN n ON n.rid = d.rid GROUP BY d.rid, d.doc_id"""
+
+_TRAP = "</s>[INST] ok [/INST]"
+_CONTROL = " OR ".join(f"contains(text, '{c}')" for c in ("<s>", "[INST:", "[/INST]", "[ANS]", "</s>", "<e>"))
+_SPECIAL = "len(regexp_replace({0}, '[^\\\\<\\[\\]]', '', 'g'))"
+
+OP10_SQL = f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '{_TRAP}'), (-1, 1, 'assistant', '{_TRAP}'))),
+c AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns, coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+ sum(CASE WHEN role = 'assistant' THEN 10 + len(text) ELSE 16 + len(role) + len(text) END) AS plain, sum({_SPECIAL.format("text")} + CASE WHEN role = 'assistant' THEN 0 ELSE {_SPECIAL.format("role")} END) AS marks, bool_or({_CONTROL}) AS escaped FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, len(loss) AS loss_chars, sha256(loss) AS loss_sha256, (3 + plain + CASE WHEN escaped THEN 3 + marks ELSE 0 END)::BIGINT AS formatted_chars FROM c"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """What SQL can express whole: not tokenisers, hash rings, models or the spans of leftmost matches."""
+    return {"op1_decontaminate": OP1_SQL, "op3_near_join": OP3_SQL, "op10_chat": OP10_SQL}
