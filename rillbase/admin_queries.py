@@ -121,6 +121,29 @@ def surplus_seat(spark, d):
     return table(spark, d, "orders").select("o_orderkey", layout.surplus_seat(replicas, n(k % 4), n((k + 1) % 4), n(k % 5), 2).alias("seat"))
 
 
+@query("WITH s AS (SELECT o_orderkey, ['n' || (o_orderkey % 4), 'n' || ((o_orderkey + 1) % 4), 'n' || ((o_orderkey + 2) % 4)] AS r, 'n' || (o_orderkey % 4) AS l, ['n' || (o_orderkey % 3)] AS p FROM orders) SELECT o_orderkey, coalesce(list_sort(list_filter(r, lambda x: x <> l AND NOT list_contains(p, x)))[1], '') AS seat FROM s")
+def surplus_for_replan(spark, d):
+    k = F.col("o_orderkey")
+    n = lambda x: F.concat(F.lit("n"), x)
+    seat = layout.surplus_for_replan(F.array(n(k % 4), n((k + 1) % 4), n((k + 2) % 4)), n(k % 4), F.array(n(k % 3)), 2)
+    return table(spark, d, "orders").select("o_orderkey", seat.alias("seat"))
+
+
+@query(None)
+def leader_rebalance(spark, d):
+    from .queries import nodes, seat_plan
+
+    peers = nodes(spark, d).select("id", (F.col("k") == 2).alias("draining"))
+    return layout.leader_rebalance(placements(spark, d), seat_plan(spark, d), peers)
+
+
+@query(None)
+def layout_settled(spark, d):
+    from .queries import seat_plan
+
+    return layout.settled(seat_plan(spark, d))
+
+
 @query("WITH r AS (SELECT 'node-' || (event_id % 9) AS node, 'rep-' || (user_id % 3) AS reporter, epoch_ms(ts) AS at_ms FROM events WHERE value > 40) SELECT DISTINCT a.node FROM r a JOIN r b ON a.node = b.node AND b.at_ms <= a.at_ms AND b.at_ms > a.at_ms - 120000 GROUP BY a.node, a.at_ms HAVING count(DISTINCT b.reporter) >= 2")
 def unreachable_quorum(spark, d):
     r = table(spark, d, "events").where("value > 40").select(F.concat(F.lit("node-"), F.col("event_id") % 9).alias("node"), F.concat(F.lit("rep-"), F.col("user_id") % 3).alias("reporter"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"))

@@ -13,8 +13,13 @@ KEY = ["slot", "aggregate_id"]
 
 
 def first_frames(frames: DataFrame) -> DataFrame:
-    """One row per claimed version: the frame that came first."""
-    return frames.where("version >= 1").groupBy(*KEY, "version").agg(F.min("seq").alias("seq"), F.min_by("unix_time", "seq").alias("unix_time"))
+    """One row per claimed version: the frame that came first.
+
+    Dealt by aggregate at once: versions rarely repeat, so a partial aggregation would save little, and the
+    aggregation, the window over versions and the roll-up by aggregate all keep this partitioning.
+    """
+    rows = frames.where("version >= 1").select(*KEY, "version", "seq", "unix_time").repartition(*KEY)
+    return rows.groupBy(*KEY, "version").agg(F.min("seq").alias("seq"), F.min_by("unix_time", "seq").alias("unix_time"))
 
 
 def directory(frames: DataFrame) -> DataFrame:

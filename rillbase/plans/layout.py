@@ -249,6 +249,71 @@ class SeatPlanner:
         return out
 
 
+def refill(t: Layout) -> None:
+    """Seats for stable slots that are short of the factor, then swaps until every node has its quota.
+
+    A node's quota is its equal share; what is left over goes to the nodes that carry most already. Of the
+    nodes without a seat in the slot the one furthest below its quota is taken, else the emptiest.
+    """
+    nodes = t.candidates()
+    stable = sorted(s for s, p in t.slots.items() if p.state == "stable")
+    want = min(t.factor, len(nodes))
+    short = [s for s in stable if len(t.slots[s].replicas) < want]
+    if not nodes or not short:
+        return
+    load = Counter({n: sum(n in p.replicas for p in t.slots.values()) for n in nodes})
+    share, left = divmod(len(stable) * want, len(nodes))
+    fullest = sorted(nodes, key=lambda n: (-load[n], n))[:left]
+    quota = {n: share + (n in fullest) for n in nodes}
+    need = {n: max(quota[n] - load[n], 0) for n in nodes}
+    for s in short:
+        seats = t.slots[s].replicas
+        while len(seats) < want:
+            free = [n for n in nodes if n not in seats]
+            if not free:
+                break
+            needy = [n for n in free if need[n]]
+            pick = min(needy, key=lambda n: (-need[n], n)) if needy else min(free, key=lambda n: (load[n], n))
+            seats.append(pick)
+            load[pick] += 1
+            need[pick] = max(need[pick] - 1, 0)
+    for _ in short:
+        rich = min((n for n in nodes if load[n] > quota[n]), key=lambda n: (-load[n], n), default=None)
+        poor = min((n for n in nodes if load[n] < quota[n]), key=lambda n: (load[n], n), default=None)
+        if rich is None or poor is None:
+            return
+        fits = [s for s in [*short, *stable] if rich in t.slots[s].replicas and poor not in t.slots[s].replicas]
+        calm = [s for s in fits if t.slots[s].leader != rich]
+        led = [s for s in stable if s in fits and len(t.slots[s].replicas) > 1]
+        if not calm and not led:
+            return
+        p = t.slots[(calm or led)[0]]
+        if p.leader == rich:
+            p.leader, p.epoch = next(n for n in p.replicas if n != rich), p.epoch + 1
+        p.replicas[p.replicas.index(rich)] = poor
+        load[rich] -= 1
+        load[poor] += 1
+
+
+def surplus_for_replan(replicas: Column, leader: Column, planned: Column, factor: int) -> Column:
+    """The smallest id that is neither the leader's nor planned, only above the factor; empty for none."""
+    rest = F.array_sort(F.filter(replicas, lambda r: (r != leader) & ~F.array_contains(planned, r)))
+    return F.when(F.size(replicas) > factor, F.coalesce(F.try_element_at(rest, F.lit(1)), F.lit(""))).otherwise(F.lit(""))
+
+
+def leader_rebalance(placements: DataFrame, plan: DataFrame, peers: DataFrame) -> DataFrame:
+    """slot, leader, to: stable slots whose leader is not the planned one, those of draining nodes first."""
+    moving = plan.where("lead <> ''").select("slot", F.col("lead").alias("to"))
+    calm = F.broadcast(peers.select(F.col("id").alias("leader"), "draining"))  # the members of a cluster
+    rows = placements.where("state = 'stable'").join(moving, "slot").where("leader <> to").join(calm, "leader", "left")
+    return rows.select("slot", "leader", "to", F.coalesce("draining", F.lit(False)).alias("drain")).orderBy(F.desc("drain"), "slot")
+
+
+def settled(plan: DataFrame) -> DataFrame:
+    """Whether the plan asks for nothing."""
+    return plan.agg(F.coalesce(F.bool_and((F.size("add") == 0) & (F.size("drop") == 0) & (F.col("lead") == "")), F.lit(True)).alias("settled"))
+
+
 def fold_commands(commands: list[tuple[str, dict]], layout: Layout | None = None) -> Layout:
     """The metadata table after the commands, in order; unknown slots and peers are left alone."""
     t = layout or Layout()
@@ -299,6 +364,7 @@ def fold_commands(commands: list[tuple[str, dict]], layout: Layout | None = None
                 p.replicas.remove(a["id"])
                 if p.leader == a["id"]:
                     p.leader, p.epoch = p.replicas[0], p.epoch + 1
+        refill(t)
 
     def state(a):
         if a["slot"] in t.slots:

@@ -226,6 +226,14 @@ def test_draining_node_loses_seats_and_leadership():
     assert all(plan[s]["lead"] for s, p in t.slots.items() if p.leader == "n1")
 
 
+@pytest.mark.parametrize("n,nodes,factor", [(12, 4, 2), (30, 5, 3), (9, 3, 2)])
+def test_leaving_node_is_refilled_evenly(n, nodes, factor):
+    t = fold_commands([("leave_node", {"id": "n1"})], seats(n, nodes, factor))
+    load = [sum(x in p.replicas for p in t.slots.values()) for x in t.peers]
+    assert all(len(p.replicas) == len(set(p.replicas)) == factor and p.leader in p.replicas for p in t.slots.values())
+    assert max(load) - min(load) <= 1
+
+
 def test_command_fold():
     ops = [("join_node", {"id": f"n{i}"}) for i in range(3)] + [("set_policy", {"policy": "medium", "factor": 2}), ("plan_slots", {"start": 4, "end": 8}), ("mark_down", {"id": "n0"}), ("leader_move", {"slot": 5, "to": "n2"})]
     t = fold_commands(ops)
