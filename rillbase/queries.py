@@ -419,8 +419,8 @@ def _requests(spark, d):
     e = table(spark, d, "events")
     n = F.col("event_id")
     return e.select(
-        F.floor(n / 100).alias("batch_id"),
-        (n % 100).cast("int").alias("pos"),
+        F.floor(n / 10).alias("batch_id"),
+        (n % 10).cast("int").alias("pos"),
         F.when(n % 31 == 0, "").otherwise(F.concat(F.lit("user-"), F.col("user_id"))).alias("aggregate_id"),
         F.when(n % 29 == 0, 0).otherwise(F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).cast("long").alias("version"),
         F.when(n % 23 == 0, F.repeat(F.lit("c"), F.lit(300))).otherwise(F.concat(F.lit("evt-"), n)).alias("command_id"),
@@ -429,7 +429,7 @@ def _requests(spark, d):
     )
 
 
-_REQ = """WITH req AS (SELECT event_id // 100 AS batch_id, (event_id % 100)::INT AS pos, CASE WHEN event_id % 31 = 0 THEN '' ELSE 'user-' || user_id END AS aggregate_id, CASE WHEN event_id % 29 = 0 THEN 0 ELSE row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) END AS version,
+_REQ = """WITH req AS (SELECT event_id // 10 AS batch_id, (event_id % 10)::INT AS pos, CASE WHEN event_id % 31 = 0 THEN '' ELSE 'user-' || user_id END AS aggregate_id, CASE WHEN event_id % 29 = 0 THEN 0 ELSE row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) END AS version,
  CASE WHEN event_id % 23 = 0 THEN repeat('c', 300) ELSE 'evt-' || event_id END AS command_id, CASE WHEN event_id % 19 = 0 THEN 2 WHEN event_id % 17 = 0 THEN 1 ELSE 0 END AS codec, CASE WHEN event_id % 13 = 0 THEN repeat('t', 257) ELSE event_type END AS type FROM events)
 """
 
@@ -470,7 +470,7 @@ def batch_append_results(spark, d):
     return append.batch_append(_requests(spark, d), SIZE)
 
 
-@query("SELECT event_id // 100 AS batch_id, (event_id % 100)::INT AS pos, -1 AS slot, CASE WHEN event_id % 31 = 0 THEN '' ELSE 'user-' || user_id END AS aggregate_id, 'fail' AS status, 1010 AS err_id, 0::BIGINT AS current_version, 0::BIGINT AS seq FROM events")
+@query("SELECT event_id // 10 AS batch_id, (event_id % 10)::INT AS pos, -1 AS slot, CASE WHEN event_id % 31 = 0 THEN '' ELSE 'user-' || user_id END AS aggregate_id, 'fail' AS status, 1010 AS err_id, 0::BIGINT AS current_version, 0::BIGINT AS seq FROM events")
 def batch_append_stale_epoch(spark, d):
     return append.batch_append(_requests(spark, d), SIZE, epoch=3, request_epoch=2)
 
