@@ -1,22 +1,74 @@
-"""Connected components of an edge table, by least labels with pointer jumping; nothing is collected."""
+"""Connected components of an edge table; nothing is collected to the driver.
+
+First every task solves its own edges, at most about ``TASK_EDGES`` of them, and gives back one edge per node to
+the least node it reaches there. Where one task held all, that is the answer. Otherwise the labels of the much
+smaller rest go on in rounds, each node taking the least label among its own and its neighbours' and then
+that label's own, until none changes. Tables between rounds are in the shared folder.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_path, read_scratch, write_scratch
 
+#: Edges that one task solves in its memory.
+TASK_EDGES = 1_000_000
+
+
+def least_reached(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All nodes of the edges, ascending, and the least node each reaches."""
+    nodes, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    a, b = at[: len(src)], at[len(src) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], low)  # roots take the least label that an edge brings them
+        np.minimum.at(new, label[b], low)
+        new = new[new]
+        while (new != new[new]).any():
+            new = new[new]
+        if (new == label).all():
+            return nodes, nodes[label]
+        label = new
+
+
+def _solve_tasks(edges: DataFrame, tasks: int) -> DataFrame:
+    kind = edges.schema["a"].dataType.simpleString()
+
+    def run(batches):
+        src, dst, type_ = [], [], None
+        for batch in batches:
+            type_ = batch.schema.field(0).type
+            src.append(batch.column(0).to_numpy(zero_copy_only=False))
+            dst.append(batch.column(1).to_numpy(zero_copy_only=False))
+        if src:
+            as_keys = lambda x: np.concatenate(x).astype(str) if pa.types.is_string(type_) else np.concatenate(x)
+            nodes, least = least_reached(as_keys(src), as_keys(dst))
+            for i in range(0, len(nodes), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[i : i + 100_000], type_), pa.array(least[i : i + 100_000], type_)], ["a", "b"])
+
+    return edges.coalesce(tasks).mapInArrow(run, f"a {kind}, b {kind}")
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int = 60) -> DataFrame:
-    """(node, component): the least node that links reach, for every node of an edge.
 
-    Each round every node takes the least label among its own and its neighbours' and then that label's own
-    label, until none changes. Labels are written to the shared folder each round.
-    """
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int = 60, task_edges: int | None = None) -> DataFrame:
+    """(node, component): the least node that links reach, for every node of an edge but those with none to others."""
     spark = edges.sparkSession
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a <> b")
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    path = write_scratch(pairs, "edges")
+    pairs = read_scratch(spark, path, pairs.schema)
+    tasks = max(1, -(-pairs.count() // (task_edges or TASK_EDGES)))
+    solved = _solve_tasks(pairs, tasks)
+    if tasks == 1:
+        return solved.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    forest_path = write_scratch(solved.where("a <> b"), "forest")
+    drop_path(spark, path)
+    forest = read_scratch(spark, forest_path, solved.schema)
+    both = forest.unionByName(forest.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both_path = write_scratch(both, "edges")
     both = read_scratch(spark, both_path, both.schema)
     labels = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node")
@@ -30,8 +82,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", r
         jump = step.join(step.select(F.col("node").alias("label"), F.col("label").alias("up")), "label")
         new = jump.select("node", F.least("label", "up").alias("label"), "old")
         new_path = write_scratch(new.select("node", "label", "old"), "labels")
-        new = read_scratch(spark, new_path, new.schema)
-        moved = new.where("label <> old").limit(1).count()
+        moved = read_scratch(spark, new_path, new.schema).where("label <> old").limit(1).count()
         drop_path(spark, step_path)
         drop_path(spark, path)
         path = new_path
@@ -40,4 +91,5 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", r
     else:
         raise RuntimeError("components did not settle")
     drop_path(spark, both_path)
+    drop_path(spark, forest_path)
     return read_scratch(spark, path, schema).select("node", F.col("label").alias("component"))

@@ -50,6 +50,8 @@ SAMPLED = np.uint64(104)
 SHARED = 65535
 #: Text bytes of a unit of unsettled documents.
 UNIT_BYTES = 4 << 20
+#: Parts that the rows of one large cell are dealt to in joins.
+SALTS = 16
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
@@ -304,12 +306,19 @@ def _task(*parts):
     return F.concat_ws("/", *[p.cast("string") if not isinstance(p, str) else F.lit(p) for p in parts])
 
 
+def _spread(rows: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
+    """A join of many rows of one key with that key's few rows, dealt by a salt as well."""
+    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")
+    more = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", salt).join(more, [*keys, "salt"]).drop("salt")
+
+
 def large_links(members: DataFrame, k: int, percent: int, groups: int) -> DataFrame:
     """Links of cells too large for one task; members: cell, node, n, text."""
     ratio = math.log(100 / percent)
     sized = members.withColumn("s", F.floor(F.log(F.col("n").cast("double")) / ratio + 1e-9).cast("int"))
     per = sized.groupBy("cell", "s").agg(F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)).cast("int").alias("blocks"))
-    blocked = sized.join(per, ["cell", "s"]).withColumn("h", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    blocked = _spread(sized, per, ["cell", "s"]).withColumn("h", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     blocked = materialize(blocked.select("cell", "node", "n", "text", "s", "h", "blocks"), "near-blocks")
     cell, s, h = F.col("cell"), F.col("s"), F.col("h")
     own = blocked.select(_task("own", cell, s, h).alias("task"), F.lit(-1).alias("side"), "node", "text")
@@ -319,7 +328,7 @@ def large_links(members: DataFrame, k: int, percent: int, groups: int) -> DataFr
         first = blocked.where("h = 0").select("cell", (F.col("s") - d).alias("s"), "node", "text")
         target = steps.withColumn("h", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         target = target if d > 0 else target.where("h > 0")  # the first blocks meet each other once
-        hub = first.join(target.select("cell", "s", "h"), ["cell", "s"]).select(_task(name, cell, s, h).alias("task"), F.lit(1).alias("side"), "node", "text")
+        hub = _spread(first, target.select("cell", "s", "h"), ["cell", "s"]).select(_task(name, cell, s, h).alias("task"), F.lit(1).alias("side"), "node", "text")
         block = blocked.where("h > 0") if d <= 0 else blocked
         pieces += [hub, block.select(_task(name, cell, s, h).alias("task"), F.lit(0).alias("side"), "node", "text")]
     tasks = pieces[0]
@@ -329,16 +338,16 @@ def large_links(members: DataFrame, k: int, percent: int, groups: int) -> DataFr
     labels = blocked.select("cell", "node").join(connected_components(known, "a", "b"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     counted = labels.groupBy("cell", "component").agg(F.count("*").alias("m"))
     main = counted.groupBy("cell").agg(F.max_by("component", F.struct("m", "component")).alias("main"))
-    rest = labels.join(main, "cell").where("component <> main").select("cell", "node")
-    rest = blocked.drop("blocks", "h").join(rest, ["cell", "node"], "left_semi")
+    rest = _spread(labels, main, ["cell"]).where("component <> main").select("cell", "node")
+    rest = materialize(blocked.drop("blocks", "h").join(rest.select("node"), "node", "left_semi"), "near-rest")
     groups_of = rest.groupBy("cell", "s").agg(F.ceil(F.count("*") / BLOCK_NODES).cast("int").alias("g"))
-    rest = rest.join(groups_of, ["cell", "s"]).withColumn("r", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
+    rest = _spread(rest, groups_of, ["cell", "s"]).withColumn("r", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
     asked = groups_of.withColumn("r", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).select("cell", F.col("s").alias("rs"), "r")
     near = asked.withColumn("s", F.explode(F.array(F.col("rs") - 1, F.col("rs"), F.col("rs") + 1)))
     key = _task("rest", cell, F.col("rs"), F.col("r"), s, h)
-    left = blocked.join(near, ["cell", "s"]).select(key.alias("task"), F.lit(0).alias("side"), "node", "text")
+    left = _spread(blocked, near, ["cell", "s"]).select(key.alias("task"), F.lit(0).alias("side"), "node", "text")
     blocks = steps.withColumn("h", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cell", "s", "h")
-    right = rest.withColumnRenamed("s", "rs").join(near.join(blocks, ["cell", "s"]), ["cell", "rs", "r"]).select(key.alias("task"), F.lit(1).alias("side"), "node", "text")
+    right = _spread(rest.withColumnRenamed("s", "rs"), near.join(blocks, ["cell", "s"]), ["cell", "rs", "r"]).select(key.alias("task"), F.lit(1).alias("side"), "node", "text")
     return known.unionByName(solve(left.unionByName(right), k, percent, groups))
 
 
@@ -363,7 +372,7 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     inside = materialize(cells(units, k, percent), "near-cells")
     members = open_texts.join(inside, "th")
     per = members.groupBy("cell").agg(F.count("*").alias("m"), F.sum(F.octet_length("text")).alias("bytes"))
-    kept = materialize(members.join(per, "cell").select("cell", "node", "n", "text", ((F.col("m") > BLOCK_NODES) | (F.col("bytes") > BLOCK_BYTES)).alias("large")), "near-members")
+    kept = materialize(_spread(members, per, ["cell"]).select("cell", "node", "n", "text", ((F.col("m") > BLOCK_NODES) | (F.col("bytes") > BLOCK_BYTES)).alias("large")), "near-members")
     found = solve(kept.where("not large").select(F.col("cell").cast("string").alias("task"), F.lit(-1).alias("side"), "node", "text"), k, percent, groups)
     if kept.where("large").limit(1).count():
         found = found.unionByName(large_links(kept.where("large").drop("large"), k, percent, groups))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from rillbase.llm import nearjoin
-from rillbase.llm.components import connected_components
+from rillbase.llm.components import connected_components, least_reached
 from rillbase.llm.nearjoin import near_components
 from rillbase.llm.queries import op3_near_join
 from rillbase.llm.rtree import RTree, Union, count_vectors, links
@@ -76,11 +76,12 @@ def test_families_passages_and_edges(spark, tmp_path, monkeypatch, block):
     assert rows3(op3_near_join(spark, str(tmp_path))) == brute(docs)
 
 
-def test_without_frequent_list(spark):
+def test_many_units(spark, monkeypatch):
+    monkeypatch.setattr(nearjoin, "UNIT_BYTES", 500)
     rng = random.Random(9)
     docs = [(i, t) for i, t in enumerate(family(rng, [f"w{k}" for k in range(50)], 30, 5))]
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    assert rows3(near_components(df, most_frequent_shingles=0)) == brute(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert rows3(near_components(df)) == brute(docs)
 
 
 def test_empty(spark, tmp_path):
@@ -88,14 +89,26 @@ def test_empty(spark, tmp_path):
     assert op3_near_join(spark, str(tmp_path)).collect() == []
 
 
-def test_components_of_a_path(spark):
+@pytest.mark.parametrize("task_edges", [7, None])
+def test_components_of_a_path(spark, task_edges):
     edges = [(i, i + 1) for i in range(100, 140)] + [(1, 2), (7, 7)]
     rng = random.Random(1)
     rng.shuffle(edges)
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long").repartition(5), task_edges=task_edges).collect()}
     assert got == {1: 1, 2: 1} | {i: 100 for i in range(100, 141)}
 
 
+def test_least_reached():
+    rng = random.Random(8)
+    for n in (1, 5, 60):
+        pairs = [(rng.randrange(n), rng.randrange(n)) for _ in range(n)]
+        union = Union(n)
+        for a, b in pairs:
+            union.join(a, b)
+        nodes, least = least_reached(np.array([a for a, _ in pairs]), np.array([b for _, b in pairs]))
+        assert least.tolist() == [union.find(int(i)) for i in nodes]
+
+
 def test_tree_loses_no_pair():
     rng = np.random.default_rng(0)
     for n in (0, 1, 2, 17, 150, 300):
