@@ -14,7 +14,7 @@ import numpy as np
 from .textvec import span_hashes
 
 #: Units whose ids a worker keeps; beyond this it starts again with the units of the current chunk.
-CACHE_UNITS = 3_000_000
+CACHE_UNITS = 1_000_000
 
 _LETTER, _DIGIT, _MARK, _SPACE, _ASCII = 1, 2, 4, 8, 16
 _CLASS = np.zeros(256, np.uint8)
