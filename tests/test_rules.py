@@ -10,6 +10,7 @@ from rillbase.operators import append, directory, metrics, reads, replication
 from rillbase.plans.layout import Layout, Peer, SeatPlanner, Slot, fold_commands
 from rillbase.sources import codec
 
+#: Known slots of ids by size.
 ROUTES = {"": {1: 0, 2: 1, 8: 3, 1024: 155, 4096: 2203}, "a": {4: 0, 1024: 248, 4096: 248}, "agg-1": {8: 7, 16: 15, 1024: 607, 2048: 607}, "bench-0": {8: 2, 1024: 522, 2048: 1546, 4096: 3594}, "bench-99": {16: 10, 1024: 826, 4096: 3898}, "seed-7-3": {1024: 70, 4096: 2118}, "grpc-smoke-x": {4: 0, 1024: 176}, "世界": {2: 1, 1024: 817, 4096: 2865}}
 
 
