@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
 
@@ -52,62 +54,85 @@ class GRU:
             out[rows] += logits[np.arange(len(rows)), token[rows] % self.width] - _logsumexp(logits)
         return out
 
-    def train(self, tokens: list[np.ndarray], window: int = 24, batch: int = 48, epochs: int = 2, rate: float = 0.01) -> None:
-        """Truncated backpropagation over windows; each of ``batch`` lanes reads documents one after another, state carried within a document."""
-        lanes = [np.concatenate([np.concatenate([[self.start], t]) for t in tokens[i::batch]]) for i in range(batch) if tokens[i::batch]]
+    def flat(self) -> np.ndarray:
+        """All weights in one vector."""
+        return np.concatenate([getattr(self, k).ravel() for k in self.names])
+
+    def load(self, weights: np.ndarray) -> None:
+        at = 0
+        for k in self.names:
+            w = getattr(self, k)
+            w[...] = weights[at : at + w.size].reshape(w.shape)
+            at += w.size
+
+    def train(self, tokens: list[np.ndarray], window: int = 24, batch: int = 48, epochs: int = 2, rate: float = 0.01, span: tuple[float, float] = (0.0, 1.0)) -> None:
+        """Truncated backpropagation over windows; each of ``batch`` lanes reads documents one after another, state carried within a document.
+
+        Every document is read to its end: lanes are even but for documents longer than a lane, which go on alone.
+        ``span`` is the part of the rate's schedule that this call covers.
+        """
+        lanes = _lanes([np.concatenate([[self.start], t]) for t in tokens], batch)
         if not lanes:
             return
-        steps = max(len(x) for x in lanes)
-        text = np.full((len(lanes), steps), self.start, np.int64)
-        for i, x in enumerate(lanes):
-            text[i, : len(x)] = x
-        n = self.hidden
+        length = np.array([len(x) for x in lanes])
+        text = np.concatenate([*lanes, np.full(window + 1, self.start)])
+        first = np.cumsum(length) - length
+        n, steps = self.hidden, int(length[0])
         moments = {k: [np.zeros_like(getattr(self, k)), np.zeros_like(getattr(self, k))] for k in self.names}
         t = 0
         total = epochs * -(-(steps - 1) // window)
         for _ in range(epochs):
             h = np.zeros((len(lanes), n), np.float32)
             for a in range(0, steps - 1, window):
-                b = min(a + window, steps - 1)
-                states, trace = [], []
-                for s in range(a, b):
-                    token = text[:, s]
+                k = int((length > a + 1).sum())
+                width = min(window, steps - 1 - a)
+                at = a + np.arange(width + 1)[:, None]
+                block = np.where(at < length[:k], text[np.minimum(first[:k] + at, len(text) - 1)], self.start)
+                h, trace = h[:k], []
+                states = np.empty((width, k, n), np.float32)
+                for s in range(width):
+                    token = block[s]
                     h = np.where((token == self.start)[:, None], np.float32(0), h)
                     before = h
                     h, *gates = self.step(h, token)
-                    trace.append((before, token, *gates))
-                    states.append(h)
-                target = text[:, a + 1 : b + 1].T.reshape(-1)
-                every = np.concatenate(states)
-                g, dh = self._output_grad(every, target)
-                dh = dh.reshape(b - a, len(lanes), n)
-                g["u"], g["bias"], g["table"] = np.zeros_like(self.u), np.zeros_like(self.bias), np.zeros_like(self.table)
-                back = np.zeros((len(lanes), n), np.float32)
-                for s in range(b - a - 1, -1, -1):
-                    before, token, z, r, c, hu = trace[s]
+                    trace.append((before, *gates))
+                    states[s] = h
+                g, dh = self._output_grad(states.reshape(-1, n), block[1:].reshape(-1))
+                dh = dh.reshape(width, k, n)
+                dx, du = np.empty((width, k, 3 * n), np.float32), np.empty((width, k, 3 * n), np.float32)
+                back = np.zeros((k, n), np.float32)
+                for s in range(width - 1, -1, -1):
+                    before, z, r, c, hu = trace[s]
                     d = dh[s] + back
                     dc = d * z * (1 - c * c)
-                    dz = d * (c - before) * z * (1 - z)
-                    dr = dc * hu * r * (1 - r)
-                    dx = np.concatenate([dz, dr, dc], 1)
-                    du = np.concatenate([dz, dr, dc * r], 1)
-                    g["u"] += before.T @ du
-                    g["bias"] += dx.sum(0)
-                    np.add.at(g["table"], token, dx)
-                    back = d * (1 - z) + du @ self.u.T
-                    back[token == self.start] = 0
+                    dx[s, :, :n] = d * (c - before) * z * (1 - z)
+                    dx[s, :, n : 2 * n] = dc * hu * r * (1 - r)
+                    dx[s, :, 2 * n :] = dc
+                    du[s, :, : 2 * n] = dx[s, :, : 2 * n]
+                    du[s, :, 2 * n :] = dc * r
+                    back = d * (1 - z) + du[s] @ self.u.T
+                    back[block[s] == self.start] = 0
+                dx = dx.reshape(-1, 3 * n)
+                g["u"] = np.concatenate([x[0] for x in trace]).T @ du.reshape(-1, 3 * n)
+                g["bias"] = dx.sum(0)
+                read = block[:-1].reshape(-1)
+                order = np.argsort(read, kind="stable")
+                begin = np.flatnonzero(np.concatenate([[True], np.diff(read[order]) > 0]))
+                g["table"] = np.zeros_like(self.table)
+                g["table"][read[order][begin]] = np.add.reduceat(dx[order], begin, 0)
                 t += 1
-                step = rate * min(1.0, 0.1 + 2 * (1 - t / total))
-                for k in self.names:
-                    d = np.clip(g[k] / len(lanes), -1, 1)
-                    m, v = moments[k]
+                step = rate * min(1.0, 0.1 + 2 * (1 - span[0] - (span[1] - span[0]) * t / total))
+                for name in self.names:
+                    d = np.clip(g[name] / len(lanes), -1, 1)
+                    m, v = moments[name]
                     m += 0.1 * (d - m)
                     v += 0.01 * (d * d - v)
-                    getattr(self, k)[...] -= (step * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)).astype(np.float32)
+                    getattr(self, name)[...] -= (step * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)).astype(np.float32)
 
     def _output_grad(self, h: np.ndarray, target: np.ndarray):
         """Gradients of the negative log-likelihood; lane ends (``start``) count for nothing."""
         rows = np.flatnonzero(target != self.start)
+        rows = rows[np.argsort(target[rows] // self.width, kind="stable")]
         dh = np.zeros_like(h)
         g = {k: np.zeros_like(getattr(self, k)) for k in ("class_w", "class_b", "word_w", "word_b")}
         x, y = h[rows], target[rows]
@@ -116,10 +141,11 @@ class GRU:
         p[np.arange(len(x)), kind] -= 1
         g["class_w"], g["class_b"] = x.T @ p, p.sum(0)
         dx = p @ self.class_w.T
-        for c in np.unique(kind):
-            i = np.flatnonzero(kind == c)
+        edges = np.searchsorted(kind, np.arange(self.classes + 1))
+        for c in np.flatnonzero(np.diff(edges)):
+            i = slice(edges[c], edges[c + 1])
             p = _softmax(x[i] @ self.word_w[c] + self.word_b[c])
-            p[np.arange(len(i)), y[i] % self.width] -= 1
+            p[np.arange(len(p)), y[i] % self.width] -= 1
             g["word_w"][c], g["word_b"][c] = x[i].T @ p, p.sum(0)
             dx[i] += p @ self.word_w[c].T
         dh[rows] = dx
@@ -157,6 +183,17 @@ class GRU:
         return result
 
 
+def _lanes(tokens: list[np.ndarray], batch: int) -> list[np.ndarray]:
+    """All documents dealt to at most ``batch`` lanes of about equal length, the longest lane first; within a lane they keep their order."""
+    loads = [(0, i) for i in range(min(batch, len(tokens)))]
+    mine: list[list[int]] = [[] for _ in loads]
+    for d in sorted(range(len(tokens)), key=lambda d: -len(tokens[d])):
+        load, i = loads[0]
+        mine[i].append(d)
+        heapq.heapreplace(loads, (load + len(tokens[d]), i))
+    return sorted((np.concatenate([tokens[d] for d in sorted(x)]) for x in mine), key=len, reverse=True)
+
+
 def _logsumexp(x: np.ndarray) -> np.ndarray:
     top = x.max(1)
     return top + np.log(np.exp(x - top[:, None]).sum(1))

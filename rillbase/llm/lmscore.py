@@ -8,8 +8,9 @@ over all words. The network reads a whole document, its state carried from the f
 
 Words are 64-bit hashes. The most frequent ``head`` words are broadcast (a bounded table); counts of the
 others are looked up where they are kept: each task sends its rare words by hash range, already summed per
-document, and gets back sums per document. The network is fitted on at most ``sample_tokens`` tokens of the
-training documents with the smallest key hashes; counts cover every training document.
+document, and gets back sums per document. The network learns from every training document: in each of
+``ROUNDS`` rounds tasks train copies of it on their own share of a part of all documents, and the copies are
+averaged, weighted by tokens. What is dealt to a task follows from keys and texts, not from files.
 
 Defined results: a null text has the end token only; a null id counts as the empty string (held out);
 without training documents N and V are 0 and the model is the base; repeated rows are scored, and counted,
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, materialize, utf8
+from .common import chunks, drop_path, materialize, scratch_path, utf8
 from .counting import hash_parts, hash_ranges, most_frequent, summed
 from .gru import GRU
 from .textvec import LOWER, SPACES, span_hashes, words
@@ -32,6 +33,8 @@ END = np.uint64(0x2545F4914F6CDD1D)
 #: Text bytes that a task scores side by side.
 UNIT_BYTES = 12 << 20
 CLASSES, WIDTH = 32, 32
+#: Averaging rounds of the fit, about as many tokens as a task learns from in one of them, and pieces of the summed weights.
+ROUNDS, TASK_TOKENS, BLOCKS = 4, 2_000_000, 16
 
 
 def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,31 +76,66 @@ class Head:
         return np.where(at >= 0, self.ids[at], 0) if len(self.ids) else np.zeros(len(at), np.int32)
 
 
-def fit_network(docs: DataFrame, doc_id: str, text: str, training: Column, head, sample_docs: int, sample_tokens: int) -> GRU | None:
+def fit_network(docs: DataFrame, doc_id: str, text: str, training: Column, head, total: int, rounds: int = ROUNDS) -> GRU:
+    """The network after a pass over all training documents (up to four where they are few), in ``rounds`` of tasks whose weights are averaged by tokens."""
+    spark = docs.sparkSession
     key = F.xxhash64(F.col(doc_id).cast("string"), F.lit("fit"))
-    rows = docs.where(training)
-    n = rows.count()
-    if not n:
-        return None
-    share = F.shiftrightunsigned(key, 11).cast("double") / float(1 << 53)
 
     def ids(batches):
         for b in batches:
             hashes, m = tokens_of(*utf8(b.column(1)))
-            t = head.value.vocabulary_ids(head.value.find(hashes)).astype(np.int16)
+            t = head.value.vocabulary_ids(head.value.find(hashes)).astype(np.uint16)
             at = np.concatenate([[0], np.cumsum(m)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t[s:e].tobytes() for s, e in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["h", "t"])
 
-    sample = sorted(rows.where(share < sample_docs / n).select(key.alias("h"), F.col(text)).mapInArrow(ids, "h long, t binary").collect(), key=lambda r: (r.h, r.t))
-    used, tokens = 0, []
-    for r in sample:
-        t = np.frombuffer(r.t, np.int16).astype(np.int64)
-        if used and used + len(t) > sample_tokens:
-            break
-        used += len(t)
-        tokens.append(t)
+    rows = docs.where(training).select(key.alias("h"), F.col(text)).mapInArrow(ids, "h long, t binary").select(F.xxhash64("h", "t").alias("h"), "t")
+    path = scratch_path(spark, "token-ids")
+    rows.withColumn("round", F.pmod("h", F.lit(rounds)).cast("int")).write.option("compression", "zstd").partitionBy("round").parquet(path)
+    stored = spark.read.schema("h long, t binary, round int").parquet(path)
+    parts, epochs = max(1, round(total / rounds / TASK_TOKENS)), max(1, min(4, TASK_TOKENS // total))
     network = GRU(CLASSES, WIDTH, 16)
-    network.train(tokens)
+    for i in range(rounds):
+        now = spark.sparkContext.broadcast(network)
+
+        def fit(batches, span=(i / rounds, (i + 1) / rounds), now=now):
+            from pyspark import TaskContext
+
+            mine, used, wait, size = now.value, 0, [], 0
+            mine = GRU(mine.classes, mine.width, mine.hidden)
+            mine.load(now.value.flat())
+
+            def learn():
+                mine.train(wait, batch=min(128, max(16, size // 10_000)), epochs=epochs, span=span)
+
+            for b in batches:
+                for t in b.column(0).to_pylist():
+                    wait.append(np.frombuffer(t, np.uint16).astype(np.int64))
+                    size += len(wait[-1])
+                    if size >= 2 * TASK_TOKENS:
+                        learn()
+                        used, wait, size = used + size, [], 0
+            if wait:
+                learn()
+            used += size
+            if used:
+                blocks = np.array_split(np.append(mine.flat(), 1.0).astype(np.float64) * used, BLOCKS)
+                yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([TaskContext.get().partitionId()] * BLOCKS, pa.int32()), pa.array([x.tobytes() for x in blocks], pa.binary())], ["block", "task", "w"])
+
+        def add(batches):
+            sums = {}
+            for b in batches:
+                for k, w in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                    sums[k] = sums.get(k, 0) + np.frombuffer(w)
+            if sums:
+                yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([w.tobytes() for w in sums.values()], pa.binary())], ["block", "w"])
+
+        dealt = stored.where(F.col("round") == i).repartition(parts, "h").sortWithinPartitions("h", "t").select("t")
+        weights = dealt.mapInArrow(fit, "block int, task int, w binary").repartition(BLOCKS, "block").sortWithinPartitions("block", "task").mapInArrow(add, "block int, w binary")
+        found = sorted(weights.collect(), key=lambda r: r.block)  # one network
+        if found:
+            w = np.concatenate([np.frombuffer(r.w) for r in found])
+            network.load(w[:-1] / w[-1])
+    drop_path(spark, path)
     return network
 
 
@@ -215,7 +253,7 @@ def _rare_sums(units: DataFrame, counts: DataFrame) -> DataFrame:
     return both.mapInArrow(answer, "unit long, docs binary, sums binary, known binary").repartition("unit").mapInArrow(add, "unit long, idx int, rare_sum double, rare_known long")
 
 
-def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out: Column | None = None, head: int = 1 << 16, sample_docs: int = 1500, sample_tokens: int = 800_000) -> DataFrame:
+def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out: Column | None = None, head: int = 1 << 16) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10) of every row."""
     spark = docs.sparkSession
     held = F.lit(False) if held_out is None else held_out
@@ -223,7 +261,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out:
     keys, n, total, distinct = most_frequent(counts, head)
     table = Head(keys, n, CLASSES * WIDTH)
     shared = spark.sparkContext.broadcast(table)  # at most `head` words
-    network = spark.sparkContext.broadcast(fit_network(docs, doc_id, text, ~held, shared, sample_docs, sample_tokens) if total else None)
+    network = spark.sparkContext.broadcast(fit_network(docs, doc_id, text, ~held, shared, total) if total else None)
     inside = table.ids > 0
     others = float(total - n[inside].sum() + 0.1 * (distinct - inside.sum() + 1))
     units = materialize(_score_units(docs, doc_id, text, held.alias("held_out"), shared, network, hash_parts(spark)), "scored-units")

@@ -183,6 +183,30 @@ def test_op9_empty(spark, tmp_path):
     assert op9_lm_score(spark, write(spark, tmp_path, [])).collect() == []
 
 
+def scored_with(spark, texts, changed, new):
+    """Scores of the rows that no change touches: counts are the same, so only what the network has read can differ."""
+    from rillbase.llm.lmscore import score
+
+    out = []
+    for put in (False, True):
+        rows = [(i, new if put and i == changed else t) for i, t in enumerate(texts)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+        out.append({r.doc_id: (r.base_score, r.score) for r in score(docs).where(f"doc_id <> {changed}").collect()})
+    assert all(out[0][i][0] == pytest.approx(b, rel=1e-12) for i, (b, _) in out[1].items())
+    return out
+
+
+def fit_keys(spark, n):
+    return [r[0] for r in spark.range(n).selectExpr("xxhash64(cast(id as string), 'fit') AS h").collect()]
+
+
+def test_op9_learns_from_every_document(spark):
+    texts = ["red green blue"] * 3200
+    share = [(h % (1 << 64)) >> 11 for h in fit_keys(spark, len(texts))]
+    a, b = scored_with(spark, texts, share.index(max(share)), "blue green red")
+    assert any(a[i][1] != b[i][1] for i in a)
+
+
 def test_network_is_a_distribution_and_learns():
     g = GRU(3, 4, 8)
     p = [g.score(np.array([2, t]), np.array([0]), np.array([2]))[0] for t in range(12)]
