@@ -207,6 +207,23 @@ def test_op9_learns_from_every_document(spark):
     assert any(a[i][1] != b[i][1] for i in a)
 
 
+def test_op9_learns_beside_long_documents(spark):
+    texts = ["red green blue yellow " * 5000] * 41
+    keys = fit_keys(spark, len(texts))
+    a, b = scored_with(spark, texts, keys.index(max(keys)), "yellow blue green red " * 5000)
+    assert any(a[i][1] != b[i][1] for i in a)
+
+
+def test_network_reads_documents_longer_than_a_lane():
+    docs = [np.array([1, 2, 3])] * 40 + [np.array([4, 5, 6, 7] * 300)]
+    g = GRU(3, 4, 8)
+    both = np.concatenate([docs[-1], docs[0]]), np.array([0, 1200]), np.array([1200, 3])
+    before = g.score(*both)
+    g.train(docs, batch=8, epochs=4)
+    after = g.score(*both)
+    assert after[0] > 0.1 * before[0] and after[1] > before[1]
+
+
 def test_network_is_a_distribution_and_learns():
     g = GRU(3, 4, 8)
     p = [g.score(np.array([2, t]), np.array([0]), np.array([2]))[0] for t in range(12)]
