@@ -4,15 +4,16 @@ Tokens are lower-cased runs of word characters or of marks; unigrams and bigrams
 ``buckets``. Two multinomials are estimated with add-one smoothing: the trusted target (a bounded sample of
 documents labelled good) and the raw corpus (every document). A document's score is the sum of
 log p_target - log p_raw over its n-grams, divided by their number plus ``shrink``. It is kept if no fixed
-rule fails and its score is at least the threshold: the ``quantile`` of the scores of the labelled sample's
-other half, which took no part in the fit.
+rule fails and its score is at least the threshold: the ``quantile`` of the scores of all documents labelled
+good that took no part in the fit, for which half of the sample is used.
 
 Defined results: null, empty and wordless texts have zero counts, score 0 and fail the rules; without
 labels (none, or an empty table) every score is 0 and only the rules decide; repeated rows count and are
 scored as rows of their own.
 
 Scale: two passes over the texts and no shuffle of them; per task one count vector of ``buckets`` goes to the
-sum, dealt by blocks of buckets. The sample of labels is at most ``sample`` rows, whatever the table's size.
+sum, dealt by blocks of buckets. The sample of labels is at most ``sample`` rows, whatever the table's size;
+the threshold comes from keys and scores joined with the labels and narrowed by counts of buckets.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, map_rows, utf8
+from .common import chunks, map_rows, materialize, quantiles, utf8
 from .textvec import LOWER, NOT_ALNUM, SPACES, mix, shingle_hashes, span_hashes, words
 
 BUCKETS, BLOCKS = 1 << 14, 16
@@ -105,7 +106,7 @@ def target_sample(labels: DataFrame, label_id: str, label: str, sample: int) ->
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label_id: str, label: str, sample: int, buckets: int) -> tuple[np.ndarray | None, np.ndarray]:
-    """log p_target - log p_raw for each bucket (None without labels), and the sample's keys."""
+    """log p_target - log p_raw for each bucket (None without labels), and the keys fitted."""
     chosen = target_sample(labels, label_id, label, sample)
     if not len(chosen):
         return None, chosen
@@ -139,9 +140,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label_id: st
     for r in summed.collect():  # BLOCKS rows
         both[:, r.block * width : (r.block + 1) * width] = np.frombuffer(r.n, np.int64).reshape(2, width)
     if not both[1].any():
-        return None, chosen
+        return None, fitted
     p = np.log(both + 1.0) - np.log(both.sum(1, keepdims=True) + buckets)
-    return p[1] - p[0], chosen
+    return p[1] - p[0], fitted
 
 
 def scores(data: np.ndarray, offsets: np.ndarray, ratio: np.ndarray | None, shrink: float) -> np.ndarray:
@@ -167,23 +168,9 @@ def rate(
 ) -> DataFrame:
     """``keep`` columns with the surface counts, base_failed, score and kept."""
     spark = docs.sparkSession
-    ratio, chosen = fit(docs, labels, doc_id, text, label_id, label, sample, buckets)
+    ratio, fitted = fit(docs, labels, doc_id, text, label_id, label, sample, buckets)
     shared = spark.sparkContext.broadcast(ratio)  # `buckets` numbers
-    threshold = -np.inf
-    if ratio is not None:
-        held = np.sort(chosen[mix(chosen.view(np.uint64)) % np.uint64(2) == 1])
-        keys = spark.sparkContext.broadcast(held)  # at most `sample` numbers
-
-        def only(batches):
-            for b in batches:
-                mask = np.isin(np.asarray(b.column(0)), keys.value)
-                if mask.any():
-                    data, offsets = utf8(b.column(1).filter(pa.array(mask)))
-                    yield pa.RecordBatch.from_arrays([pa.array(scores(data, offsets, shared.value, shrink))], ["score"])
-
-        rows = docs.select(F.xxhash64(F.col(doc_id).cast("string")).alias("h"), F.col(text)).mapInArrow(only, "score double")
-        found = rows.agg(F.expr(f"percentile(score, {quantile})")).first()[0]  # of a bounded sample
-        threshold = -np.inf if found is None else float(found)
+    outside = spark.sparkContext.broadcast(fitted)  # at most `sample` numbers
 
     def make():
         def run(columns):
@@ -195,8 +182,17 @@ def rate(
             x = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
             failed = (x["n_words"] < 10) | (100 * x["n_repeat_words"] > 20 * x["n_words"])
             names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-            return [*[pa.array(x[k], pa.int64()) for k in names], pa.array(failed), pa.array(x["score"]), pa.array(~failed & (x["score"] >= threshold))]
+            return [*[pa.array(x[k], pa.int64()) for k in names], pa.array(failed), pa.array(x["score"]), pa.array(~failed), pa.array(~np.isin(np.asarray(columns[1]), outside.value))]
 
         return run
 
-    return map_rows(docs, [text], "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, score double, kept boolean", make, keep)
+    made = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, score double, kept boolean, _free boolean"
+    keyed = docs.withColumn("_key", F.xxhash64(F.col(doc_id).cast("string")))
+    rated = map_rows(keyed, [text, "_key"], made, make, [*(docs.columns if keep is None else keep), "_key"])
+    if ratio is None:
+        return rated.drop("_key", "_free")
+    rated = materialize(rated, "rated")
+    good = labels.where(F.col(label) == 1).select(F.xxhash64(F.col(label_id).cast("string")).alias("_key")).distinct()
+    held = rated.where("_free").select("_key", "score").join(good, "_key", "left_semi").withColumn("all", F.lit(""))
+    threshold = quantiles(materialize(held.select("all", "score"), "held-scores"), "all", "score", quantile).get("", -np.inf)
+    return rated.withColumn("kept", F.col("kept") & (F.col("score") >= float(threshold))).drop("_key", "_free")

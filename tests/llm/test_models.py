@@ -141,6 +141,29 @@ def test_op7(spark, sf, tmp_path):
     assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in rows) == Counter((i, *brute_quality(t)) for i, t in ODD)
 
 
+def test_op7_threshold_covers_all_good_labels(spark):
+    from rillbase.llm.quality import rate, target_sample
+    from rillbase.llm.textvec import mix
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    chosen = target_sample(labels, "doc_id", "quality", 40)
+    fitted = set(chosen[mix(chosen.view(np.uint64)) % np.uint64(2) == 0].tolist())
+    good = {r[0] for r in labels.where("quality = 1").selectExpr("xxhash64(cast(doc_id as string))").collect()}
+    rows = rate(docs.selectExpr("doc_id", "text", "xxhash64(cast(doc_id as string)) AS k"), labels, sample=40, quantile=0.1, keep=["k"]).collect()
+    limit = np.quantile([r.score for r in rows if r.k in good - fitted], 0.1)
+    assert all(r.kept == (not r.base_failed and r.score >= limit) for r in rows if abs(r.score - limit) > 1e-12)
+
+
+def test_quantiles(spark):
+    from rillbase.llm.common import quantiles
+
+    rng = np.random.default_rng(3)
+    values = {"a": rng.standard_normal(5000) ** 5, "b": np.repeat([1.0, 2.0], [70, 30]), "c": np.array([3.5]), "d": rng.integers(0, 40, 999) / 7}
+    df = spark.createDataFrame([(g, float(v)) for g, x in values.items() for v in x] + [(None, 1.0), ("a", None)], "g string, v double")
+    for q in (0, 0.005, 0.7, 0.999):
+        assert quantiles(df, "g", "v", q) == pytest.approx({g: float(np.quantile(x, q)) for g, x in values.items()}, rel=1e-12)
+
+
 def test_op7_without_labels(spark, tmp_path):
     spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
