@@ -4,15 +4,17 @@ Letters are lower-cased; a run of other characters is one break; text begins aft
 language an order-4 model with one discount per order is estimated from a bounded sample: the ``sample``
 labelled documents with the smallest key hashes. The models' n-grams are in sorted hash arrays shared by
 all languages, one column of log-probabilities (and back-off weights) per language. A document's language is
-the one with the lowest cross-entropy per letter. Rejection is calibrated on sampled documents that took no
-part in the fit: a document is rejected when its lowest cross-entropy is above their ``quantile`` plus
-``margin``, or when it has no letter (``und``).
+the one with the lowest cross-entropy per letter. Rejection is calibrated on all labelled documents that took
+no part in the fit: a document is rejected when its lowest cross-entropy is above the ``quantile`` of those
+labelled with its language plus ``margin`` (the highest of all languages where its own has none), or when it
+has no letter (``und``).
 
 Defined results: a null text, or one without letters, is ``und`` with score 0 and rejected; rows whose label
 is null or not allowed teach nothing; without any labelled row everything is ``und``; ties go to the
 language that sorts first; repeated rows are predicted as rows of their own; empty tables give no rows.
 
-Scale: no shuffle of texts; what is broadcast are the models, whose size the sample bounds.
+Scale: no shuffle of texts; what is broadcast are the models, whose size the sample bounds. The limits come from
+counts of buckets over the stored result, which has the ``keep`` columns.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, map_rows, utf8
+from .common import chunks, map_rows, materialize, quantiles, utf8
 from .textvec import mix
 
 ORDER = 4
@@ -167,20 +169,19 @@ class Models:
         return -total / np.maximum(n, 1)[:, None], n
 
 
-def sample_rows(docs: DataFrame, doc_id: str, text: str, lang: str, allowed: Column, sample: int) -> DataFrame:
-    """About ``sample`` rows (at most twice that) of each language with the smallest key hashes: h, lang, text."""
-    key = F.xxhash64(F.col(doc_id).cast("string"))
-    rows = docs.where(allowed & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    share = F.shiftrightunsigned(key, 11).cast("double") / float(1 << 53)
-    n = {r[0]: r[1] for r in rows.groupBy(F.col(lang).cast("string")).count().collect()}  # a row per language
+def sampled(docs: DataFrame, lang: str, sample: int) -> Column:
+    """Whether a row with a label is among about ``sample`` (at most twice that) of its language with the smallest key hashes."""
+    share = F.shiftrightunsigned("_key", 11).cast("double") / float(1 << 53)
+    n = {r[0]: r[1] for r in docs.where("_learn").groupBy(F.col(lang).cast("string")).count().collect()}  # a row per language
     if not n:
-        return rows.select(key.alias("h"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).limit(0)
+        return F.lit(False)
     limit = F.create_map(*[F.lit(x) for k, v in n.items() for x in (k, 1.2 * sample / v)])
-    return rows.where(share < F.element_at(limit, F.col(lang).cast("string"))).select(key.alias("h"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
+    return F.col("_learn") & (share < F.element_at(limit, F.col(lang).cast("string")))
 
 
-def train(docs: DataFrame, doc_id: str, text: str, lang: str, allowed: Column, sample: int, quantile: float, margin: float) -> tuple[Models | None, float]:
-    rows = sample_rows(docs, doc_id, text, lang, allowed, sample)
+def train(docs: DataFrame, text: str, lang: str) -> Models | None:
+    """Models of three quarters of the rows with ``_sampled``."""
+    rows = docs.where("_sampled").select(F.col("_key").alias("h"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
 
     def count(batches):
         for b in batches:
@@ -208,13 +209,13 @@ def train(docs: DataFrame, doc_id: str, text: str, lang: str, allowed: Column, s
 
     grams = rows.mapInArrow(count, "lang string, a long, b long, n long").groupBy("lang", "a", "b").agg(F.sum("n").alias("n")).toPandas()  # bounded by the sample
     if not len(grams):
-        return None, 0.0
+        return None
     languages = sorted(grams["lang"].unique())
     a, b = grams["a"].to_numpy(), grams["b"].to_numpy()
     raw = [a >> 32, a & 0xFFFFFFFF, b >> 32, b & 0xFFFFFFFF]  # from the last letter back
     seen = np.unique(raw[0][raw[0] > 0]).astype(np.uint32)
     if not len(seen):
-        return None, 0.0
+        return None
     models = Models(languages, seen[: (1 << 16) - 2])
     keys = np.zeros(len(a), np.uint64)
     for j in range(ORDER):
@@ -225,17 +226,7 @@ def train(docs: DataFrame, doc_id: str, text: str, lang: str, allowed: Column, s
         k, inverse = np.unique(keys[mine], return_inverse=True)
         per.append((k, np.bincount(inverse, grams["n"].to_numpy()[mine])))
     models.fit([k for k, _ in per], [n for _, n in per])
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-
-    def rate(batches):
-        for b in batches:
-            mask = mix(np.asarray(b.column(0)).view(np.uint64)) % np.uint64(4) == 0
-            data, offsets = utf8(b.column(2).filter(pa.array(mask)))
-            h, n = shared.value.entropies(data, offsets)
-            yield pa.RecordBatch.from_arrays([pa.array(h.min(1)[n > 0] if len(n) else np.zeros(0))], ["h"])
-
-    found = rows.mapInArrow(rate, "h double").agg(F.expr(f"percentile(h, {quantile})")).first()[0]
-    return models, (np.inf if found is None else float(found) + margin)
+    return models
 
 
 def identify(
@@ -254,7 +245,10 @@ def identify(
 
     Learns from ``allowed`` rows with a label. score: the softmax of ``sharpness`` times the entropies' distance.
     """
-    models, limit = train(docs, doc_id, text, lang, F.lit(True) if allowed is None else allowed, sample, quantile, margin)
+    learn = (F.lit(True) if allowed is None else allowed) & F.col(lang).isNotNull() & F.col(text).isNotNull()
+    keyed = docs.withColumn("_key", F.xxhash64(F.col(doc_id).cast("string"))).withColumn("_learn", F.coalesce(learn, F.lit(False)))
+    keyed = keyed.withColumn("_sampled", sampled(keyed, lang, sample)).withColumn("_label", F.when(F.col("_learn"), F.col(lang).cast("string")))
+    models = train(keyed, text, lang)
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def make():
@@ -263,15 +257,26 @@ def identify(
             data, offsets = utf8(columns[0])
             if m is None:
                 k = len(offsets) - 1
-                return [pa.array(["und"] * k), pa.array(np.zeros(k)), pa.array(np.zeros(k)), pa.array(np.ones(k, bool))]
+                return [pa.array(["und"] * k), pa.array(np.zeros(k)), pa.array(np.zeros(k)), pa.array(np.ones(k, bool)), pa.array(np.zeros(k, bool))]
             parts = [m.entropies(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in chunks(offsets, 1 << 20)]
             h, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
             best = h.argmin(1)
             low = h.min(1)
             score = np.where(n > 0, 1 / np.exp(-sharpness * (h - low[:, None])).sum(1), 0.0)
             names = np.where(n > 0, np.array([str(x) for x in m.languages], object)[best], "und")
-            return [pa.array(names.tolist(), pa.string()), pa.array(score), pa.array(low), pa.array((n == 0) | (low > limit))]
+            fitted = columns[2].to_numpy(zero_copy_only=False) & (mix(np.asarray(columns[1]).view(np.uint64)) % np.uint64(4) != 0)
+            return [pa.array(names.tolist(), pa.string()), pa.array(score), pa.array(low), pa.array(n == 0), pa.array(~fitted & (n > 0))]
 
         return run
 
-    return map_rows(docs, [text], "lang_pred string, score double, entropy double, rejected boolean", make, keep)
+    kept = docs.columns if keep is None else keep
+    found = map_rows(keyed, [text, "_key", "_sampled"], "lang_pred string, score double, entropy double, rejected boolean, _free boolean", make, [*kept, "_label"])
+    if models is None:
+        return found.drop("_label", "_free")
+    found = materialize(found, "languages")
+    limits = quantiles(found.where("_free"), "_label", "entropy", quantile)  # a number per language
+    if limits:
+        limit = F.create_map(*[F.lit(x) for k, v in limits.items() for x in (k, v + margin)])
+        most = F.lit(max(limits.values()) + margin)
+        found = found.withColumn("rejected", F.col("rejected") | (F.col("entropy") > F.coalesce(F.element_at(limit, F.col("lang_pred")), most)))
+    return found.drop("_label", "_free")

@@ -58,6 +58,19 @@ def test_op5_edges(spark, tmp_path):
     assert [r.lang_pred for r in identify(unlabelled).collect()] == ["und"]
 
 
+def test_op5_limit_covers_all_labels_of_a_language(spark):
+    from rillbase.llm.textvec import mix
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").selectExpr("doc_id", "text", "lang", "xxhash64(cast(doc_id as string)) AS h")
+    rows = identify(docs, sample=20, quantile=0.9, margin=0.0, keep=["h", "lang", "text"]).collect()
+    n = Counter(r.lang for r in rows if r.lang is not None and r.text is not None)
+    fitted = lambda r: ((r.h % (1 << 64)) >> 11) / (1 << 53) < 1.2 * 20 / n[r.lang] and mix(np.array([r.h % (1 << 64)], np.uint64))[0] % np.uint64(4) != 0
+    free = [r for r in rows if r.lang is not None and r.text is not None and r.lang_pred != "und" and not fitted(r)]
+    limit = {k: np.quantile([r.entropy for r in free if r.lang == k], 0.9) for k in n}
+    assert len(limit) > 1
+    assert all(r.rejected == (r.lang_pred == "und" or r.entropy > limit[r.lang_pred]) for r in rows if r.lang_pred == "und" or abs(r.entropy - limit[r.lang_pred]) > 1e-12)
+
+
 def test_rejects_what_no_model_explains(spark):
     rows = [(i, "the quick brown fox jumps over the lazy dog and the cat " * (1 + i % 3), "en") for i in range(60)]
     docs = spark.createDataFrame([*rows, (999, "zqxj vkwq xzzq jjqx qqzv " * 10, None)], "doc_id long, text string, lang string")
