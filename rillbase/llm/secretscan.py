@@ -1,10 +1,14 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Base spans by three patterns (assign, access, hex). Each candidate value (group 2 of assign, else the whole
-span) is counted over the whole corpus: by how many distinct repositories and owners it is used. A value of
-``copied_owners`` owners or more is a widely copied example; one of fewer owners that looks like a credential
-(length, letters and digits, distinct characters) is live-looking, and its value gets a further span of kind
-``live``. Base spans stay as they are.
+span) is counted over the whole corpus: by how many distinct repositories and owners it is used, and in how
+many distinct texts, so that copies of a text count once. A value with ``copied_owners`` or more of each is a
+widely copied example; any other that looks like a credential is live-looking, and its value gets a further
+span of kind ``live``. Base spans stay as they are.
+
+Access keys always look like one; hex runs do with 8 distinct characters, a digit and a letter; assigned values
+with 8 distinct characters, or, of 6 to 11 characters, with 5 distinct ones of two classes (lower, upper, digit,
+other), so plain short words do not.
 
 Here documents stand for repositories and ``source`` for their owner.
 
@@ -49,9 +53,13 @@ def find_spans(text: str) -> list[tuple[int, int, int, int, int]]:
     return sorted(out)
 
 
-def looks_live(value: str) -> bool:
-    """Long and varied enough for a generated credential."""
-    return len(value) >= 12 and len(set(value)) >= 8 and any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
+def looks_live(value: str, kind: int) -> bool:
+    """Whether a value can be a credential: any access key, a varied hex run, an assigned value that is varied for its length."""
+    letter, digit = any(c.isalpha() for c in value), any(c.isdigit() for c in value)
+    if kind == 0 and len(value) < 12:
+        classes = (any(c.islower() for c in value), any(c.isupper() for c in value), digit, not value.isalnum())
+        return len(set(value)) >= 5 and sum(classes) >= 2
+    return kind == 1 or len(set(value)) >= 8 and (kind == 0 or letter and digit)
 
 
 SPAN = "array<struct<kind:int,start:int,end:int,value_start:int,value_end:int,value:binary,strong:boolean>>"
@@ -71,7 +79,7 @@ def candidates(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
             spans = []
             for s in columns[0]:
                 t = s.as_py() or ""
-                spans.append([{"kind": k, "start": a, "end": b, "value_start": c, "value_end": d, "value": hashlib.sha256(t[c:d].encode()).digest()[:16], "strong": looks_live(t[c:d])} for a, k, b, c, d in find_spans(t)])
+                spans.append([{"kind": k, "start": a, "end": b, "value_start": c, "value_end": d, "value": hashlib.sha256(t[c:d].encode()).digest()[:16], "strong": looks_live(t[c:d], k)} for a, k, b, c, d in find_spans(t)])
             rid = range(at, at + len(spans))
             at += len(spans)
             return [pa.array(rid, pa.int64()), pa.array(spans, kind)]
@@ -81,12 +89,13 @@ def candidates(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return map_rows(docs, [text], f"rid long, spans {SPAN}", make, keep)
 
 
-def ownership(found: DataFrame, owner: str, repository: str) -> DataFrame:
-    """value, n_repositories, n_owners over all candidates."""
-    each = found.select(F.explode("spans.value").alias("value"), F.col(owner).cast("string").alias("o"), F.col(repository).cast("string").alias("r"))
+def ownership(found: DataFrame, owner: str, repository: str, copy: str) -> DataFrame:
+    """value, n_repositories, n_owners, n_texts over all candidates; rows of the same ``copy`` have the same text."""
+    each = found.select(F.explode("spans.value").alias("value"), F.col(owner).cast("string").alias("o"), F.col(repository).cast("string").alias("r"), F.col(copy).alias("t"))
     owners = each.select("value", "o").distinct().groupBy("value").agg(F.count("*").alias("n_owners"))
     repositories = each.select("value", "r").distinct().groupBy("value").agg(F.count("*").alias("n_repositories"))
-    return owners.join(repositories, "value")
+    texts = each.select("value", "t").distinct().groupBy("value").agg(F.count("*").alias("n_texts"))
+    return owners.join(repositories, "value").join(texts, "value")
 
 
 def scan_secrets(docs: DataFrame, text: str = "text", owner: str = "source", repository: str = "doc_id", keep: list[str] | None = None, copied_owners: int = 4) -> DataFrame:
@@ -95,15 +104,15 @@ def scan_secrets(docs: DataFrame, text: str = "text", owner: str = "source", rep
     Kinds are the positions in KINDS; live spans cover the value alone.
     """
     kept = [c for c in (docs.columns if keep is None else keep) if c != "secrets"]
-    source = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(kept)], F.col(text).alias("scan_text"), F.col(owner).alias("scan_owner"), F.col(repository).alias("scan_repository"))
+    source = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(kept)], F.col(text).alias("scan_text"), F.col(owner).alias("scan_owner"), F.col(repository).alias("scan_repository"), F.xxhash64(text).alias("scan_copy"))
     names = [f"c{i}" for i in range(len(kept))]
-    found = materialize(candidates(source, "scan_text", [*names, "scan_owner", "scan_repository"]), "secret-candidates")
+    found = materialize(candidates(source, "scan_text", [*names, "scan_owner", "scan_repository", "scan_copy"]), "secret-candidates")
     each = found.where(F.size("spans") > 0).select("rid", F.explode("spans").alias("s")).withColumn("value", F.col("s.value")).withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int"))
-    counts = ownership(found.where(F.size("spans") > 0), "scan_owner", "scan_repository").withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    counts = ownership(found.where(F.size("spans") > 0), "scan_owner", "scan_repository", "scan_copy").withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
     known = each.join(counts, ["value", "salt"])
     span = lambda kind, start, end: F.struct(F.col(start).alias("start"), kind.alias("kind"), F.col(end).alias("end"), "n_repositories", "n_owners")
     base = span(F.col("s.kind"), "s.start", "s.end")
-    live = F.when(F.col("s.strong") & (F.col("n_owners") < copied_owners), span(F.lit(KINDS.index("live")), "s.value_start", "s.value_end"))
+    live = F.when(F.col("s.strong") & (F.least("n_owners", "n_repositories", "n_texts") < copied_owners), span(F.lit(KINDS.index("live")), "s.value_start", "s.value_end"))
     spans = known.select("rid", base.alias("base"), live.alias("live")).groupBy("rid").agg(F.sort_array(F.concat(F.collect_list("base"), F.collect_set("live"))).alias("secrets"))
     none = F.array().cast(spans.schema["secrets"].dataType)
     joined = found.join(spans, "rid", "left")
