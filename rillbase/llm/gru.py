@@ -1,4 +1,7 @@
-"""A small gated recurrent language model in numpy: class-factored softmax, truncated backpropagation, Adam."""
+"""A small gated recurrent language model in numpy: class-factored softmax, truncated backpropagation, Adam.
+
+States, gates and logits are kept features by documents, so that every operation runs along long rows.
+"""
 
 from __future__ import annotations
 
@@ -6,9 +9,14 @@ import heapq
 
 import numpy as np
 
+#: Steps whose inputs are gathered at once in scoring, and tokens whose outputs are evaluated at once.
+CHUNK, OUTPUTS = 32, 16384
+
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    out = np.exp(-x)
+    out += 1
+    return np.reciprocal(out, out=out)
 
 
 class GRU:
@@ -32,26 +40,43 @@ class GRU:
         self.word_w = (rng.standard_normal((classes, hidden, width)) * 0.1).astype(f)
         self.word_b = np.zeros((classes, width), f)
 
-    def step(self, h: np.ndarray, token: np.ndarray):
-        n = self.hidden
-        x = self.table[token] + self.bias
-        hu = h @ self.u
-        zr = sigmoid(x[:, : 2 * n] + hu[:, : 2 * n])
-        z, r = zr[:, :n], zr[:, n:]
-        c = np.tanh(x[:, 2 * n :] + r * hu[:, 2 * n :])
-        return h + z * (c - h), z, r, c, hu[:, 2 * n :]
+    def inputs(self, tokens: np.ndarray) -> np.ndarray:
+        """The input's part of the gates, (steps, 3 * hidden, documents), of tokens (steps, documents)."""
+        return np.ascontiguousarray((self.table[tokens] + self.bias).transpose(0, 2, 1))
 
-    def output(self, h: np.ndarray, token: np.ndarray) -> np.ndarray:
-        """log p of each token given the state before it."""
+    def step(self, h: np.ndarray, x: np.ndarray):
+        """The next state and z, r, c and the state's part of c; h and x are features by documents."""
+        n = self.hidden
+        hu = self.u.T @ h
+        zr = sigmoid(x[: 2 * n] + hu[: 2 * n])
+        z, r = zr[:n], zr[n:]
+        c = r * hu[2 * n :]
+        c += x[2 * n :]
+        np.tanh(c, out=c)
+        new = c - h
+        new *= z
+        new += h
+        return new, z, r, c, hu[2 * n :]
+
+    def _by_class(self, token: np.ndarray):
+        """The order of tokens by class, and (class, slice of that order) for each class there."""
         kind = token // self.width
-        logits = h @ self.class_w + self.class_b
-        out = logits[np.arange(len(h)), kind] - _logsumexp(logits)
-        order = np.argsort(kind, kind="stable")
+        order = np.argsort(kind.astype(np.uint16), kind="stable")
         edges = np.searchsorted(kind[order], np.arange(self.classes + 1))
-        for c in np.flatnonzero(np.diff(edges)):
-            rows = order[edges[c] : edges[c + 1]]
-            logits = h[rows] @ self.word_w[c] + self.word_b[c]
-            out[rows] += logits[np.arange(len(rows)), token[rows] % self.width] - _logsumexp(logits)
+        return order, [(c, slice(edges[c], edges[c + 1])) for c in np.flatnonzero(np.diff(edges)).tolist()]
+
+    def output(self, h: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """log p of each token given the state (a row of h) before it."""
+        order, parts = self._by_class(token)
+        x, y = h[order], token[order]
+        at = np.arange(len(y))
+        logits = self.class_w.T @ x.T + self.class_b[:, None]
+        logp = logits[y // self.width, at] - _logsumexp(logits)
+        for c, i in parts:
+            logits = self.word_w[c].T @ x[i].T + self.word_b[c][:, None]
+            logp[i] += logits[y[i] % self.width, at[: i.stop - i.start]] - _logsumexp(logits)
+        out = np.empty_like(logp)
+        out[order] = logp
         return out
 
     def flat(self) -> np.ndarray:
@@ -65,6 +90,47 @@ class GRU:
             w[...] = weights[at : at + w.size].reshape(w.shape)
             at += w.size
 
+    def gradients(self, block: np.ndarray, h: np.ndarray):
+        """Gradients of the negative log-likelihood over one window, and the state after it.
+
+        ``block``: tokens, (steps + 1, lanes); h: state before it. A step that reads ``start`` begins a document with an
+        empty state; a target ``start`` counts for nothing.
+        """
+        n, (width, k) = self.hidden, (len(block) - 1, block.shape[1])
+        x, keep = self.inputs(block[:-1]), (block[:-1] != self.start).astype(h.dtype)
+        before, after, z, r, c, hu = np.empty((6, width, n, k), h.dtype)
+        for s in range(width):
+            before[s] = h * keep[s]
+            h, z[s], r[s], c[s], hu[s] = self.step(before[s], x[s])
+            after[s] = h
+        g, dh = self._output_grad(after.transpose(0, 2, 1).reshape(-1, n), block[1:].reshape(-1))
+        dh = np.ascontiguousarray(dh.reshape(width, k, n).transpose(0, 2, 1))
+        to_c, to_z, to_r = z * (1 - c * c), (c - before) * z * (1 - z), hu * r * (1 - r)
+        dx, du = np.empty((width, 3 * n, k), h.dtype), np.empty((width, 3 * n, k), h.dtype)
+        back = np.zeros((n, k), h.dtype)
+        for s in range(width - 1, -1, -1):
+            d = dh[s]
+            d += back
+            dc = dx[s, 2 * n :]
+            np.multiply(d, to_c[s], out=dc)
+            np.multiply(d, to_z[s], out=dx[s, :n])
+            np.multiply(dc, to_r[s], out=dx[s, n : 2 * n])
+            du[s, : 2 * n] = dx[s, : 2 * n]
+            np.multiply(dc, r[s], out=du[s, 2 * n :])
+            back = self.u @ du[s]
+            back += d
+            d *= z[s]
+            back -= d
+            back *= keep[s]
+        g["u"] = before.transpose(1, 0, 2).reshape(n, -1) @ du.transpose(1, 0, 2).reshape(3 * n, -1).T
+        g["bias"] = dx.sum((0, 2))
+        read = block[:-1].reshape(-1)
+        order = np.argsort(read.astype(np.uint16) if self.start < 1 << 16 else read, kind="stable")
+        ids, begin = np.unique(read[order], return_index=True)
+        g["table"] = np.zeros_like(self.table)
+        g["table"][ids] = np.add.reduceat(dx.transpose(0, 2, 1).reshape(-1, 3 * n)[order], begin, 0)
+        return g, h
+
     def train(self, tokens: list[np.ndarray], window: int = 24, batch: int = 48, epochs: int = 2, rate: float = 0.01, span: tuple[float, float] = (0.0, 1.0)) -> None:
         """Truncated backpropagation over windows; each of ``batch`` lanes reads documents one after another, state carried within a document.
 
@@ -77,49 +143,17 @@ class GRU:
         length = np.array([len(x) for x in lanes])
         text = np.concatenate([*lanes, np.full(window + 1, self.start)])
         first = np.cumsum(length) - length
-        n, steps = self.hidden, int(length[0])
+        steps = int(length[0])
         moments = {k: [np.zeros_like(getattr(self, k)), np.zeros_like(getattr(self, k))] for k in self.names}
         t = 0
         total = epochs * -(-(steps - 1) // window)
         for _ in range(epochs):
-            h = np.zeros((len(lanes), n), np.float32)
+            h = np.zeros((self.hidden, len(lanes)), self.u.dtype)
             for a in range(0, steps - 1, window):
                 k = int((length > a + 1).sum())
-                width = min(window, steps - 1 - a)
-                at = a + np.arange(width + 1)[:, None]
+                at = a + np.arange(min(window, steps - 1 - a) + 1)[:, None]
                 block = np.where(at < length[:k], text[np.minimum(first[:k] + at, len(text) - 1)], self.start)
-                h, trace = h[:k], []
-                states = np.empty((width, k, n), np.float32)
-                for s in range(width):
-                    token = block[s]
-                    h = np.where((token == self.start)[:, None], np.float32(0), h)
-                    before = h
-                    h, *gates = self.step(h, token)
-                    trace.append((before, *gates))
-                    states[s] = h
-                g, dh = self._output_grad(states.reshape(-1, n), block[1:].reshape(-1))
-                dh = dh.reshape(width, k, n)
-                dx, du = np.empty((width, k, 3 * n), np.float32), np.empty((width, k, 3 * n), np.float32)
-                back = np.zeros((k, n), np.float32)
-                for s in range(width - 1, -1, -1):
-                    before, z, r, c, hu = trace[s]
-                    d = dh[s] + back
-                    dc = d * z * (1 - c * c)
-                    dx[s, :, :n] = d * (c - before) * z * (1 - z)
-                    dx[s, :, n : 2 * n] = dc * hu * r * (1 - r)
-                    dx[s, :, 2 * n :] = dc
-                    du[s, :, : 2 * n] = dx[s, :, : 2 * n]
-                    du[s, :, 2 * n :] = dc * r
-                    back = d * (1 - z) + du[s] @ self.u.T
-                    back[block[s] == self.start] = 0
-                dx = dx.reshape(-1, 3 * n)
-                g["u"] = np.concatenate([x[0] for x in trace]).T @ du.reshape(-1, 3 * n)
-                g["bias"] = dx.sum(0)
-                read = block[:-1].reshape(-1)
-                order = np.argsort(read, kind="stable")
-                begin = np.flatnonzero(np.concatenate([[True], np.diff(read[order]) > 0]))
-                g["table"] = np.zeros_like(self.table)
-                g["table"][read[order][begin]] = np.add.reduceat(dx[order], begin, 0)
+                g, h = self.gradients(block, h[:, :k])
                 t += 1
                 step = rate * min(1.0, 0.1 + 2 * (1 - span[0] - (span[1] - span[0]) * t / total))
                 for name in self.names:
@@ -127,57 +161,57 @@ class GRU:
                     m, v = moments[name]
                     m += 0.1 * (d - m)
                     v += 0.01 * (d * d - v)
-                    getattr(self, name)[...] -= (step * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)).astype(np.float32)
+                    getattr(self, name)[...] -= (step * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)).astype(self.u.dtype)
 
     def _output_grad(self, h: np.ndarray, target: np.ndarray):
         """Gradients of the negative log-likelihood; lane ends (``start``) count for nothing."""
         rows = np.flatnonzero(target != self.start)
-        rows = rows[np.argsort(target[rows] // self.width, kind="stable")]
+        order, parts = self._by_class(target[rows])
+        rows = rows[order]
         dh = np.zeros_like(h)
         g = {k: np.zeros_like(getattr(self, k)) for k in ("class_w", "class_b", "word_w", "word_b")}
         x, y = h[rows], target[rows]
-        kind = y // self.width
-        p = _softmax(x @ self.class_w + self.class_b)
-        p[np.arange(len(x)), kind] -= 1
-        g["class_w"], g["class_b"] = x.T @ p, p.sum(0)
-        dx = p @ self.class_w.T
-        edges = np.searchsorted(kind, np.arange(self.classes + 1))
-        for c in np.flatnonzero(np.diff(edges)):
-            i = slice(edges[c], edges[c + 1])
-            p = _softmax(x[i] @ self.word_w[c] + self.word_b[c])
-            p[np.arange(len(p)), y[i] % self.width] -= 1
-            g["word_w"][c], g["word_b"][c] = x[i].T @ p, p.sum(0)
-            dx[i] += p @ self.word_w[c].T
+        at = np.arange(len(y))
+        p = _softmax(self.class_w.T @ x.T + self.class_b[:, None])
+        p[y // self.width, at] -= 1
+        g["class_w"], g["class_b"] = (p @ x).T, p.sum(1)
+        dx = p.T @ self.class_w.T
+        for c, i in parts:
+            p = _softmax(self.word_w[c].T @ x[i].T + self.word_b[c][:, None])
+            p[y[i] % self.width, at[: i.stop - i.start]] -= 1
+            g["word_w"][c], g["word_b"][c] = (p @ x[i]).T, p.sum(1)
+            dx[i] += p.T @ self.word_w[c].T
         dh[rows] = dx
         return g, dh
 
-    def score(self, tokens: np.ndarray, starts: np.ndarray, counts: np.ndarray, window: int = 16384) -> np.ndarray:
+    def score(self, tokens: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Natural-log likelihood of each document; the state goes on from its first token to its last.
 
-        Documents run side by side, longest first; outputs are evaluated for about ``window`` tokens at once.
+        Documents run side by side, longest first, and leave when a chunk of steps is done.
         """
         order = np.argsort(-counts, kind="stable")
         first, n = starts[order], counts[order]
         out = np.zeros(len(counts))
-        active = int((n > 0).sum())
-        h = np.zeros((active, self.hidden), np.float32)
-        previous = np.full(active, self.start, np.int64)
-        states, targets, rows, held = [], [], [], 0
         longest = int(n[0]) if len(n) else 0
-        shorter = np.searchsorted(-n, -np.arange(longest + 1), "left")  # documents of more than t tokens
-        for t in range(longest):
-            k = int(shorter[t])
-            h = self.step(h[:k], previous[:k])[0]
-            token = tokens[first[:k] + t]
-            states.append(h)
-            targets.append(token)
-            rows.append(k)
-            held += k
-            previous = token
-            if held >= window or t == longest - 1:
-                logp = self.output(np.concatenate(states), np.concatenate(targets))
-                np.add.at(out, np.concatenate([np.arange(k) for k in rows]), logp)
-                states, targets, rows, held = [], [], [], 0
+        h, a = np.zeros((self.hidden, int((n > 0).sum())), self.u.dtype), 0
+        while a < longest:
+            k = int(np.searchsorted(-n, -a, "left"))  # documents of more than a tokens
+            width = max(1, min(CHUNK, longest - a, (1 << 18) // k))
+            at = a + np.arange(width)[:, None]
+            there = at < n[:k]
+            target = tokens[np.where(there, first[:k] + at, 0)]
+            read = np.empty_like(target)
+            read[0] = self.start if a == 0 else tokens[first[:k] + a - 1]
+            read[1:] = target[:-1]
+            h, x, states = h[:, :k], self.inputs(read), np.empty((width, k, self.hidden), h.dtype)
+            for s in range(width):
+                h = self.step(h, x[s])[0]
+                states[s] = h.T
+            rows, target, logp = states[there], target[there], []
+            for i in range(0, len(target), OUTPUTS):
+                logp.append(self.output(rows[i : i + OUTPUTS], target[i : i + OUTPUTS]))
+            out[:k] += np.bincount(np.nonzero(there)[1], np.concatenate(logp), k)
+            a += width
         result = np.empty(len(counts))
         result[order] = out
         return result
@@ -195,10 +229,14 @@ def _lanes(tokens: list[np.ndarray], batch: int) -> list[np.ndarray]:
 
 
 def _logsumexp(x: np.ndarray) -> np.ndarray:
-    top = x.max(1)
-    return top + np.log(np.exp(x - top[:, None]).sum(1))
+    """Over the first axis."""
+    top = x.max(0)
+    return top + np.log(np.exp(x - top).sum(0))
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    e = np.exp(x - x.max(1, keepdims=True))
-    return e / e.sum(1, keepdims=True)
+    """Over the first axis; x is used up."""
+    x -= x.max(0)
+    np.exp(x, out=x)
+    x /= x.sum(0)
+    return x

@@ -65,6 +65,7 @@ class Head:
         self.ids = np.zeros(len(keys), np.int32)
         rank = np.lexsort((keys, -n))[: vocabulary - 1]
         self.ids[rank] = np.arange(1, len(rank) + 1)
+        self.words, self.word_ids = keys[self.ids > 0], self.ids[self.ids > 0]
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.keys):
@@ -72,6 +73,13 @@ class Head:
         at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
         return np.where(self.keys[at] == hashes, at, -1)
 
+    def read(self, hashes: np.ndarray) -> np.ndarray:
+        """The vocabulary's ids of words, by a search of the vocabulary alone."""
+        if not len(self.words):
+            return np.zeros(len(hashes), np.int32)
+        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        return np.where(self.words[at] == hashes, self.word_ids[at], 0)
+
     def vocabulary_ids(self, at: np.ndarray) -> np.ndarray:
         return np.where(at >= 0, self.ids[at], 0) if len(self.ids) else np.zeros(len(at), np.int32)
 
@@ -84,7 +92,7 @@ def fit_network(docs: DataFrame, doc_id: str, text: str, training: Column, head,
     def ids(batches):
         for b in batches:
             hashes, m = tokens_of(*utf8(b.column(1)))
-            t = head.value.vocabulary_ids(head.value.find(hashes)).astype(np.uint16)
+            t = head.value.read(hashes).astype(np.uint16)
             at = np.concatenate([[0], np.cumsum(m)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t[s:e].tobytes() for s, e in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["h", "t"])
 
@@ -105,7 +113,7 @@ def fit_network(docs: DataFrame, doc_id: str, text: str, training: Column, head,
             mine.load(now.value.flat())
 
             def learn():
-                mine.train(wait, batch=min(128, max(16, size // 10_000)), epochs=epochs, span=span)
+                mine.train(wait, batch=min(256, max(16, size // 8_000)), epochs=epochs, span=span)
 
             for b in batches:
                 for t in b.column(0).to_pylist():

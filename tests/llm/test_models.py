@@ -299,3 +299,55 @@ def test_network_gradient():
         down = loss()
         array[i] += e
         assert grad[i] == pytest.approx((up - down) / (2 * e), abs=1e-4)
+
+
+def plain_score(g, doc):
+    """One document, one token after another, each softmax written out."""
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    n, h, last, total = g.hidden, np.zeros(g.hidden), g.start, 0.0
+    for t in doc:
+        x, hu = g.table[last].astype(float) + g.bias, h @ g.u.astype(float)
+        z, r = sig(x[:n] + hu[:n]), sig(x[n : 2 * n] + hu[n : 2 * n])
+        h = (1 - z) * h + z * np.tanh(x[2 * n :] + r * hu[2 * n :])
+        k, w = divmod(int(t), g.width)
+        kinds = np.exp(h @ g.class_w + g.class_b)
+        words = np.exp(h @ g.word_w[k] + g.word_b[k])
+        total += math.log(kinds[k] / kinds.sum()) + math.log(words[w] / words.sum())
+        last = int(t)
+    return total
+
+
+def test_network_score_is_a_plain_loop():
+    g, rng = GRU(4, 5, 6), np.random.default_rng(5)
+    docs = [rng.integers(0, 20, n) for n in (1, 2, 31, 32, 33, 64, 200, 7, 0, 95)]
+    g.train([d for d in docs if len(d)], window=6, batch=4, epochs=3)
+    counts = np.array([len(d) for d in docs])
+    got = g.score(np.concatenate(docs), np.cumsum(counts) - counts, counts)
+    assert got == pytest.approx([plain_score(g, d) for d in docs], rel=1e-4, abs=1e-4)
+
+
+def test_network_gradient_through_a_window():
+    g, rng = GRU(2, 3, 4), np.random.default_rng(2)
+    for k in g.names:
+        setattr(g, k, getattr(g, k).astype(np.float64))
+    block, h0 = rng.integers(0, 7, (9, 5)), rng.standard_normal((4, 5))  # 6 begins a document
+    grads, _ = g.gradients(block, h0.copy())
+
+    def loss():
+        h, out = h0, 0.0
+        for s in range(8):
+            h = g.step(h * (block[s] != 6), g.inputs(block[s : s + 1])[0])[0]
+            there = block[s + 1] != 6
+            out -= g.output(h.T[there], block[s + 1][there]).sum()
+        return out
+
+    for name in g.names:
+        w = getattr(g, name)
+        for i in np.ndindex(w.shape):
+            old = w[i]
+            w[i] = old + 1e-5
+            up = loss()
+            w[i] = old - 1e-5
+            down = loss()
+            w[i] = old
+            assert grads[name][i] == pytest.approx((up - down) / 2e-5, abs=1e-6)
