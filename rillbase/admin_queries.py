@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .functions import scalar
+from .functions import routing, scalar
 from .operators import admin, append, metrics, replication
-from .plans import layout
-from .queries import _BYTES, COPIES, LOG, copies, leos, log_events, placements, progress, query, sql_hash, table
+from .plans import commands, layout
+from .queries import _BYTES, _M, COPIES, LOG, copies, leos, log_events, placements, progress, query, sql_hash, table
 
 
 @query(
@@ -101,11 +101,21 @@ def seed_ids(spark, d):
     return admin.seed_ids(spark, 3, 16, "bench-", 2000)
 
 
-@query("SELECT 'evt-' || event_id AS command_id, true AS maybe FROM events")
+_FILTER_BITS = 1 << 17
+
+
+@query(
+    f"""WITH asked AS (SELECT 'evt-' || event_id AS id, true AS known FROM events UNION ALL SELECT 'new-' || event_id, false FROM events),
+h0 AS (SELECT id, known, list_reduce(list_prepend({routing.FNV_OFFSET}::UHUGEINT, list_transform(string_split(id, ''), lambda c: ascii(c)::UHUGEINT)), lambda a, b: (xor(a, b) * {routing.FNV_PRIME}::UHUGEINT) % {_M}) AS h FROM asked),
+h1 AS (SELECT *, (xor(h, h >> 30) * {routing.MIX_A}::UHUGEINT) % {_M} AS m FROM h0), h2 AS (SELECT id, known, h, (xor(m, m >> 27) * {routing.MIX_B}::UHUGEINT) % {_M} AS m FROM h1), h3 AS (SELECT id, known, h, xor(m, m >> 31) AS m FROM h2),
+p AS (SELECT id, known, ((h + i::UHUGEINT * (m - m % 2 + 1)) % {_M}) % {_FILTER_BITS}::UHUGEINT AS place FROM h3, range(10) r(i)), bits AS (SELECT DISTINCT place FROM p WHERE known)
+SELECT id AS command_id, bool_and(b.place IS NOT NULL) AS maybe FROM p LEFT JOIN bits b USING (place) GROUP BY id"""
+)
 def command_filter(spark, d):
-    """Every known command must be a maybe; how many unknown ones are is in the tests."""
+    """Known commands, all of them maybe, and as many unknown ones, of which a small filter takes some for known."""
     log = log_events(spark, d)
-    return admin.maybe_known(log.select("command_id"), "command_id", admin.build_filter(log, 1 << 20))
+    asked = log.select("command_id").unionByName(table(spark, d, "events").select(F.concat(F.lit("new-"), F.col("event_id")).alias("command_id")))
+    return admin.maybe_known(asked, "command_id", admin.build_filter(log, _FILTER_BITS))
 
 
 @query(COPIES + "SELECT node, count(*) FILTER (WHERE slot % 3 <> 0 AND node = leader) AS \"leading\", count(*) FILTER (WHERE slot % 3 = 0) AS in_flight FROM (SELECT p.slot, p.leader, unnest(replicas) AS node FROM place p) GROUP BY node HAVING \"leading\" > 0 OR in_flight > 0")
@@ -129,25 +139,104 @@ def surplus_for_replan(spark, d):
     return table(spark, d, "orders").select("o_orderkey", seat.alias("seat"))
 
 
-@query(None)
+_HAND = """WITH p AS (SELECT o_orderkey AS slot, CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE 'node-' || (o_orderkey % 5) END AS leader, ['node-' || (o_orderkey % 5), 'node-' || ((o_orderkey + 1) % 5), 'node-' || ((o_orderkey + 2) % 5)] AS replicas,
+ o_orderkey % 7 <> 0 AS stable, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'node-' || ((o_orderkey + o_orderkey % 4) % 5) END AS lead, o_orderkey % 2 = 0 AS balance FROM orders),
+q AS (SELECT *, leader = 'node-2' AS drain, list_filter(replicas, lambda r: r <> leader AND r NOT IN ('node-1', 'node-2'))[1] AS heir FROM p WHERE stable AND leader <> '')"""
+
+
+def _handed(spark, d):
+    """Slots by order, their planned leaders, and five members of which node-1 is down and node-2 draining."""
+    from .queries import nodes
+
+    k = F.col("o_orderkey")
+    node = lambda x: F.concat(F.lit("node-"), x)
+    rows = table(spark, d, "orders").select(
+        k.alias("slot"), F.when(k % 13 == 0, "").otherwise(node(k % 5)).alias("leader"), F.array(node(k % 5), node((k + 1) % 5), node((k + 2) % 5)).alias("replicas"), F.when(k % 7 != 0, "stable").otherwise("migrating_out").alias("state"),
+        F.when(k % 3 == 0, "").otherwise(node((k + k % 4) % 5)).alias("lead"), (k % 2 == 0).alias("balance"), "o_custkey",
+    )
+    peers = nodes(spark, d).select("id", F.lit("learner").alias("role"), F.col("id").alias("client_addr"), (F.col("k") == 1).alias("down"), (F.col("k") == 2).alias("draining"))
+    return rows, peers
+
+
+@query(_HAND + """SELECT slot, leader AS "from", CASE WHEN drain THEN heir ELSE lead END AS "to", NOT drain AND balance AS balance FROM q WHERE CASE WHEN drain THEN heir IS NOT NULL ELSE lead <> '' AND lead <> leader AND list_contains(replicas, lead) END""")
 def leader_rebalance(spark, d):
-    from .queries import nodes, seat_plan
+    rows, peers = _handed(spark, d)
+    return layout.leader_rebalance(rows.select("slot", "leader", "replicas", "state"), rows.select("slot", "lead", "balance"), peers)
 
-    peers = nodes(spark, d).select("id", (F.col("k") == 2).alias("draining"))
-    return layout.leader_rebalance(placements(spark, d), seat_plan(spark, d), peers)
 
+@query(_HAND + """SELECT slot, leader AS "from", heir AS "to", false AS balance FROM q WHERE drain AND heir IS NOT NULL""".replace("heir", "solo").replace("list_filter(replicas, lambda r: r <> leader AND r NOT IN ('node-1', 'node-2'))[1] AS solo", "0").replace("FROM q", "FROM (SELECT *, CASE WHEN list_contains(replicas, 'node-3') THEN 'node-3' END AS solo FROM q)"))
+def leader_rebalance_alone(spark, d):
+    """One online node: only slots of the draining leader move."""
+    rows, peers = _handed(spark, d)
+    alone = peers.withColumn("down", ~F.col("id").isin("node-2", "node-3"))
+    return layout.leader_rebalance(rows.select("slot", "leader", "replicas", "state"), rows.select("slot", "lead", "balance"), alone)
 
-@query(None)
+
+@query("SELECT o_custkey, bool_and(o_orderkey % 7 <> 0) AS settled FROM orders GROUP BY o_custkey")
 def layout_settled(spark, d):
-    from .queries import seat_plan
+    rows, _ = _handed(spark, d)
+    return layout.settled(rows, ["o_custkey"])
+
+
+@query("SELECT o_orderkey, o_orderkey % 3 <= 1 OR (o_orderkey % 4 + 1) % 2 = 0 OR o_orderkey % 5 = 0 AS open FROM orders")
+def replan_gate(spark, d):
+    """Pools of one to four members; the last plan's members are the same for every fifth layout."""
+    k = F.col("o_orderkey")
+    hosts = F.transform(F.sequence(F.lit(0), (k % 4).cast("int")), lambda i: F.concat(F.lit("node-"), i))
+    before = F.when(k % 5 == 0, F.reverse(hosts)).otherwise(F.array(F.lit("node-9")))
+    return table(spark, d, "orders").select("o_orderkey", layout.gate_open(k % 3, hosts, before).alias("open"))
 
-    return layout.settled(seat_plan(spark, d))
 
+_DAY = 86_400_000
 
-@query("WITH r AS (SELECT 'node-' || (event_id % 9) AS node, 'rep-' || (user_id % 3) AS reporter, epoch_ms(ts) AS at_ms FROM events WHERE value > 40) SELECT DISTINCT a.node FROM r a JOIN r b ON a.node = b.node AND b.at_ms <= a.at_ms AND b.at_ms > a.at_ms - 120000 GROUP BY a.node, a.at_ms HAVING count(DISTINCT b.reporter) >= 2")
+
+@query(
+    f"WITH r AS (SELECT 'node-' || (event_id % 9) AS node, 'node-' || (user_id % 4) AS reporter, epoch_us(ts) // 1000 AS at_ms FROM events WHERE value > 40), v AS (SELECT * FROM r WHERE node <> reporter AND node NOT IN ('node-8', 'node-7')) "
+    f"SELECT node, min(at_ms) AS at_ms FROM (SELECT a.node, a.at_ms FROM v a JOIN v b ON a.node = b.node AND b.at_ms <= a.at_ms AND b.at_ms >= a.at_ms - {_DAY} GROUP BY a.node, a.at_ms HAVING count(DISTINCT b.reporter) >= 2) GROUP BY node"
+)
 def unreachable_quorum(spark, d):
-    r = table(spark, d, "events").where("value > 40").select(F.concat(F.lit("node-"), F.col("event_id") % 9).alias("node"), F.concat(F.lit("rep-"), F.col("user_id") % 3).alias("reporter"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"))
-    return layout.unreachable(r, 120_000)
+    """Reports of four nodes on nine, of which node-8 is unknown and node-7 is down already."""
+    r = table(spark, d, "events").where("value > 40").select(F.concat(F.lit("node-"), F.col("event_id") % 9).alias("node"), F.concat(F.lit("node-"), F.col("user_id") % 4).alias("reporter"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"))
+    peers = spark.range(8).select(F.concat(F.lit("node-"), F.col("id")).alias("id"), (F.col("id") == 7).alias("down"))
+    return layout.unreachable(r, peers, _DAY)
+
+
+_MOVES = "SELECT s_suppkey, (8 + s_suppkey % 8)::INT AS slot, 'node-' || (s_nationkey % 6) AS \"to\", s_nationkey % 6 <= 3 AS taken FROM supplier"
+
+
+def _changes(spark, d):
+    """A changelog: five members, a ring of eight slots, a drain, a hand-over per supplier (some to a draining or unknown node), a migration."""
+    start = [("config", '{"slot_count": 2048, "replicas": 2}'), ("set_topology", '{"id": "first"}'), ("set_topology", '{"id": "second"}')]
+    start += [("join_node", f'{{"id": "node-{i}", "role": "learner", "client_addr": "c{i}"}}') for i in range(5)]
+    start += [("set_policy", '{"policy": "3"}'), ("plan_slots", '{"gen": 3, "base": 8, "size": 8}'), ("drain_node", '{"id": "node-4", "on": true}')]
+    head = spark.createDataFrame([(i, op, a) for i, (op, a) in enumerate(start)], "seq long, op string, args string")
+    moves = table(spark, d, "supplier").select(
+        (100 + F.col("s_suppkey")).cast("long").alias("seq"), F.lit("leader_move").alias("op"),
+        F.to_json(F.struct(F.array(8 + F.col("s_suppkey") % 8).alias("slots"), F.concat(F.lit("node-"), F.col("s_nationkey") % 6).alias("to"), F.col("s_suppkey").alias("commit_leo"))).alias("args"),
+    )
+    tail = spark.createDataFrame([(1 << 40, "slot_state", '{"slots": [9], "state": "migrating_out", "to": "node-2"}'), ((1 << 40) + 1, "mark_up", '{"id": "node-77"}')], head.schema)
+    return head.unionByName(moves).unionByName(tail)
+
+
+@query(
+    f"WITH m AS ({_MOVES}), ringed AS (SELECT s.slot::INT AS slot, 'node-' || ((s.slot - 8) % 5) AS leader, ['node-' || ((s.slot - 8) % 5), 'node-' || ((s.slot - 7) % 5), 'node-' || ((s.slot - 6) % 5)] AS seats FROM range(8, 16) s(slot)), "
+    "t AS (SELECT m.*, lag(\"to\", 1, r.leader) OVER (PARTITION BY slot ORDER BY s_suppkey) AS before FROM m JOIN ringed r USING (slot) WHERE taken), "
+    "n AS (SELECT slot, \"to\", min(s_suppkey) AS k FROM t JOIN ringed r USING (slot) WHERE NOT list_contains(r.seats, \"to\") GROUP BY ALL), added AS (SELECT slot, list(\"to\" ORDER BY k) AS more FROM n GROUP BY slot), "
+    "a AS (SELECT slot, arg_max(\"to\", s_suppkey) AS last, count(*) FILTER (WHERE \"to\" <> before) AS moved, max(s_suppkey) AS floor FROM t GROUP BY slot) "
+    "SELECT r.slot, coalesce(last, r.leader) AS leader, array_to_string(list_concat(seats, coalesce(more, [])), ',') AS replicas, 1 + coalesce(moved, 0) AS epoch, CASE WHEN r.slot = 9 THEN 'migrating_out' ELSE 'stable' END AS state, CASE WHEN r.slot = 9 THEN 'node-2' ELSE '' END AS migrating_to, coalesce(floor, 0)::BIGINT AS floor FROM ringed r LEFT JOIN a USING (slot) LEFT JOIN added USING (slot)"
+)
+def command_fold(spark, d):
+    return commands.command_fold(_changes(spark, d)).withColumn("replicas", F.array_join("replicas", ","))
+
+
+@query(f"WITH m AS ({_MOVES}) SELECT 100 + s_suppkey AS seq, 'leader_move' AS op, CASE WHEN \"to\" = 'node-4' THEN 'node-4 is draining' ELSE 'unknown node ' || \"to\" END AS reason FROM m WHERE NOT taken")
+def command_refusals(spark, d):
+    return commands.command_fold(_changes(spark, d), refusals=True)
+
+
+@query("SELECT seq, frame FROM (SELECT 100 + s_suppkey AS seq, 'ENTRY' AS frame FROM supplier WHERE s_suppkey > 20 UNION ALL SELECT unnest([1099511627776, 1099511627777]), 'ENTRY' UNION ALL SELECT 1099511627777, 'COMMIT')")
+def catalog_feed(spark, d):
+    return commands.feed_entries(_changes(spark, d), 120).select("seq", "frame")
 
 
 @query(COPIES + "SELECT coalesce(sum(leo) FILTER (WHERE slot < 12), 0)::BIGINT - coalesce(sum(leo) FILTER (WHERE slot >= 12), 0)::BIGINT AS gap FROM progress WHERE node = leader")
@@ -169,25 +258,24 @@ def copy_status(spark, d):
     return replication.copy_status(pairs).select("o_orderkey", "status")
 
 
-@query("SELECT user_id AS slot, count(*) AS hits FROM events WHERE value > 100 GROUP BY user_id")
-def flow_hits(spark, d):
-    return table(spark, d, "events").where("value > 100").groupBy(F.col("user_id").alias("slot")).agg(F.count("*").alias("hits"))
+@query("SELECT user_id, count(*) FILTER (WHERE event_id * 100 BETWEEN 60000 AND 299999) / 240.0::DOUBLE AS rate, count(*) FILTER (WHERE event_id * 100 BETWEEN 60000 AND 299999 AND event_type <> 'error') / 240.0::DOUBLE AS ok_rate FROM events GROUP BY user_id")
+def bench_throughput(spark, d):
+    answers = table(spark, d, "events").select("user_id", (F.col("event_id") * 100).alias("at_ms"), (F.col("event_type") != "error").alias("ok"))
+    return metrics.throughput(answers, ["user_id"], 60_000, 300_000)
 
 
-@query("SELECT o_custkey, count(*) / 60.0::DOUBLE AS rate, count(*) FILTER (WHERE o_orderstatus = 'F') / 60.0::DOUBLE AS ok_rate FROM orders GROUP BY o_custkey")
-def bench_throughput(spark, d):
-    per = table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.count(F.when(F.col("o_orderstatus") == "F", 1)).alias("ok"))
-    rate, ok = metrics.throughput(F.col("n"), F.col("ok"), F.lit(60.0))
-    return per.select("o_custkey", rate.alias("rate"), ok.alias("ok_rate"))
+@query("SELECT event_type, sum(event_id % 5000) / count(*) / 1000.0 AS mean_ms FROM events GROUP BY event_type")
+def latency_mean(spark, d):
+    return metrics.mean_ms(table(spark, d, "events").withColumn("us", F.col("event_id") % 5000), "us", ["event_type"])
 
 
-@query("WITH s AS (SELECT o_orderkey, ['a', 'b', 'n' || (o_orderkey % 3)] AS x, ['b', 'n' || (o_orderkey % 4)] AS y FROM orders) SELECT o_orderkey, array_to_string(list_sort(list_distinct(list_concat(x, y))), ',') AS joined, array_to_string(list_sort(list_filter(x, lambda v: NOT list_contains(y, v))), ',') AS dropped, list_sort(x) = list_sort(y) AS same, array_to_string(list_transform(x, lambda v: CASE WHEN v = 'a' THEN 'z' ELSE v END), ',') AS replaced FROM s")
+@query("WITH s AS (SELECT o_orderkey, ['a', 'b', 'n' || (o_orderkey % 3)] AS x, ['b', 'n' || (o_orderkey % 4)] AS y FROM orders) SELECT o_orderkey, array_to_string(list_concat(x, list_filter(y, lambda v: NOT list_contains(x, v))), ',') AS joined, array_to_string(list_sort(list_filter(x, lambda v: NOT list_contains(y, v))), ',') AS dropped, list_sort(x) = list_sort(y) AS same, array_to_string(list_transform(x, lambda v: CASE WHEN v = 'a' THEN 'z' ELSE v END), ',') AS replaced FROM s")
 def replica_sets(spark, d):
     k = F.col("o_orderkey")
     x = F.array(F.lit("a"), F.lit("b"), F.concat(F.lit("n"), k % 3))
     y = F.array(F.lit("b"), F.concat(F.lit("n"), k % 4))
     return table(spark, d, "orders").select(
-        "o_orderkey", F.array_join(F.array_sort(F.array_union(x, y)), ",").alias("joined"), F.array_join(F.array_sort(F.array_except(x, y)), ",").alias("dropped"), scalar.same_members(x, y).alias("same"), F.array_join(scalar.replace_member(x, F.lit("a"), F.lit("z")), ",").alias("replaced")
+        "o_orderkey", F.array_join(F.array_union(x, y), ",").alias("joined"), F.array_join(F.array_sort(F.array_except(x, y)), ",").alias("dropped"), scalar.same_members(x, y).alias("same"), F.array_join(scalar.replace_member(x, F.lit("a"), F.lit("z")), ",").alias("replaced")
     )
 
 

@@ -39,21 +39,26 @@ def busy_slots(placements: DataFrame, leos: DataFrame) -> DataFrame:
     return placements.select("slot").join(top, "slot", "left").where(F.col("leo").isNull() | (F.col("leo") > 0)).select("slot")
 
 
-def liveness(probes: DataFrame) -> DataFrame:
+def liveness(probes: DataFrame, started_ms: int = 0, grace_ms: int = 0) -> DataFrame:
     """node, down after its last probe; probes: node, at_ms, answered, refused.
 
     A streak of failures ends at an answer. A node is down after three failed probes in a row that were not
-    refusals, or after refusals without a break for three seconds.
+    refusals, or after refusals without a break for three seconds. Within the grace after the start, failures of a
+    node that has not answered yet are held: they count for nothing.
     """
     w = Window.partitionBy("node").orderBy("at_ms")
+    silent = F.sum(F.col("answered").cast("int")).over(w) == 0
+    nodes = probes.select("node").distinct()
+    rows = probes.withColumn("held", silent & (F.col("at_ms") < started_ms + grace_ms)).where(~F.col("held")).drop("held")
     streak = F.sum(F.col("answered").cast("int")).over(w)
     unrefused = F.sum((~F.col("refused")).cast("int")).over(w)
-    rows = probes.withColumn("streak", streak).withColumn("run", unrefused)
+    rows = rows.withColumn("streak", streak).withColumn("run", unrefused)
     rows = rows.withColumn("fails", F.sum((~F.col("answered")).cast("int")).over(Window.partitionBy("node", "streak").orderBy("at_ms")))
     rows = rows.withColumn("since", F.min(F.when(F.col("refused"), F.col("at_ms"))).over(Window.partitionBy("node", "run").orderBy("at_ms")))
     hit = ~F.col("answered") & F.when(F.col("refused"), F.col("at_ms") - F.col("since") >= REFUSED_MS).otherwise(F.col("fails") >= FAILED_PROBES)
     last = rows.withColumn("hit", hit).groupBy("node", "streak").agg(F.bool_or("hit").alias("down"))
-    return last.groupBy("node").agg(F.max_by("down", "streak").alias("down"))
+    verdicts = last.groupBy("node").agg(F.max_by("down", "streak").alias("down"))
+    return nodes.join(verdicts, "node", "left").select("node", F.coalesce("down", F.lit(False)).alias("down"))
 
 
 def fetch_order(slots: DataFrame, rotation: int) -> DataFrame:
@@ -78,10 +83,14 @@ def write_counters(log: DataFrame) -> DataFrame:
     )
 
 
-def commit_floor(reports: DataFrame) -> DataFrame:
-    """The floor after each report: the highest so far of its slot."""
-    w = Window.partitionBy("slot").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return reports.withColumn("floor", F.max("leo").over(w))
+def commit_floor(reports: DataFrame, step: int = 1_000_000) -> DataFrame:
+    """The floor after each report: the highest so far of its slot, from the highest of earlier steps of ``at`` and those of its own."""
+    cut = reports.withColumn("floor_step", F.floor(F.col("at") / step))
+    tops = cut.groupBy("slot", "floor_step").agg(F.max("leo").alias("top"))
+    earlier = tops.withColumn("earlier", F.max("top").over(Window.partitionBy("slot").orderBy("floor_step").rowsBetween(Window.unboundedPreceding, -1))).drop("top")
+    w = Window.partitionBy("slot", "floor_step").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = cut.withColumn("floor", F.max("leo").over(w)).join(earlier, ["slot", "floor_step"])
+    return local.withColumn("floor", F.greatest("floor", "earlier")).drop("floor_step", "earlier")
 
 
 def prefix_ack(results: DataFrame, floors: DataFrame) -> DataFrame:
@@ -126,18 +135,33 @@ class CommandFilter:
         return ((self.data[p >> 3] >> (p & 7)) & 1).all(0)
 
 
-def build_filter(log: DataFrame, bits: int, probes: int = 10) -> CommandFilter:
-    """One filter over all commands of a log; each task sends its bits once (a fixed size), tasks are merged pairwise by Spark."""
+def build_filter(log: DataFrame, bits: int, probes: int = 10, block: int = 1 << 16) -> CommandFilter:
+    """One filter over all commands of a log. Tasks send the blocks of bits they set; a block's copies meet in one task.
+
+    ``bits`` is the size of one generation's filter, whatever the log's; filters of generations are OR-ed in the same way.
+    """
 
     def build(batches):
         f = CommandFilter(bits, probes)
         for b in batches:
             f.add(b.column(0))
-        yield pa.RecordBatch.from_arrays([pa.array([f.data.tobytes()], pa.binary())], ["bits"])
+        for at in range(0, len(f.data), block):
+            piece = f.data[at : at + block]
+            if piece.any():
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([piece.tobytes()], pa.binary())], ["at", "bits"])
+
+    def merge(batches):
+        found: dict[int, np.ndarray] = {}
+        for b in batches:
+            for at, piece in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                new = np.frombuffer(piece, np.uint8)
+                found[at] = found[at] | new if at in found else new
+        for at, piece in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([piece.tobytes()], pa.binary())], ["at", "bits"])
 
     total = CommandFilter(bits, probes)
-    for r in log.select("command_id").mapInArrow(build, "bits binary").toLocalIterator():
-        total.data |= np.frombuffer(r.bits, np.uint8)
+    for r in log.select("command_id").mapInArrow(build, "at long, bits binary").repartition("at").mapInArrow(merge, "at long, bits binary").toLocalIterator():
+        total.data[r["at"] : r["at"] + len(r.bits)] = np.frombuffer(r.bits, np.uint8)
     return total
 
 

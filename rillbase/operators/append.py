@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import heapq
+from collections import deque
 from collections.abc import Callable, Iterable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .. import schema as S
 from ..functions.routing import logical_slot
@@ -42,11 +44,58 @@ def duplicate_in_batch() -> Column:
     return F.count("*").over(Window.partitionBy("batch_id", "aggregate_id")) > 1
 
 
+def ordered_fold(rows: DataFrame, keys: list[str], order: list[str], inputs: list[str], keep: list[str], made: str, make: Callable[[], Callable[..., tuple]], last: bool = False) -> DataFrame:
+    """Each group's rows in ``order`` through a step of its own; rows stream by, only the step's state is held.
+
+    ``make`` gives a new group's step, from the ``inputs`` to a tuple of the ``made`` columns. Out come ``keep`` and those
+    for each row, or with ``last`` for each group's last one. Groups are dealt by key and sorted within the partition.
+    """
+    shape = T.StructType([T.StructField(c, rows.schema[c].dataType) for c in keep] + T.StructType.fromDDL(made).fields)
+    used = list(dict.fromkeys([*keys, *order, *inputs, *keep]))
+    dealt = rows.select(*used).repartition(*keys).sortWithinPartitions(*keys, *order)
+    out_schema = to_arrow_schema(shape)
+    of_keys, of_inputs, of_keep = ([used.index(c) for c in names] for names in (keys, inputs, keep))
+
+    def batch(out):
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), out_schema, strict=True)], schema=out_schema)
+
+    def run(batches):
+        now, step, held = None, None, None
+        for b in batches:
+            columns = [b.column(i).to_pylist() for i in range(b.num_columns)]
+            pick = lambda at: zip(*(columns[i] for i in at), strict=True)  # noqa: B023, E731
+            out = []
+            for key, given, kept in zip(pick(of_keys), pick(of_inputs), pick(of_keep), strict=True):
+                if key != now:
+                    if last and held is not None:
+                        out.append(held)
+                    now, step = key, make()
+                held = (*kept, *step(*given))
+                if not last:
+                    out.append(held)
+            if out:
+                yield batch(out)
+        if last and held is not None:
+            yield batch([held])
+
+    return dealt.mapInArrow(run, shape)
+
+
 def fold_unique(frames: DataFrame) -> DataFrame:
-    """The final version of each aggregate where commands are unique: arrivals in seq order, each accepted at current + 1. Native."""
-    arrivals = F.array_sort(F.collect_list(F.struct("seq", "version")))
-    step = lambda a, x: F.when(x["version"] == a + 1, x["version"]).otherwise(a)
-    return frames.groupBy("slot", "aggregate_id").agg(F.aggregate(arrivals, F.lit(0).cast("long"), step).alias("version"))
+    """The final version of each aggregate where commands are unique: arrivals in seq order, each accepted at current + 1."""
+
+    def make():
+        current = 0
+
+        def step(version):
+            nonlocal current
+            if version == current + 1:
+                current = version
+            return (current,)
+
+        return step
+
+    return ordered_fold(frames, ["slot", "aggregate_id"], ["seq"], ["version"], ["slot", "aggregate_id"], "version long", make, last=True)
 
 
 class SlotState:
@@ -73,24 +122,18 @@ class SlotState:
         return "success", 0, version, self.seq
 
 
+#: Columns of a result.
 RESULT = "batch_id long, pos int, slot int, aggregate_id string, status string, err_id int, current_version long, seq long"
 
 
 def append_fold(requests: DataFrame) -> DataFrame:
     """Results of requests with slot and reason, each slot in (batch_id, pos) order.
 
-    Whether a request is accepted depends on all accepted before it in its slot, so a slot is folded in one
-    group; only the key columns enter it, bodies are joined back by (batch_id, pos) where they are wanted.
+    Whether a request is accepted depends on all accepted before it in its slot, so a slot is one stream of key
+    columns; what is held are its versions and commands. Bodies are joined back by (batch_id, pos) where they are wanted.
     """
-    keys = requests.select("slot", "batch_id", "pos", "aggregate_id", "version", "command_id", "reason")
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        state, rows = SlotState(), rows.sort_values(["batch_id", "pos"], kind="stable")
-        out = [state.append(a, int(v), c, r if isinstance(r, str) else None) for a, v, c, r in zip(rows["aggregate_id"], rows["version"], rows["command_id"], rows["reason"], strict=True)]
-        done = pd.DataFrame(out, columns=["status", "err_id", "current_version", "seq"])
-        return pd.concat([rows[["batch_id", "pos", "slot", "aggregate_id"]].reset_index(drop=True), done], axis=1)
-
-    return keys.groupBy("slot").applyInPandas(fold, RESULT)
+    made = "status string, err_id int, current_version long, seq long"
+    return ordered_fold(requests, ["slot"], ["batch_id", "pos"], ["aggregate_id", "version", "command_id", "reason"], ["batch_id", "pos", "slot", "aggregate_id"], made, lambda: SlotState().append)
 
 
 def batch_append(requests: DataFrame, size: int, epoch: int = 1, request_epoch: int = 0) -> DataFrame:
@@ -105,48 +148,64 @@ def batch_append(requests: DataFrame, size: int, epoch: int = 1, request_epoch:
 
 
 class TokenBucket:
-    """At most ``tokens`` taken per rolling ``period``: a token comes back that long after it was taken."""
+    """At most ``tokens`` away at once: a token comes back ``period`` after it was taken, or when it is refunded.
+
+    A refund counts at once; the next deadline to pass is then the one that gives nothing back.
+    """
 
     def __init__(self, tokens: int, period: int) -> None:
-        self.tokens, self.period, self.back, self.refused = tokens, period, [], 0
+        self.tokens, self.period, self.due, self.refunded = tokens, period, deque(), 0
 
     def take(self, now: int) -> bool:
-        if self.tokens <= 0:
+        """Whether a token was free; ``now`` does not fall."""
+        if self.tokens <= 0 or self.period <= 0:
             return True
-        while self.back and self.back[0] <= now:
-            heapq.heappop(self.back)
-        if len(self.back) >= self.tokens:
-            self.refused += 1
+        while self.due and self.due[0] <= now:
+            self.due.popleft()
+            self.refunded = max(self.refunded - 1, 0)
+        if max(len(self.due) - self.refunded, 0) >= self.tokens:
             return False
-        heapq.heappush(self.back, now + self.period)
+        self.due.append(now + self.period)
         return True
 
     def refund(self) -> None:
-        """Give back the token taken last."""
-        if self.back:
-            self.back.remove(max(self.back))
-            heapq.heapify(self.back)
+        self.refunded += 1
 
 
 def flow_control(requests: DataFrame, tokens: int, period: int) -> DataFrame:
-    """requests: node, at, group_id, pos, refundable. One row each with admitted.
+    """requests: node, slot, at, group_id, pos, refundable. One row each with admitted and err_id.
 
-    A refusal refuses the rest of its slot group too; a refused-by-version request gives its token back.
+    A refusal (1005) refuses the rest of its slot group too; a request refused by a rule of the slot gives its token back.
+    A node is one stream in (at, group_id, pos) order; its bucket and the group at hand are all that is held.
     """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["at", "group_id", "pos"], kind="stable").reset_index(drop=True)
-        bucket, closed, out = TokenBucket(tokens, period), set(), []
-        for at, group, refundable in zip(rows["at"], rows["group_id"], rows["refundable"], strict=True):
-            ok = group not in closed and bucket.take(int(at))
+    def make():
+        bucket, closed = TokenBucket(tokens, period), None
+
+        def step(at, group, refundable):
+            nonlocal closed
+            ok = closed != (at, group) and bucket.take(at)
             if not ok:
-                closed.add(group)
+                closed = (at, group)
             elif refundable:
                 bucket.refund()
-            out.append(ok)
-        return rows[["node", "at", "group_id", "pos"]].assign(admitted=out)
+            return ok, 0 if ok else 1005
+
+        return step
+
+    keep = ["node", "slot", "at", "group_id", "pos"]
+    return ordered_fold(requests, ["node"], ["at", "group_id", "pos"], ["at", "group_id", "refundable"], keep, "admitted boolean, err_id int", make)
+
+
+def flow_hits(admitted: DataFrame) -> DataFrame:
+    """node, slot, hits, node_hits: refusals by flow control of each slot, and all of its node."""
+    per = admitted.where(F.col("err_id") == 1005).groupBy("node", "slot").agg(F.count("*").alias("hits"))
+    return per.withColumn("node_hits", F.sum("hits").over(Window.partitionBy("node")))
+
 
-    return requests.select("node", "at", "group_id", "pos", "refundable").groupBy("node").applyInPandas(run, "node string, at long, group_id long, pos int, admitted boolean")
+def known_commands(requests: DataFrame, log: DataFrame) -> DataFrame:
+    """Requests whose command is already in their slot (slot, command_id), before any fold."""
+    return requests.join(log.select("slot", "command_id").distinct(), ["slot", "command_id"], "left_semi")
 
 
 def python_fold(rows: Iterable[tuple], state_of: Callable[[], SlotState] = SlotState) -> list[tuple]:

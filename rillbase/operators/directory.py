@@ -9,17 +9,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..schema import MAX_WITHHELD
+from .append import ordered_fold
+
 KEY = ["slot", "aggregate_id"]
 
 
-def first_frames(frames: DataFrame) -> DataFrame:
+def first_frames(frames: DataFrame, keys: list[str] = KEY) -> DataFrame:
     """One row per claimed version: the frame that came first.
 
     Dealt by aggregate at once: versions rarely repeat, so a partial aggregation would save little, and the
     aggregation, the window over versions and the roll-up by aggregate all keep this partitioning.
     """
-    rows = frames.where("version >= 1").select(*KEY, "version", "seq", "unix_time").repartition(*KEY)
-    return rows.groupBy(*KEY, "version").agg(F.min("seq").alias("seq"), F.min_by("unix_time", "seq").alias("unix_time"))
+    rows = frames.where("version >= 1").select(*keys, "version", "seq", "unix_time").repartition(*keys)
+    return rows.groupBy(*keys, "version").agg(F.min("seq").alias("seq"), F.min_by("unix_time", "seq").alias("unix_time"))
 
 
 def directory(frames: DataFrame) -> DataFrame:
@@ -28,22 +31,62 @@ def directory(frames: DataFrame) -> DataFrame:
     return first_frames(frames).withColumn("rn", number).where("rn = version").drop("rn")
 
 
+def capped_directory(frames: DataFrame, cap: int = MAX_WITHHELD) -> DataFrame:
+    """The directory where an aggregate remembers at most ``cap`` versions beyond a gap at a time; others stay in the log only.
+
+    Aggregates of at most ``cap`` versions can't reach it and go the native way; the others are folded in seq order.
+    """
+    sizes = frames.where("version >= 1").groupBy(*KEY).agg(F.count_distinct("version").alias("n"))
+    large = sizes.where(F.col("n") > cap).select(*KEY)
+
+    def make():
+        last, held = 0, {}
+
+        def step(version, seq, unix_time):
+            nonlocal last
+            out = []
+            if version == last + 1:
+                last = version
+                out.append((version, seq, unix_time))
+                while last + 1 in held:
+                    last += 1
+                    out.append((last, *held.pop(last)))
+            elif version > last and len(held) < cap:
+                held.setdefault(version, (seq, unix_time))
+            return ([{"version": v, "seq": s, "unix_time": t} for v, s, t in out],)
+
+        return step
+
+    rows = frames.where("version >= 1").join(large, KEY, "left_semi")
+    folded = ordered_fold(rows, KEY, ["seq"], ["version", "seq", "unix_time"], KEY, "adopted array<struct<version:long,seq:long,unix_time:long>>", make)
+    folded = folded.select(*KEY, F.explode("adopted").alias("a")).select(*KEY, "a.version", "a.seq", "a.unix_time")
+    return directory(frames.join(large, KEY, "left_anti")).unionByName(folded)
+
+
 def withheld(frames: DataFrame) -> DataFrame:
     number = F.row_number().over(Window.partitionBy(*KEY).orderBy("version"))
     return first_frames(frames).withColumn("rn", number).where("rn <> version").drop("rn")
 
 
-def tails(frames: DataFrame) -> DataFrame:
-    """slot, aggregate_id, version (0 if none is resolvable): one aggregation, no join."""
-    number = F.row_number().over(Window.partitionBy(*KEY).orderBy("version"))
-    rows = first_frames(frames).withColumn("rn", number)
-    return rows.groupBy(*KEY).agg(F.coalesce(F.max(F.when(F.col("rn") == F.col("version"), F.col("version"))), F.lit(0)).cast("long").alias("version"))
+def tails(frames: DataFrame, keys: list[str] = KEY) -> DataFrame:
+    """``keys`` and version (0 if none is resolvable): one aggregation, no join."""
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy("version"))
+    rows = first_frames(frames, keys).withColumn("rn", number)
+    return rows.groupBy(*keys).agg(F.coalesce(F.max(F.when(F.col("rn") == F.col("version"), F.col("version"))), F.lit(0)).cast("long").alias("version"))
+
 
+def slot_digest(frames: DataFrame, claimed: DataFrame | None = None) -> DataFrame:
+    """Per slot: aggregates (also those without a resolvable version), versions and resolvable.
 
-def slot_digest(frames: DataFrame) -> DataFrame:
-    """Per slot: aggregates (also those without a resolvable version), versions and resolvable."""
-    t = tails(frames)
-    return t.groupBy("slot").agg(F.count("*").alias("aggregates"), F.sum("version").alias("versions"), F.sum("version").alias("resolvable"))
+    claimed: slot, aggregate_id, version that a copy says it has; without it a copy claims what is resolvable. Where the
+    two sums differ the copy can't serve all it claims.
+    """
+    t = tails(frames).withColumnRenamed("version", "resolvable")
+    if claimed is None:
+        t = t.withColumn("claim", F.col("resolvable"))
+    else:
+        t = t.join(claimed.select(*KEY, F.col("version").alias("claim")), KEY, "full_outer").withColumn("claim", F.coalesce("claim", "resolvable")).withColumn("resolvable", F.coalesce("resolvable", F.lit(0)))
+    return t.groupBy("slot").agg(F.count("*").alias("aggregates"), F.sum("claim").alias("versions"), F.sum("resolvable").alias("resolvable"))
 
 
 def stalled(frames: DataFrame) -> DataFrame:

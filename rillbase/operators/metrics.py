@@ -81,10 +81,21 @@ def outcomes(results: DataFrame) -> DataFrame:
     )
 
 
-def throughput(answered: Column, ok: Column, window_s: Column) -> tuple[Column, Column]:
-    """(rate, throughput) of a run's steady window; 0 without a window."""
-    per = lambda n: F.when(window_s > 0, n / window_s).otherwise(F.lit(0.0))
-    return per(answered), per(ok)
+def mean_ms(df: DataFrame, value_us: str, keys: list[str] | None = None) -> DataFrame:
+    """Mean of a histogram's microseconds in milliseconds, from the sum and the number kept beside its buckets; 0 of none."""
+    total, n = F.sum(value_us), F.count(value_us)
+    return df.groupBy(*(keys or [])).agg(F.when(n > 0, total / n / 1000.0).otherwise(F.lit(0.0)).alias("mean_ms"))
+
+
+def throughput(answers: DataFrame, keys: list[str], ramp_ms: int, end_ms: int) -> DataFrame:
+    """rate and ok_rate a second over the steady window, from ``ramp_ms`` (start-up is left out) to before ``end_ms``.
+
+    answers: keys, at_ms, ok; a group without an answer in the window has 0, and so have all without a window.
+    """
+    window_s = (end_ms - ramp_ms) / 1000.0
+    steady = (F.col("at_ms") >= ramp_ms) & (F.col("at_ms") < end_ms)
+    per = lambda c: (F.count(F.when(c, 1)) / window_s) if window_s > 0 else F.lit(0.0)
+    return answers.groupBy(*keys).agg(per(steady).alias("rate"), per(steady & F.col("ok")).alias("ok_rate"))
 
 
 def flush_stats(flushes: DataFrame) -> DataFrame:

@@ -96,11 +96,46 @@ def read_admission(placements: DataFrame, samples: DataFrame, node: str) -> Data
     return rows.select("slot", mode.alias("mode"), F.when(mode == "bounded", F.col("hw")).otherwise(0).cast("long").alias("bound"))
 
 
-def byte_cap(rows: DataFrame, partition: list[str], size: str, cap: int) -> DataFrame:
-    """Leading rows by seq whose sizes add up to ``cap`` at most; the first row always."""
+def byte_cap(rows: DataFrame, partition: list[str], size: str, cap: int, step: int = 4096) -> DataFrame:
+    """Leading rows by seq whose sizes add up to ``cap`` at most; the first row always.
+
+    Sums of ``step`` seqs each show which of them the cap can reach; only their rows are put in order.
+    """
+    cut = rows.withColumn("cap_step", F.floor(F.col("seq") / step))
+    sums = cut.groupBy(*partition, "cap_step").agg(F.sum(size).alias("cap_bytes"))
+    before = F.sum("cap_bytes").over(Window.partitionBy(*partition).orderBy("cap_step")) - F.col("cap_bytes")
+    reached = sums.withColumn("cap_before", before).where(F.col("cap_before") <= cap).select(*partition, "cap_step")
     w = Window.partitionBy(*partition).orderBy("seq")
     total = F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.withColumn("cap_n", F.row_number().over(w)).withColumn("cap_total", total).where((F.col("cap_total") <= cap) | (F.col("cap_n") == 1)).drop("cap_n", "cap_total")
+    near = cut.join(reached, [*partition, "cap_step"], "left_semi").drop("cap_step")
+    return near.withColumn("cap_n", F.row_number().over(w)).withColumn("cap_total", total).where((F.col("cap_total") <= cap) | (F.col("cap_n") == 1)).drop("cap_n", "cap_total")
+
+
+def slot_range(rows: DataFrame, size: str, start: int, until: int, cap: int) -> DataFrame:
+    """Each slot's records from seq ``start`` to before ``until``: a run without a missing seq, of at most ``cap`` bytes, but the first always."""
+    asked = rows.where((F.col("seq") >= start) & (F.col("seq") < until))
+    capped = byte_cap(asked, ["slot"], size, cap)
+    place = F.row_number().over(Window.partitionBy("slot").orderBy("seq"))
+    return capped.withColumn("place", place).where(F.col("seq") == F.col("place") + start - 1).drop("place")
+
+
+def slot_payload(rows: DataFrame, size: str, frame: str, start: int, until: int, cap: int) -> DataFrame:
+    """slot, first, next, n and the concatenated frames of a slot range; at most ``cap`` bytes or one frame a slot."""
+    run = slot_range(rows, size, start, until, cap)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.hex(frame).alias("f")))), lambda x: x["f"]), "")
+    return run.groupBy("slot").agg(F.min("seq").alias("first"), (F.max("seq") + 1).alias("next"), F.count("*").alias("n"), F.unhex(joined).alias("payload"))
+
+
+def sound(directory: DataFrame, claimed: DataFrame) -> DataFrame:
+    """The directory with a gate: reading a record of a stream whose claimed version is not what is resolvable raises an error.
+
+    claimed: slot, aggregate_id, version.
+    """
+    held = directory.groupBy(*KEY).agg(F.max("version").alias("resolvable"))
+    off = claimed.select(*KEY, F.col("version").alias("claim")).join(held, KEY, "left").where(F.col("claim") != F.coalesce("resolvable", F.lit(0)))
+    met = directory.join(off.select(*KEY, "claim"), KEY, "left")
+    message = F.concat(F.lit("stream "), F.col("aggregate_id"), F.lit(" claims version "), F.col("claim").cast("string"), F.lit(" but not all versions are resolvable"))
+    return met.withColumn("version", F.when(F.col("claim").isNotNull(), F.raise_error(message).cast("long")).otherwise(F.col("version"))).drop("claim")
 
 
 def ids_frame(spark: SparkSession, ids: list[str]) -> DataFrame:

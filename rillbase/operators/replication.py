@@ -56,7 +56,7 @@ def _same_digest() -> Column:
 
 
 def replica_health(placements: DataFrame, views: DataFrame) -> DataFrame:
-    """slot, node, kind of each replica that is not healthy; views: slot, node, loaded, last_seq, aggregates, versions, resolvable.
+    """slot, node, kind of each replica that is not healthy, by kind and then slot; views: slot, node, loaded, last_seq, aggregates, versions, resolvable.
 
     A slot whose leader can't be read has no reference and no finding; equal digests are healthy whatever the LEO.
     """
@@ -70,7 +70,7 @@ def replica_health(placements: DataFrame, views: DataFrame) -> DataFrame:
         .when(F.col("last_seq") >= F.col("l_last_seq"), "diverged")
         .otherwise("behind")
     )
-    return rows.select("slot", "node", kind.alias("kind")).where("kind is not null")
+    return rows.select("slot", "node", kind.alias("kind")).where("kind is not null").orderBy("kind", "slot", "node")
 
 
 def health_summary(findings: DataFrame) -> DataFrame:
@@ -125,11 +125,11 @@ def worst_stuck(slots: DataFrame, n: int) -> DataFrame:
 
 
 def follower_rollup(progress: DataFrame) -> DataFrame:
-    """Per follower: slots, slots in the ISR, oldest age and worst lag."""
+    """Per follower, ascending: slots, slots in the ISR, oldest age and worst lag."""
     age = (F.col("now_ms") - F.col("last_ok_ms")) / 1000.0
     return progress.where("node <> leader").groupBy("node").agg(
         F.count("*").alias("slots"), F.count(F.when(F.col("now_ms") - F.col("last_ok_ms") <= ISR_STALE_MS, 1)).alias("in_isr"), F.max(age).alias("oldest_s"), F.max(F.greatest(F.col("leader_leo") - F.col("leo"), F.lit(0))).alias("worst_lag")
-    )
+    ).orderBy("node")
 
 
 def hw_ledger(samples: DataFrame, placements: DataFrame) -> DataFrame:

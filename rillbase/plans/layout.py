@@ -1,18 +1,19 @@
 """Layout planning over the metadata tables (at most some thousand slots, a fixed bound).
 
-Rules on single rows are column expressions. The seat plan and the fold of metadata commands are sequential
-over one small table and run in Python on it.
+Rules on single rows are column expressions. The seat plan is sequential over one small table and runs in Python
+on it; the fold of metadata commands is in ``commands``.
 """
 
 from __future__ import annotations
 
-import json
 from collections import Counter
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import same_members
+
 
 def ring_plan(spark: SparkSession, nodes: list[str], start: int, end: int, factor: int) -> DataFrame:
     """slot, leader, replicas, epoch and state: slot s is led by nodes[(s - start) % N], the next ones follow."""
@@ -89,11 +90,15 @@ def drain_progress(placements: DataFrame) -> DataFrame:
     return led.join(busy, "node", "full_outer").select("node", F.coalesce("leading", F.lit(0)).alias("leading"), F.coalesce("in_flight", F.lit(0)).alias("in_flight"))
 
 
-def unreachable(reports: DataFrame, window_ms: int = 1000, reporters: int = 2) -> DataFrame:
-    """Nodes that distinct reporters named within the window before some report."""
-    a = reports.select("node", F.col("at_ms").alias("t"))
-    met = a.join(reports, "node").where((F.col("at_ms") <= F.col("t")) & (F.col("at_ms") > F.col("t") - window_ms))
-    return met.groupBy("node", "t").agg(F.count_distinct("reporter").alias("n")).where(F.col("n") >= reporters).select("node").distinct()
+def unreachable(reports: DataFrame, peers: DataFrame, window_ms: int = 1000, reporters: int = 2) -> DataFrame:
+    """node, at_ms: members marked down, when ``reporters`` others have named them within the window (its edge included).
+
+    reports: node, reporter, at_ms; peers: id, down. Reports on oneself, on strangers and on nodes that are down do not count.
+    """
+    up = peers.where(~F.col("down")).select(F.col("id").alias("node"))
+    rows = reports.where("reporter <> '' and reporter <> node").join(F.broadcast(up), "node", "left_semi")  # the members of a cluster
+    seen = F.collect_set("reporter").over(Window.partitionBy("node").orderBy("at_ms").rangeBetween(-window_ms, Window.currentRow))
+    return rows.withColumn("seen", F.size(seen)).where(F.col("seen") >= reporters).groupBy("node").agg(F.min("at_ms").alias("at_ms"))
 
 
 def members(voters: DataFrame, directory: DataFrame) -> DataFrame:
@@ -111,18 +116,30 @@ class Slot:
     state: str = "stable"
     epoch: int = 1
     migrating_to: str = ""
+    grants: dict[str, str] = field(default_factory=dict)
 
 
 @dataclass
 class Peer:
-    hosting: bool = True
+    role: str = "learner"
+    client_addr: str = "http://client"
+    admin_addr: str = ""
     down: bool = False
     draining: bool = False
+    pending_remove: bool = False
+
+    @property
+    def hosting(self) -> bool:
+        return self.role == "learner" and self.client_addr != ""
+
+    @property
+    def offline(self) -> bool:
+        return self.down or self.client_addr == ""
 
 
 @dataclass
 class Layout:
-    """The metadata table: slots, peers and the replica factor."""
+    """The metadata table: slots of the served segment (``start``, ``size``) and staged ones, members, the replica factor, commit floors."""
 
     slots: dict[int, Slot] = field(default_factory=dict)
     peers: dict[str, Peer] = field(default_factory=dict)
@@ -130,14 +147,22 @@ class Layout:
     policy: str = "medium"
     topology: str = ""
     start: int = 0
-    floor: int = 0
+    size: int = 0
+    gen: int = -1
+    slot_count: int = 2048
+    layout_epoch: int = 0
+    plan_members: list[str] = field(default_factory=list)
+    floors: dict[int, int] = field(default_factory=dict)
+
+    def hosting(self) -> list[str]:
+        return sorted(i for i, p in self.peers.items() if p.hosting)
 
     def candidates(self) -> list[str]:
-        hosts = sorted(i for i, p in self.peers.items() if p.hosting)
+        hosts = self.hosting()
         return [i for i in hosts if not self.peers[i].draining] or hosts
 
     def online(self) -> list[str]:
-        live = sorted(i for i, p in self.peers.items() if p.hosting and not p.down)
+        live = [i for i in self.hosting() if not self.peers[i].down]
         return [i for i in live if not self.peers[i].draining] or live
 
 
@@ -156,6 +181,7 @@ class SeatPlanner:
         self.load = Counter(r for x in self.seats.values() for r in x)
         self.add: dict[int, list[str]] = {}
         self.lead: dict[int, str] = {}
+        self.balance: set[int] = set()
 
     def leader(self, s: int) -> str:
         return self.layout.slots[s].leader
@@ -226,6 +252,7 @@ class SeatPlanner:
             heirs = [n for n in self.seats[s] if n != now and n in live and leads[n] < floor]
             if heirs:
                 self.lead[s] = heir = min(heirs, key=lambda n: (not self.on_ring(s, n), leads[n], n))
+                self.balance.add(s)
                 leads[now] -= 1
                 leads[heir] += 1
         if any(n in live and not floor <= leads[n] <= ceil for n in self.nodes):
@@ -236,6 +263,7 @@ class SeatPlanner:
                 continue
             if leads[now] == leads[home] and leads[home] + 1 <= ceil and leads[now] - 1 >= floor:
                 self.lead[s] = home
+                self.balance.add(s)
 
     def plan(self) -> dict[int, dict]:
         if not self.nodes or not self.slots:
@@ -245,7 +273,7 @@ class SeatPlanner:
         out = {}
         for s in self.slots:
             drop = [r for r in self.layout.slots[s].replicas if r not in self.seats[s]]
-            out[s] = {"target": self.seats[s], "add": self.add.get(s, []), "drop": drop, "lead": self.lead.get(s, "")}
+            out[s] = {"target": self.seats[s], "add": self.add.get(s, []), "drop": drop, "lead": self.lead.get(s, ""), "balance": s in self.balance}
         return out
 
 
@@ -302,114 +330,52 @@ def surplus_for_replan(replicas: Column, leader: Column, planned: Column, factor
 
 
 def leader_rebalance(placements: DataFrame, plan: DataFrame, peers: DataFrame) -> DataFrame:
-    """slot, leader, to: stable slots whose leader is not the planned one, those of draining nodes first."""
-    moving = plan.where("lead <> ''").select("slot", F.col("lead").alias("to"))
-    calm = F.broadcast(peers.select(F.col("id").alias("leader"), "draining"))  # the members of a cluster
-    rows = placements.where("state = 'stable'").join(moving, "slot").where("leader <> to").join(calm, "leader", "left")
-    return rows.select("slot", "leader", "to", F.coalesce("draining", F.lit(False)).alias("drain")).orderBy(F.desc("drain"), "slot")
-
-
-def settled(plan: DataFrame) -> DataFrame:
-    """Whether the plan asks for nothing."""
-    return plan.agg(F.coalesce(F.bool_and((F.size("add") == 0) & (F.size("drop") == 0) & (F.col("lead") == "")), F.lit(True)).alias("settled"))
-
-
-def fold_commands(commands: list[tuple[str, dict]], layout: Layout | None = None) -> Layout:
-    """The metadata table after the commands, in order; unknown slots and peers are left alone."""
-    t = layout or Layout()
-
-    def peer(a, **change):
-        if a["id"] in t.peers:
-            for k, v in change.items():
-                setattr(t.peers[a["id"]], k, v)
-
-    def move(a):
-        p = t.slots.get(a["slot"])
-        if p and a["to"] in p.replicas and a["to"] != p.leader:
-            p.leader, p.epoch, p.state, p.migrating_to = a["to"], p.epoch + 1, "stable", ""
-
-    def down(a):
-        peer(a, down=True)
-        for p in t.slots.values():
-            if p.leader == a["id"]:
-                others = [r for r in p.replicas if r != a["id"]]
-                live = [r for r in others if r in t.peers and not t.peers[r].down]
-                heir = next(iter([r for r in live if not t.peers[r].draining] + live + others), "")
-                if heir:
-                    p.leader, p.epoch = heir, p.epoch + 1
-
-    def seat(a, on):
-        p = t.slots.get(a["slot"])
-        if p and on and a["id"] not in p.replicas:
-            p.replicas.append(a["id"])
-        elif p and not on and a["id"] in p.replicas and a["id"] != p.leader:
-            p.replicas.remove(a["id"])
-
-    def plan(a):
-        nodes = a.get("nodes") or t.candidates()
-        rf = min(t.factor, len(nodes)) or len(nodes)
-        t.start = a["start"]
-        for s in range(a["start"], a["end"]):
-            seats = [nodes[(s - a["start"] + i) % len(nodes)] for i in range(rf)]
-            t.slots[s] = Slot(seats[0], seats)
-
-    def replan(_):
-        for s, x in SeatPlanner(t).plan().items():
-            t.slots[s].replicas += [n for n in x["add"] if n not in t.slots[s].replicas]
-
-    def leave(a):
-        t.peers.pop(a["id"], None)
-        for p in t.slots.values():
-            if a["id"] in p.replicas and len(p.replicas) > 1:
-                p.replicas.remove(a["id"])
-                if p.leader == a["id"]:
-                    p.leader, p.epoch = p.replicas[0], p.epoch + 1
-        refill(t)
-
-    def state(a):
-        if a["slot"] in t.slots:
-            t.slots[a["slot"]].state, t.slots[a["slot"]].migrating_to = a["state"], a.get("to", "")
-
-    do = {
-        "config": lambda a: None,
-        "set_topology": lambda a: setattr(t, "topology", t.topology or a["id"]),
-        "set_policy": lambda a: (setattr(t, "policy", a["policy"]), setattr(t, "factor", a["factor"])),
-        "join_node": lambda a: t.peers.setdefault(a["id"], Peer(a.get("hosting", True))),
-        "register": lambda a: peer(a, hosting=a.get("hosting", True)),
-        "drain_node": lambda a: peer(a, draining=a.get("on", True)),
-        "leave_node": leave,
-        "mark_down": down,
-        "mark_up": lambda a: peer(a, down=False),
-        "plan_slots": plan,
-        "stage_group": lambda a: setattr(t, "start", a["base"]),
-        "set_group": lambda a: setattr(t, "slots", {s: p for s, p in t.slots.items() if a["base"] <= s < a["base"] + a["size"]}),
-        "replan_slots": replan,
-        "leader_move": move,
-        "slot_add_replica": lambda a: seat(a, True),
-        "slot_remove_replica": lambda a: seat(a, False),
-        "slot_state": state,
-    }
-    for op, argument in commands:
-        do[op](argument)
-    return t
-
-
-def command_fold(changes: DataFrame) -> DataFrame:
-    """changes: seq, op, args (JSON). The placements after all of them, in seq order (one small changelog)."""
-    spark = changes.sparkSession
-    rows = sorted(((r.seq, r.op, json.loads(r.args)) for r in changes.collect()), key=lambda r: r[0])
-    t = fold_commands([(op, a) for _, op, a in rows])
-    return spark.createDataFrame([(s, p.leader, p.replicas, p.epoch, p.state) for s, p in sorted(t.slots.items())], "slot int, leader string, replicas array<string>, epoch long, state string")
+    """slot, from, to, balance: hand-overs of stable slots, ascending.
+
+    plan: slot, lead, balance; peers: id, role, client_addr, down, draining. A draining leader gives its slot to the first
+    seat that hosts, is up and is calm; any other goes to the planned leader, if that holds a seat. With fewer than two
+    online nodes only slots of draining leaders move.
+    """
+    member = F.struct("id", "draining", ((F.col("role") == "learner") & (F.col("client_addr") != "") & ~F.col("down")).alias("live"))
+    pool = peers.agg(F.collect_list(member).alias("members"))  # the members of a cluster
+    ids = lambda test: F.transform(F.filter("members", test), lambda m: m["id"])
+    pool = pool.select(ids(lambda m: m["live"] & ~m["draining"]).alias("calm"), ids(lambda m: m["live"]).alias("live"), ids(lambda m: m["draining"]).alias("leaving"))
+    pool = pool.withColumn("online", F.when(F.size("calm") > 0, F.size("calm")).otherwise(F.size("live")))
+    rows = placements.where("state = 'stable' and leader <> ''").join(plan.select("slot", "lead", "balance"), "slot", "left").crossJoin(F.broadcast(pool))
+    drain = F.array_contains("leaving", F.col("leader"))
+    first = F.try_element_at(F.filter("replicas", lambda r: (r != F.col("leader")) & F.array_contains("calm", r)), F.lit(1))
+    wanted = F.when((F.col("online") >= 2) & (F.col("lead") != "") & (F.col("lead") != F.col("leader")) & F.array_contains("replicas", F.col("lead")), F.col("lead"))
+    to = F.when(drain, first).otherwise(wanted)
+    balance = ~drain & F.coalesce("balance", F.lit(False))
+    return rows.select("slot", F.col("leader").alias("from"), to.alias("to"), balance.alias("balance")).where("`to` is not null").orderBy("slot")
+
+
+def settled(placements: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Whether every placement (of each layout named by ``keys``) is stable; true of none."""
+    return placements.groupBy(*(keys or [])).agg(F.coalesce(F.bool_and(F.col("state") == "stable"), F.lit(True)).alias("settled"))
+
+
+def gate_open(layout_epoch: Column, hosting: Column, plan_members: Column) -> Column:
+    """Whether automatic seat movement may begin: before a second layout, with an even pool, or where the members are those of the last plan."""
+    return (layout_epoch <= 1) | (F.size(hosting) % 2 == 0) | same_members(plan_members, hosting)
+
+
+def stale(t: Layout) -> bool:
+    """Whether the gate is open and the seat plan has something to do."""
+    hosts = t.hosting()
+    if t.layout_epoch > 1 and len(hosts) % 2 and not (len(t.plan_members) == len(hosts) and set(hosts) <= set(t.plan_members)):
+        return False
+    return any(x["add"] or x["drop"] or x["lead"] for x in SeatPlanner(t).plan().values())
 
 
 def seat_plan(placements: DataFrame, peers: DataFrame, factor: int, start: int) -> DataFrame:
-    """slot, target, add, drop, lead (empty: stays) of every stable slot."""
+    """slot, target, add, drop, lead (empty: stays), balance (the move only evens out or follows the ring) of every stable slot."""
     spark = placements.sparkSession
     t = Layout(
         {r.slot: Slot(r.leader, list(r.replicas), r.state) for r in placements.collect()},
-        {r.id: Peer(r.role == "learner" and bool(r.client_addr), r.down, r.draining) for r in peers.collect()},
+        {r.id: Peer(r.role, r.client_addr or "", "", r.down, r.draining) for r in peers.collect()},
         factor,
         start=start,
     )
-    rows = [(s, x["target"], x["add"], x["drop"], x["lead"]) for s, x in SeatPlanner(t).plan().items()]
-    return spark.createDataFrame(rows, "slot int, target array<string>, add array<string>, drop array<string>, lead string")
+    rows = [(s, x["target"], x["add"], x["drop"], x["lead"], x["balance"]) for s, x in SeatPlanner(t).plan().items()]
+    return spark.createDataFrame(rows, "slot int, target array<string>, add array<string>, drop array<string>, lead string, balance boolean")

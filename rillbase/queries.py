@@ -452,20 +452,42 @@ def append_fold_versions(spark, d):
     return append.fold_unique(frames_lineitem(spark, d))
 
 
-_FOLD = (
-    LOG
-    + """, fold AS (SELECT aggregate_id, list(event_id ORDER BY event_id) AS ids FROM log GROUP BY ALL)
-SELECT slot, event_id AS batch_id, 0 AS pos, aggregate_id, 'success' AS status, 0 AS err_id, version AS current_version, seq FROM log"""
+#: A fold of requests (slot, batch_id, pos, aggregate_id, version, command_id, reason) whose commands are only repeated by their own aggregate.
+_APPENDS = """, line AS (SELECT *, row_number() OVER (PARTITION BY slot, aggregate_id ORDER BY batch_id, pos) AS k FROM asked),
+run AS (SELECT slot, aggregate_id, 0::BIGINT AS k, 0::BIGINT AS version, []::VARCHAR[] AS known, '' AS status FROM (SELECT DISTINCT slot, aggregate_id FROM asked) UNION ALL
+ SELECT l.slot, l.aggregate_id, l.k, CASE WHEN s = 'success' THEN l.version ELSE was END, CASE WHEN s = 'success' THEN list_append(had, l.command_id) ELSE had END, s FROM (SELECT l.*, r.version AS was, r.known AS had,
+ CASE WHEN l.reason IS NOT NULL THEN 'invalid' WHEN list_contains(r.known, l.command_id) THEN 'exists' WHEN l.version = r.version + 1 THEN 'success' ELSE 'conflict' END AS s FROM run r JOIN line l ON l.slot = r.slot AND l.aggregate_id = r.aggregate_id AND l.k = r.k + 1) l),
+judged AS (SELECT l.*, r.status AS verdict, r.version AS current FROM line l JOIN run r USING (slot, aggregate_id, k)), landed AS (SELECT slot, command_id, version, row_number() OVER (PARTITION BY slot ORDER BY batch_id, pos) AS seq FROM judged WHERE verdict = 'success'),
+results AS (SELECT j.batch_id, j.pos, j.slot, j.aggregate_id, CASE verdict WHEN 'success' THEN verdict WHEN 'exists' THEN verdict ELSE 'fail' END AS status, CASE verdict WHEN 'invalid' THEN 1002 WHEN 'conflict' THEN 1001 ELSE 0 END AS err_id, CASE verdict WHEN 'invalid' THEN 0 WHEN 'exists' THEN w.version ELSE current END AS current_version, coalesce(w.seq, 0) AS seq
+ FROM judged j LEFT JOIN landed w ON w.slot = j.slot AND w.command_id = j.command_id AND j.verdict IN ('success', 'exists'))
+"""
+_RETRIED = (
+    LOG.replace("WITH ", "WITH RECURSIVE ", 1)
+    + """, good AS (SELECT slot, event_id, aggregate_id, command_id, event_id % 11 = 0 AS off, event_id % 13 = 0 AS bad, sum((event_id % 11 <> 0 AND event_id % 13 <> 0)::INT) OVER (PARTITION BY aggregate_id ORDER BY event_id) AS n FROM log),
+asked AS (SELECT slot, 2 * event_id + again AS batch_id, 0 AS pos, aggregate_id, CASE WHEN off THEN n + 2 ELSE n END::BIGINT AS version, command_id, CASE WHEN bad THEN 'version_zero' END AS reason FROM good, (VALUES (0), (1)) a(again) WHERE again = 0 OR event_id % 5 = 0)"""
+    + _APPENDS
 )
 
 
-@query(_FOLD.replace(", 0 AS pos", ", 0::INT AS pos").replace("0 AS err_id", "0::INT AS err_id"))
+@query(_RETRIED + "SELECT * FROM results")
 def append_fold_full(spark, d):
-    requests = log_events(spark, d).select("slot", F.col("event_id").alias("batch_id"), F.lit(0).alias("pos"), "aggregate_id", "version", "command_id", F.lit(None).cast("string").alias("reason"))
+    """Appends of which some skip a version, some are invalid, and every fifth is sent twice."""
+    n = F.col("event_id")
+    log = log_events(spark, d).select("slot", "event_id", "aggregate_id", "command_id")
+    good = F.sum(((n % 11 != 0) & (n % 13 != 0)).cast("long")).over(Window.partitionBy("aggregate_id").orderBy("event_id"))
+    rows = log.withColumn("n", good).withColumn("again", F.explode(F.when(n % 5 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    requests = rows.select("slot", (2 * n + F.col("again")).alias("batch_id"), F.lit(0).alias("pos"), "aggregate_id", F.when(n % 11 == 0, F.col("n") + 2).otherwise(F.col("n")).alias("version"), "command_id", F.when(n % 13 == 0, "version_zero").alias("reason"))
     return append.append_fold(requests)
 
 
-@query(None)
+_BATCHED = (
+    _REQ.replace("WITH ", "WITH RECURSIVE ", 1)
+    + f", {_ROUTED}, asked AS (SELECT CASE WHEN aggregate_id = '' THEN 11 ELSE {SIZE} + (h % {SIZE})::INT END AS slot, batch_id, pos, aggregate_id, version, command_id, CASE WHEN count(*) OVER (PARTITION BY batch_id, aggregate_id) > 1 OR aggregate_id = '' OR codec > 0 OR strlen(command_id) > 256 OR version = 0 OR strlen(type) > 256 THEN 'invalid' END AS reason FROM req LEFT JOIN routed ON id = aggregate_id)"
+    + _APPENDS
+)
+
+
+@query(_BATCHED + "SELECT * FROM results")
 def batch_append_results(spark, d):
     return append.batch_append(_requests(spark, d), SIZE)
 
@@ -475,16 +497,41 @@ def batch_append_stale_epoch(spark, d):
     return append.batch_append(_requests(spark, d), SIZE, epoch=3, request_epoch=2)
 
 
-@query(None)
+@query(_RETRIED + "SELECT count(*) FILTER (WHERE status = 'success') AS success, count(*) FILTER (WHERE status = 'exists') AS exists_, count(*) FILTER (WHERE status = 'fail') AS fail, 0::BIGINT AS redirected, 0::BIGINT AS fail_1007, count(*) FILTER (WHERE err_id = 1001) AS fail_1001, 0::BIGINT AS fail_1008, 0::BIGINT AS fail_1009, count(*) FILTER (WHERE err_id = 1002) AS fail_other FROM results")
 def append_outcomes(spark, d):
-    return metrics.outcomes(append.batch_append(_requests(spark, d), SIZE))
+    return metrics.outcomes(append_fold_full(spark, d))
+
+
+@query(_RETRIED + "SELECT batch_id, slot, command_id FROM asked WHERE batch_id % 2 = 1 AND (slot, command_id) IN (SELECT slot, command_id FROM log)")
+def known_commands(spark, d):
+    """Requests sent again, of which the log already has the command."""
+    log = log_events(spark, d).select("slot", "event_id", "command_id")
+    again = log.where("event_id % 5 = 0").select((2 * F.col("event_id") + 1).alias("batch_id"), "slot", "command_id")
+    fresh = log.select((2 * F.col("event_id") + 1).alias("batch_id"), "slot", F.concat(F.lit("new-"), F.col("event_id")).alias("command_id"))
+    return append.known_commands(again.unionByName(fresh), log).select("batch_id", "slot", "command_id")
+
+
+#: Slot groups of ten requests, seven seconds apart; three tokens a node for ten seconds.
+_FLOW = """WITH RECURSIVE asked AS (SELECT 'node-' || (event_id // 10 % 5) AS node, (event_id % 4)::INT AS slot, event_id // 50 * 7 AS "at", event_id // 10 AS group_id, (event_id % 10)::INT AS pos, event_id % 7 < 3 AS refundable FROM events),
+line AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY "at", group_id, pos) AS k FROM asked),
+run AS (SELECT node, 0::BIGINT AS k, []::BIGINT[] AS due, 0::BIGINT AS refunded, -1::BIGINT AS closed, false AS admitted FROM (SELECT DISTINCT node FROM asked) UNION ALL
+ SELECT node, k, CASE WHEN ok THEN list_append(due, "at" + 10) ELSE due END, CASE WHEN ok AND refundable THEN refunded + 1 ELSE refunded END, CASE WHEN ok THEN closed ELSE group_id END, ok FROM (SELECT *, closed <> group_id AND greatest(len(due) - refunded, 0) < 3 AS ok FROM (
+  SELECT l.node, l.k, l."at", l.group_id, l.refundable, r.closed, CASE WHEN r.closed = l.group_id THEN r.due ELSE list_filter(r.due, lambda x: x > l."at") END AS due, CASE WHEN r.closed = l.group_id THEN r.refunded ELSE greatest(r.refunded - len(list_filter(r.due, lambda x: x <= l."at")), 0) END AS refunded
+  FROM run r JOIN line l ON l.node = r.node AND l.k = r.k + 1))),
+flow AS (SELECT node, slot, "at", group_id, pos, admitted, CASE WHEN admitted THEN 0 ELSE 1005 END AS err_id FROM line JOIN run USING (node, k))
+"""
 
 
-@query(None)
+@query(_FLOW + "SELECT * FROM flow")
 def flow_control(spark, d):
-    e = table(spark, d, "events")
-    asked = e.select(F.concat(F.lit("node-"), F.col("user_id") % 5).alias("node"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), F.floor(F.col("event_id") / 10).alias("group_id"), (F.col("event_id") % 10).cast("int").alias("pos"), (F.col("event_id") % 7 == 0).alias("refundable"))
-    return append.flow_control(asked, 3, 600)
+    n = F.col("event_id")
+    asked = table(spark, d, "events").select(F.concat(F.lit("node-"), F.floor(n / 10) % 5).alias("node"), (n % 4).cast("int").alias("slot"), (F.floor(n / 50) * 7).alias("at"), F.floor(n / 10).alias("group_id"), (n % 10).cast("int").alias("pos"), (n % 7 < 3).alias("refundable"))
+    return append.flow_control(asked, 3, 10)
+
+
+@query(_FLOW + "SELECT node, slot, count(*) AS hits, sum(count(*)) OVER (PARTITION BY node)::BIGINT AS node_hits FROM flow WHERE NOT admitted GROUP BY node, slot")
+def flow_hits(spark, d):
+    return append.flow_hits(flow_control(spark, d))
 
 
 # Replication.
@@ -530,10 +577,7 @@ found AS (SELECT h.slot, h.node, CASE WHEN v.loaded IS NULL THEN 'unreachable' W
 
 
 def _views(spark, d):
-    c = copies(spark, d).withColumn("unix_time", F.lit(0))
-    # A copy's directory is that of its own frames: the node takes part in the key.
-    keyed = c.withColumn("aggregate_id", F.concat_ws("/", "node", "aggregate_id"))
-    t = directory.tails(keyed).withColumn("node", F.split("aggregate_id", "/")[0])
+    t = directory.tails(copies(spark, d).withColumn("unix_time", F.lit(0)), ["slot", "node", "aggregate_id"])
     digest = t.groupBy("slot", "node").agg(F.count("*").alias("aggregates"), F.sum("version").alias("versions"), F.sum("version").alias("resolvable"))
     rows = digest.join(leos(spark, d).withColumnRenamed("leo", "last_seq"), ["slot", "node"]).where(~((F.col("node") == "node-4") & (F.col("slot") % 2 == 1)))
     return rows.withColumn("loaded", (F.col("slot") % 3 != 2) | (F.col("node") != "node-2"))
@@ -733,14 +777,6 @@ def seat_plan(spark, d):
     return layout.seat_plan(placements(spark, d), peers, 3, SIZE)
 
 
-@query(None)
-def command_fold(spark, d):
-    joins = [("join_node", f'{{"id": "node-{i}"}}') for i in range(5)]
-    ops = [*joins, ("set_policy", '{"policy": "3", "factor": 3}'), ("plan_slots", f'{{"start": {SIZE}, "end": {2 * SIZE}}}'), ("mark_down", '{"id": "node-1"}'), ("leader_move", '{"slot": 8, "to": "node-2"}'), ("slot_remove_replica", '{"slot": 8, "id": "node-0"}'), ("replan_slots", "{}")]
-    changes = spark.createDataFrame([(i, op, a) for i, (op, a) in enumerate(ops)], "seq int, op string, args string")
-    return layout.command_fold(changes)
-
-
 # Generations and codecs.
 
 

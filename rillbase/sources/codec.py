@@ -8,6 +8,7 @@ format 1), and per event type and body. Ids and types have 2-byte lengths, bodie
 from __future__ import annotations
 
 import gzip
+import itertools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -125,21 +126,80 @@ def valid_segment_bytes(n: int) -> bool:
 SEGMENT_ROWS = "slot int, seq long, aggregate_id string, version long, unix_time long, command_id string, codec tinyint, events array<struct<type:string,body:binary>>"
 
 
+def _batches(rows: Iterator[tuple], names: list[str], size: int = 2000) -> Iterator[pd.DataFrame]:
+    while part := list(itertools.islice(rows, size)):
+        yield pd.DataFrame(part, columns=names)
+
+
 def scan_segments(spark: SparkSession, path: str, from_seq: int = 1) -> DataFrame:
-    """Records of all segment files under a path, a task per group of files; torn tails are left out."""
+    """Records of all segment files under a path, a task per group of files; torn tails are left out.
+
+    A file is held whole (Spark's binary files are at most 2 GiB), its records are decoded one after another.
+    """
     files = spark.read.format("binaryFile").load(path).select("content")
 
     def read(batches):
         for batch in batches:
             for content in batch["content"]:
                 slot, rows = read_segment(content)
-                out = [(slot, seq, r.aggregate_id, r.version, r.unix_time, r.command_id, r.codec, [{"type": t, "body": b} for t, b in r.events]) for seq, r in rows if seq >= from_seq]
-                for i in range(0, len(out), 2000):
-                    yield pd.DataFrame(out[i : i + 2000], columns=["slot", "seq", "aggregate_id", "version", "unix_time", "command_id", "codec", "events"])
+                out = ((slot, seq, r.aggregate_id, r.version, r.unix_time, r.command_id, r.codec, [{"type": t, "body": b} for t, b in r.events]) for seq, r in rows if seq >= from_seq)
+                yield from _batches(out, ["slot", "seq", "aggregate_id", "version", "unix_time", "command_id", "codec", "events"])
 
     return files.mapInPandas(read, SEGMENT_ROWS)
 
 
+def read_headers(data: bytes) -> tuple[int, Iterator[tuple]]:
+    """slot, and (seq, aggregate id, version, unix time, command id, offset, frame bytes) of each whole frame; bodies are not read."""
+    if len(data) < HEADER.size:
+        raise Corrupt("no header")
+    magic, version, slot, seq = HEADER.unpack_from(data)
+    if magic != MAGIC or version not in FORMATS:
+        raise Corrupt("not a segment")
+
+    def walk():
+        at, n = HEADER.size, seq
+        while at + 4 <= len(data):
+            (size,) = struct.unpack_from(">I", data, at)
+            if at + 4 + size > len(data):
+                return
+            r = _Reader(data[at + 4 : at + 4 + min(size, 2 * (2 + 65535) + 14)])
+            try:
+                head = (r.take(r.number("H")).decode(), r.number("I"), r.number("q"), r.take(r.number("H")).decode())
+            except (Corrupt, UnicodeDecodeError):
+                return
+            yield n, *head, at, size + 4
+            at, n = at + 4 + size, n + 1
+
+    return slot, walk()
+
+
+HEADER_ROWS = "slot int, seq long, aggregate_id string, version long, unix_time long, command_id string, offset long, bytes long"
+
+
+def scan_headers(files: DataFrame) -> DataFrame:
+    """The heads of all frames of segment files (a column ``content``): what an index or a range read is made of."""
+
+    def read(batches):
+        for batch in batches:
+            for content in batch["content"]:
+                slot, rows = read_headers(content)
+                yield from _batches(((slot, *r) for r in rows), ["slot", "seq", "aggregate_id", "version", "unix_time", "command_id", "offset", "bytes"])
+
+    return files.select("content").mapInPandas(read, HEADER_ROWS)
+
+
+def scan_frames(files: DataFrame) -> DataFrame:
+    """slot, seq, bytes and the encoded frame of every whole record."""
+
+    def read(batches):
+        for batch in batches:
+            for content in batch["content"]:
+                slot, rows = read_headers(content)
+                yield from _batches(((slot, r[0], r[6], bytes(content[r[5] : r[5] + r[6]])) for r in rows), ["slot", "seq", "bytes", "frame"])
+
+    return files.select("content").mapInPandas(read, "slot int, seq long, bytes long, frame binary")
+
+
 def to_segments(log: DataFrame) -> DataFrame:
     """slot, base_seq and content of one segment per slot's contiguous run in a task (for export)."""
 

@@ -12,17 +12,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def assign_seq(df: DataFrame, slot: str, order: list[Column], bucket: Column, out: str = "seq") -> DataFrame:
+def assign_seq(df: DataFrame, slot: str, order: list[Column], *buckets: Column, out: str = "seq") -> DataFrame:
     """A dense number from 1 in each slot, in ``order``.
 
-    ``bucket`` must not fall as ``order`` rises. Rows are numbered within (slot, bucket) and shifted by the
-    counts of the buckets before, so a slot's rows are not sorted in one task.
+    Each of ``buckets``, from coarse to fine, must not fall as ``order`` rises within the coarser ones. Rows are numbered
+    within the finest and shifted by the counts of buckets before, level by level, so no window holds a slot's rows, nor
+    more than one coarser bucket's buckets.
     """
-    cut = df.withColumn("seq_bucket", bucket)
-    before = cut.groupBy(slot, "seq_bucket").agg(F.count("*").alias("seq_n"))
-    before = before.withColumn("seq_base", F.sum("seq_n").over(Window.partitionBy(slot).orderBy("seq_bucket")) - F.col("seq_n")).drop("seq_n")
-    local = F.row_number().over(Window.partitionBy(slot, "seq_bucket").orderBy(*order))
-    return cut.withColumn("seq_local", local).join(before, [slot, "seq_bucket"]).withColumn(out, F.col("seq_base") + F.col("seq_local")).drop("seq_bucket", "seq_base", "seq_local")
+    names = [f"seq_bucket{i}" for i in range(len(buckets))]
+    cut = df.select("*", *[b.alias(n) for b, n in zip(buckets, names, strict=True)])
+    counts = cut.groupBy(slot, *names).agg(F.count("*").alias("seq_n"))
+    before = counts.withColumn("seq_base", F.lit(0).cast("long"))
+    for i, name in enumerate(names):
+        level = counts.groupBy(slot, *names[: i + 1]).agg(F.sum("seq_n").alias("seq_n"))
+        earlier = F.sum("seq_n").over(Window.partitionBy(slot, *names[:i]).orderBy(name)) - F.col("seq_n")
+        before = before.join(level.select(slot, *names[: i + 1], earlier.alias("seq_earlier")), [slot, *names[: i + 1]])
+        before = before.withColumn("seq_base", F.col("seq_base") + F.col("seq_earlier")).drop("seq_earlier")
+    before = before.drop("seq_n")
+    local = F.row_number().over(Window.partitionBy(slot, *names).orderBy(*order))
+    return cut.withColumn("seq_local", local).join(before, [slot, *names]).withColumn(out, (F.col("seq_base") + F.col("seq_local")).cast("long")).drop(*names, "seq_base", "seq_local")
 
 
 def log_events(spark: SparkSession, sf_dir: str, gen: int = 3) -> DataFrame:
@@ -45,7 +53,7 @@ def frames_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames with gaps, duplicates and out-of-order versions: orders are aggregates, line numbers versions, one slot of four by order key."""
     order = [F.col(c) for c in ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax")]
     rows = table(spark, sf_dir, "lineitem").withColumn("slot", (F.col("l_orderkey") % 4).cast("int"))
-    numbered = assign_seq(rows, "slot", order, F.trunc(F.col("l_shipdate").cast("date"), "month"))
+    numbered = assign_seq(rows, "slot", order, F.col("l_shipdate"), F.shiftright("l_orderkey", 20))
     return numbered.select("slot", "seq", F.concat(F.lit("ord-"), F.col("l_orderkey")).alias("aggregate_id"), F.col("l_linenumber").cast("long").alias("version"), F.unix_seconds(F.col("l_shipdate").cast("timestamp")).alias("unix_time"))
 
 
@@ -60,4 +68,4 @@ def log_conversations(spark: SparkSession, sf_dir: str, gen: int = 2) -> DataFra
         F.col("role").alias("event_type"),
         F.col("text").alias("body"),
     ).withColumn("slot", logical_slot("aggregate_id", size) + size)
-    return assign_seq(rows, "slot", [F.col("turn"), F.col("conv_id")], F.col("turn"))
+    return assign_seq(rows, "slot", [F.col("turn"), F.col("conv_id")], F.col("turn"), F.floor(F.col("conv_id") / 1_000_000))

@@ -5,9 +5,8 @@ import os
 import duckdb
 import pytest
 
-from rillbase import admin_queries  # noqa: F401  adds its queries to the registry
+from rillbase import admin_queries, surface_queries  # noqa: F401  add their queries to the registry
 from rillbase import queries as Q
-from rillbase.operators.append import python_fold
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -35,18 +34,15 @@ def test_oracle(spark, sf, duck, name):
     assert ordered(df.select(*columns).collect()) == ordered(want.fetchall())
 
 
-def test_batch_append_is_the_python_fold(spark, sf):
-    from pyspark.sql import functions as F
+def test_batch_append_has_every_outcome(spark, sf):
+    seen = {(r.status, r.err_id) for r in Q.append_fold_full(spark, sf).collect()}
+    assert seen == {("success", 0), ("exists", 0), ("fail", 1001), ("fail", 1002)}
+    assert {r.maybe for r in Q.QUERIES["command_filter"](spark, sf).collect()} == {True, False}
 
-    from rillbase.functions.routing import logical_slot
-    from rillbase.operators.append import duplicate_in_batch, invalid_reason
 
-    requests = Q._requests(spark, sf)
-    keyed = requests.withColumn("slot", logical_slot("aggregate_id", Q.SIZE) + Q.SIZE).withColumn("reason", F.when(duplicate_in_batch(), "duplicate").otherwise(invalid_reason()))
-    rows = sorted(keyed.select("batch_id", "pos", "slot", "aggregate_id", "version", "command_id", "reason").collect(), key=lambda r: (r.batch_id, r.pos))
-    want = {(r.batch_id, r.pos): (r.slot, *w) for r, w in zip(rows, python_fold((r.slot, r.aggregate_id, r.version, r.command_id, r.reason) for r in rows), strict=True)}
-    got = {(r.batch_id, r.pos): (r.slot, r.status, r.err_id, r.current_version, r.seq) for r in Q.batch_append_results(spark, sf).collect()}
-    assert got == want and len({w[1] for w in want.values()}) > 1
+def test_no_statement_holds_without_rows(duck):
+    empty = [name for name, sql in Q.ORACLE.items() if not duck.sql(sql).limit(1).fetchall()]
+    assert empty == []
 
 
 def test_entry(spark):

@@ -7,7 +7,8 @@ import pytest
 
 from rillbase.functions import routing, scalar
 from rillbase.operators import append, directory, metrics, reads, replication
-from rillbase.plans.layout import Layout, Peer, SeatPlanner, Slot, fold_commands
+from rillbase.plans.commands import Refused, fold_commands
+from rillbase.plans.layout import Layout, Peer, SeatPlanner, Slot
 from rillbase.sources import codec
 
 #: Known slots of ids by size.
@@ -96,7 +97,12 @@ def test_bucket():
     b = append.TokenBucket(2, 10)
     assert [b.take(t) for t in (0, 1, 2, 9, 10, 11, 12)] == [True, True, False, False, True, True, False]
     b.refund()
-    assert b.take(12) and b.refused == 3
+    assert b.take(12) and not b.take(12)
+    c = append.TokenBucket(2, 10)
+    assert c.take(0) and c.take(5)
+    c.refund()  # the deadline at 10 then gives nothing back
+    assert [c.take(12), c.take(12), c.take(15)] == [True, False, True]
+    assert all(append.TokenBucket(2, 0).take(0) for _ in range(5)) and append.TokenBucket(0, 9).take(0)
 
 
 def test_health_kinds(spark):
@@ -235,10 +241,100 @@ def test_leaving_node_is_refilled_evenly(n, nodes, factor):
     assert max(load) - min(load) <= 1
 
 
+def joins(n, **more):
+    return [("join_node", {"id": f"n{i}", "role": "learner", "client_addr": f"c{i}", **more}) for i in range(n)]
+
+
+PLAN = ("plan_slots", {"gen": 2, "base": 4, "size": 4})
+
+
+def shape(t):
+    return [(s, p.leader, p.replicas, p.epoch, p.state) for s, p in sorted(t.slots.items())]
+
+
 def test_command_fold():
-    ops = [("join_node", {"id": f"n{i}"}) for i in range(3)] + [("set_policy", {"policy": "medium", "factor": 2}), ("plan_slots", {"start": 4, "end": 8}), ("mark_down", {"id": "n0"}), ("leader_move", {"slot": 5, "to": "n2"})]
-    t = fold_commands(ops)
+    t = fold_commands([*joins(3), ("set_policy", {"policy": "medium"}), PLAN, ("mark_down", {"id": "n0"}), ("leader_move", {"slots": [5], "to": "n2"})])
     assert [(s, p.leader, p.epoch) for s, p in sorted(t.slots.items())] == [(4, "n1", 2), (5, "n2", 2), (6, "n2", 1), (7, "n1", 2)]
+    assert (t.gen, t.start, t.size, t.layout_epoch, t.plan_members) == (2, 4, 4, 1, ["n0", "n1", "n2"])
+
+
+def test_a_policy_follows_the_members():
+    assert fold_commands([*joins(2), ("set_policy", {"policy": "high"})]).factor == 2
+    assert fold_commands([*joins(4), ("set_policy", {"policy": " HIGH "})]).factor == 3
+    assert fold_commands([*joins(4), ("set_policy", {"policy": "007"})]).policy == "7"
+    assert fold_commands([("config", {"slot_count": 64, "replicas": 5}), ("config", {"slot_count": 0, "replicas": -1})]).factor == 5
+    assert fold_commands([("set_topology", {"id": "a"}), ("set_topology", {"id": "b"})]).topology == "a"
+
+
+def test_a_node_that_comes_back_serves_again():
+    ops = [*joins(2), ("drain_node", {"id": "n1", "on": True, "then_remove": True})]
+    t = fold_commands(ops)
+    assert t.peers["n1"].draining and t.peers["n1"].pending_remove
+    assert not fold_commands([*ops, ("drain_node", {"id": "n1", "on": False, "then_remove": True})]).peers["n1"].pending_remove
+    back = fold_commands([*ops, ("join_node", {"id": "n1", "role": "voter", "client_addr": "new"})]).peers["n1"]
+    assert (back.draining, back.pending_remove, back.role, back.client_addr) == (False, False, "voter", "new")
+    t = fold_commands([("join_node", {"id": "x"}), ("register", {"id": "x", "role": "learner", "admin_addr": "a", "client_addr": "c"}), ("register", {"id": "y", "admin_addr": "a", "client_addr": "c"})])
+    assert t.peers["x"].hosting and "y" not in t.peers
+
+
+def test_leaving_purges_the_node():
+    one = fold_commands([*joins(2), ("set_policy", {"policy": "low"}), PLAN, ("slot_state", {"slots": [4], "state": "migrating_out", "to": "n1"})])
+    t = fold_commands([("leave_node", {"id": "n1"})], one)
+    assert "n1" not in t.peers and (t.slots[4].state, t.slots[4].migrating_to) == ("stable", "")
+    assert t.slots[5].epoch == 2 and all("n1" not in p.replicas and p.leader != "n1" for p in t.slots.values())
+    alone = fold_commands([*joins(1), ("set_policy", {"policy": "low"}), PLAN, ("leave_node", {"id": "n0"})])
+    assert shape(alone) == [(s, "", [], 2, "stable") for s in range(4, 8)]
+    again = fold_commands([*joins(2)[1:], ("replan_slots", {})], alone)  # a slot without a writer takes the ring's
+    assert shape(again) == [(s, "n1", ["n1"], 3, "stable") for s in range(4, 8)]
+
+
+def test_a_hand_over():
+    start = [*joins(4), ("set_policy", {"policy": "medium"}), PLAN]
+    t = fold_commands([*start, ("slot_state", {"slots": [4], "state": "migrating_out", "to": "n3"}), ("leader_move", {"slots": [4], "to": "n3", "commit_leo": 9}), ("leader_move", {"slots": [4], "to": "n3", "commit_leo": 7})])
+    assert (t.slots[4].leader, t.slots[4].replicas, t.slots[4].epoch, t.slots[4].state, t.slots[4].migrating_to, t.floors) == ("n3", ["n0", "n1", "n3"], 2, "stable", "", {4: 9})
+    same = fold_commands([*start, ("slot_state", {"slots": [4], "state": "migrating_out", "to": "n3"}), ("leader_move", {"slots": [4], "to": "n0"})])
+    assert (same.slots[4].epoch, same.slots[4].state) == (1, "stable")
+    for op in (("leader_move", {"slots": [4], "to": "n9"}), ("leader_move", {"slots": [99], "to": "n1"}), ("slot_add_replica", {"slots": [4], "id": "n9"}), ("slot_remove_replica", {"slots": [4], "id": "n0"}), ("set_group", {"gen": 3, "base": 8, "size": 16}), ("stage_group", {"base": 4, "size": 4}), ("nothing", {})):
+        with pytest.raises(Refused):
+            fold_commands([*start, op])
+        refused = []
+        assert shape(fold_commands([*start, op], refused=refused)) == shape(fold_commands(start)) and refused[0][0] == len(start)
+    drained = [*start, ("drain_node", {"id": "n3", "on": True})]
+    for op in ("leader_move", "slot_add_replica"):
+        with pytest.raises(Refused):
+            fold_commands([*drained, (op, {"slots": [4], "to": "n3", "id": "n3"})])
+
+
+def test_a_verdict_on_a_node():
+    start = [*joins(3), ("set_policy", {"policy": "high"}), PLAN]
+    t = fold_commands([*start, ("mark_down", {"id": "n0", "new_leaders": {"4": "n2"}, "new_leader_leo": {"4": 12, "7": 5}})])
+    assert (t.slots[4].leader, t.slots[7].leader, t.floors) == ("n2", "n1", {4: 12, 7: 5})
+    assert shape(fold_commands([*start, ("mark_down", {"id": "n9"}), ("mark_up", {"id": "n9"})])) == shape(fold_commands(start))
+    last = fold_commands([*start, ("mark_down", {"id": "n1"}), ("mark_down", {"id": "n2"}), ("drain_node", {"id": "n0"}), ("mark_up", {"id": "n1"})])
+    assert last.peers["n2"].down and not last.peers["n1"].down
+
+
+def test_generations():
+    start = [*joins(2), ("set_policy", {"policy": "low"}), PLAN]
+    staged = fold_commands([*start, ("stage_group", {"base": 8, "size": 8})])
+    assert len(staged.slots) == 12 and staged.slots[8].state == "importing_in"
+    done = fold_commands([("leader_move", {"slots": [9], "to": "n0"}), ("slot_state", {"slots": [9], "state": "importing_in"}), ("set_group", {"gen": 3, "base": 8, "size": 8})], staged)
+    assert sorted(done.slots) == list(range(8, 16)) and done.slots[9].leader == "n0" and {p.state for p in done.slots.values()} == {"stable"} and done.layout_epoch == 2
+    fresh = fold_commands([*start, ("set_group", {"gen": 3, "base": 8, "size": 8})])
+    assert [p.leader for _, p in sorted(fresh.slots.items())] == ["n0", "n1"] * 4
+    assert fold_commands([("set_group", {"gen": 3, "base": 8, "size": 8})], fresh).layout_epoch == 2
+
+
+def test_the_gate():
+    from rillbase.plans.layout import stale
+
+    t = fold_commands([*joins(2), ("set_policy", {"policy": "medium"}), PLAN, ("set_group", {"gen": 3, "base": 8, "size": 8})])
+    assert not stale(t)
+    odd = fold_commands([("join_node", {"id": "n2", "role": "learner", "client_addr": "c"})], t)
+    assert not stale(odd)  # an odd pool whose members are not the last plan's
+    even = fold_commands([("join_node", {"id": "n3", "role": "learner", "client_addr": "c"})], odd)
+    assert stale(even)
+    assert stale(fold_commands([("set_policy", {"policy": "low"})], t))
 
 
 def run_stream(spark, make, rows, schema, tmp_path, key, files=3):
@@ -270,3 +366,59 @@ def test_append_stream_equals_the_fold(spark, tmp_path):
     got = run_stream(spark, append_stream, rows, schema, tmp_path, "appended", files=1)
     want = {(r.batch_id, r.pos): (r.status, r.seq) for r in append.append_fold(spark.createDataFrame(rows, schema)).collect()}
     assert {(r.batch_id, r.pos): (r.status, r.seq) for r in got} == want
+
+
+def test_a_desynced_stream_can_not_be_read(spark):
+    f = frames(spark, [(1, "a", 1), (2, "a", 2), (3, "b", 1), (4, "b", 3)])
+    d = directory.directory(f)
+    claimed = f.groupBy("slot", "aggregate_id").max("version").withColumnRenamed("max(version)", "version")
+    gated = reads.sound(d, claimed)
+    assert [r.version for r in gated.where("aggregate_id = 'a'").collect()] == [1, 2]
+    with pytest.raises(Exception, match="claims version 3"):
+        gated.where("aggregate_id = 'b'").collect()
+    assert [tuple(r) for r in directory.slot_digest(f, claimed).collect()] == [(1, 2, 5, 3)]
+
+
+def test_the_hold_has_a_limit(spark):
+    f = frames(spark, [(1, "a", 4), (2, "a", 3), (3, "a", 2), (4, "a", 1), (5, "a", 2)])
+    whole = {(r.version, r.seq) for r in directory.directory(f).select("version", "seq").collect()}
+    assert whole == {(1, 4), (2, 3), (3, 2), (4, 1)}
+    got = lambda cap: {(r.version, r.seq) for r in directory.capped_directory(f, cap).collect()}
+    assert got(4) == whole and got(2) == {(1, 4), (2, 5), (3, 2), (4, 1)} and got(1) == {(1, 4), (2, 5)}
+
+
+def test_replay_skips_appends_and_stops(spark):
+    from rillbase.operators.regroup import replay
+
+    rows = [(16, 8, "a", v) for v in range(1, 6)] + [(16, 8, "b", v) for v in (1, 2, 4, 5, 7)] + [(17, 9, "c", v) for v in (2, 3)]
+    tails = spark.createDataFrame([(16, "a", 5), (16, "b", 1)], "slot int, aggregate_id string, tail long")
+    got = replay(spark.createDataFrame(rows, "slot int, old_slot int, aggregate_id string, version long"), tails, spark.createDataFrame([(16, 40)], "slot int, last_seq long")).collect()
+    assert {(r.aggregate_id, r.version): (r.outcome, r.seq) for r in got} == {
+        **{("a", v): ("skip", None) for v in range(1, 6)}, ("b", 1): ("skip", None), ("b", 2): ("append", 41), ("b", 4): ("gap", None), ("b", 5): ("unread", None), ("b", 7): ("unread", None), ("c", 2): ("gap", None), ("c", 3): ("unread", None),
+    }
+
+
+def test_one_command_id_in_two_aggregates_of_a_slot(spark):
+    rows = [(1, 0, 1, "a", 1, "x", None), (2, 0, 1, "b", 1, "x", None), (3, 0, 2, "b", 1, "x", None), (4, 0, 1, "b", 1, "y", None)]
+    got = append.append_fold(spark.createDataFrame(rows, "batch_id long, pos int, slot int, aggregate_id string, version long, command_id string, reason string")).collect()
+    assert {r.batch_id: (r.status, r.current_version, r.seq) for r in got} == {1: ("success", 1, 1), 2: ("exists", 1, 1), 3: ("success", 1, 1), 4: ("success", 1, 2)}
+
+
+def test_header_scan_reads_what_the_record_scan_reads():
+    records = [codec.Record("a" * (i + 1), i + 1, 1000 + i, f"c{i}", [("t", b"x" * i)]) for i in range(5)]
+    data = codec.segment(3, 7, records)
+    for cut in range(len(data), codec.HEADER.size, -1):
+        slot, heads = codec.read_headers(data[:cut])
+        whole = [(seq, r.aggregate_id, r.version, r.unix_time, r.command_id) for seq, r in codec.read_segment(data[:cut])[1]]
+        heads = list(heads)
+        assert slot == 3 and [h[:5] for h in heads] == whole
+        assert b"".join(data[h[5] : h[5] + h[6]] for h in heads) == data[codec.HEADER.size : codec.HEADER.size + sum(h[6] for h in heads)]
+
+
+def test_quorum_needs_two_others_within_the_window(spark):
+    from rillbase.plans.layout import unreachable
+
+    peers = spark.createDataFrame([("a", False), ("b", False), ("c", False), ("d", True)], "id string, down boolean")
+    reports = [("a", "x", 0), ("a", "y", 1000), ("b", "x", 0), ("b", "y", 1001), ("c", "c", 5), ("c", "x", 6), ("c", "x", 7), ("d", "x", 1), ("d", "y", 2), ("z", "x", 1), ("z", "y", 1)]
+    got = unreachable(spark.createDataFrame(reports, "node string, reporter string, at_ms long"), peers)
+    assert [tuple(r) for r in got.collect()] == [("a", 1000)]
