@@ -98,6 +98,20 @@ def test_components_of_a_path(spark, task_edges):
     assert got == {1: 1, 2: 1} | {i: 100 for i in range(100, 141)}
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_components_of_long_chains_with_random_ids(spark, kind):
+    """Chains of thousands of nodes, their ids at random and their edges dealt over many tasks, and a hub that is no minimum."""
+    rng = random.Random(4)
+    ids = rng.sample(range(10**6), 4000)
+    chains = [ids[:2500], ids[2500:3400]]
+    edges = [(a, b) for c in chains for a, b in zip(c[:-1], c[1:], strict=True)] + [(ids[3400], x) for x in ids[3401:]]
+    rng.shuffle(edges)
+    name = (lambda x: x) if kind == "long" else (lambda x: f"{x:07d}")
+    df = spark.createDataFrame([(name(a), name(b)) for a, b in edges], f"src {kind}, dst {kind}").repartition(8)
+    got = {r.node: r.component for r in connected_components(df, task_edges=400).collect()}
+    assert got == {name(x): name(min(c)) for c in [*chains, ids[3400:]] for x in c}
+
+
 def test_least_reached():
     rng = random.Random(8)
     for n in (1, 5, 60):
