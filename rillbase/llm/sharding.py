@@ -4,8 +4,9 @@ Each shard has ``vnodes`` points on a ring of 65,536 positions; a key belongs to
 A shard's load is bounded: the bounds add up to the number of rows and differ by one at most, so keys that
 find their shard full go on clockwise and the result is balanced exactly (law ``rows``). The walk is made
 on the number of keys of each arc (as many numbers as there are points), which gives for the ranks of an
-arc the shard and slot. Ranks come from per-task counts and their running sums, so no shard, arc or copied
-key meets in one task, and all of it is native.
+arc the shard and slot. A row's rank follows from its key's position, then from a hash of key, size and checksum,
+so it does not depend on the files it came in; only equal rows, which can't be told apart, are numbered by task.
+Ranks are sums of counts, so no shard, arc or copied key meets in one task, and all of it is native.
 
 Growing from k to k + 1 shards lowers every bound and adds ``vnodes`` points: rows move from each old shard
 by about 1 / (k + 1) of its load, beside overflow that changes its way.
@@ -69,18 +70,26 @@ def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int
         arcs.append((position, at % len(ring)))
     of = F.broadcast(spark.createDataFrame(arcs, "position int, arc int"))  # RING rows always
     rows = docs.select(
-        F.col(key),
+        F.col(key).alias("key"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(F.encode(F.col(text), "UTF-8"), F.lit(b""))).alias("text_crc32"),
         F.shiftrightunsigned(F.xxhash64(F.col(key).cast("string")), 48).cast("int").alias("position"),
         F.spark_partition_id().alias("task"),
-    ).join(of, "position")
-    rows = materialize(rows.drop("position"), "shard-rows")
-    counts = rows.groupBy("task", "arc").agg(F.count("*").alias("n"))
-    base = counts.withColumn("base", F.sum("n").over(Window.partitionBy("arc").orderBy("task")) - F.col("n")).drop("n")
-    totals = {r.arc: r.n for r in counts.groupBy("arc").agg(F.sum("n").alias("n")).collect()}  # at most shards * vnodes rows
+    ).withColumn("turn", F.xxhash64(F.col("key").cast("string"), "text_crc32", "size"))
+    rows = rows.withColumn("sub", F.shiftrightunsigned("turn", 52).cast("int"))  # parts that the rows of one key are dealt to
+    rows = materialize(rows, "shard-rows")
+    per = rows.groupBy("position", "sub", "turn", "task").agg(F.count("*").alias("n"))
+    before = lambda n, by, order: F.sum(n).over(Window.partitionBy(*by).orderBy(order)) - F.col(n)
+    equal = per.groupBy("position", "sub", "turn").agg(F.sum("n").alias("m"))
+    subs = equal.groupBy("position", "sub").agg(F.sum("m").alias("m")).select("position", "sub", before("m", ["position"], "sub").alias("part"))
+    place = per.groupBy("position").agg(F.sum("n").alias("n")).join(of, "position")  # at most RING rows
+    totals = {r.arc: r.n for r in place.groupBy("arc").agg(F.sum("n").alias("n")).collect()}  # at most shards * vnodes rows
+    place = F.broadcast(place.select("position", "arc", before("n", ["arc"], "position").alias("place")))
+    base = per.select("position", "sub", "turn", "task", before("n", ["position", "sub", "turn"], "task").alias("copy"))
+    base = base.join(equal.select("position", "sub", "turn", before("m", ["position", "sub"], "turn").alias("row")), ["position", "sub", "turn"])
+    base = base.join(subs, ["position", "sub"]).join(place, "position").drop("sub")
     runs = spark.createDataFrame(walk(totals, ring, shards), "arc int, first long, end long, shard int, slot0 long")
-    local = F.row_number().over(Window.partitionBy("task", "arc").orderBy(key, "text_crc32", "size")) - 1
-    ranked = rows.withColumn("local", local).join(base, ["task", "arc"]).withColumn("rank", F.col("local") + F.col("base"))
+    local = F.row_number().over(Window.partitionBy("position", "turn", "task").orderBy("text_crc32")) - 1
+    ranked = rows.withColumn("local", local).join(base, ["position", "turn", "task"]).withColumn("rank", F.col("place") + F.col("part") + F.col("row") + F.col("copy") + F.col("local"))
     found = ranked.join(F.broadcast(runs), (ranked.arc == runs.arc) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end")))
-    return found.select(key, "size", "text_crc32", "shard", (F.col("slot0") + F.col("rank") - F.col("first")).alias("slot"))
+    return found.select(F.col("key").alias(key), "size", "text_crc32", "shard", (F.col("slot0") + F.col("rank") - F.col("first")).alias("slot"))

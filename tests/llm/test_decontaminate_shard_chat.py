@@ -158,3 +158,52 @@ def test_op10(spark, sf, tmp_path):
     odd = [(1, 0, "user", None), (1, 1, "assistant", None), (2, None, None, "x"), (None, 0, "user", "n"), (None, 1, "assistant", "m" * 300_000), (3, 1, "assistant", "b"), (3, 1, "assistant", "b"), (3, 1, "assistant", "a")]
     spark.createDataFrame([(*r, "f", "l") for r in odd], "conv_id long, turn long, role string, text string, formatted string, loss string").write.parquet(f"{tmp_path}/conversations.parquet")
     assert got(str(tmp_path)) == want_chat([*odd, *extra])
+
+
+def ring_twin(docs, shards, vnodes=64):
+    """Keys one by one: each goes to the next point clockwise of its position, and on while the shard there is full; keys of earlier arcs first."""
+    ring = points(shards, vnodes)
+    room = {s: len(docs) // shards + (s < len(docs) % shards) for s in range(shards)}
+    waiting = [[] for _ in ring]
+    for position, turn, name in sorted(docs):
+        waiting[next((i for i, (p, _) in enumerate(ring) if p >= position), 0)].append((position, turn, name))
+    placed, carry = {}, []
+    for turn in range(2 * len(ring)):
+        if turn < len(ring):
+            carry += sorted(waiting[turn])
+        shard, rest = ring[turn % len(ring)][1], []
+        for key in carry:
+            if room[shard]:
+                room[shard] -= 1
+                placed[key[2]] = shard
+            else:
+                rest.append(key)
+        carry = rest
+    return placed
+
+
+def test_shards_are_those_of_a_walk_key_by_key(spark):
+    rows = [(i, f"text {i % 17}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    placed = {r.doc_id: (r.position, r.sub, r.turn) for r in df.selectExpr("doc_id", "cast(shiftrightunsigned(xxhash64(cast(doc_id as string)), 48) as int) AS position", "xxhash64(cast(doc_id as string), crc32(encode(text, 'UTF-8')), cast(octet_length(text) + 1 as bigint)) AS turn").selectExpr("*", "cast(shiftrightunsigned(turn, 52) as int) AS sub").collect()}
+    got = {}
+    for files in (1, 5):
+        got[files] = {r.doc_id: (r.shard, r.slot) for r in shard(df.repartition(files), shards=7).collect()}
+    assert got[1] == got[5]  # whatever the files
+    want = ring_twin([(p, (s, t), d) for d, (p, s, t) in placed.items()], 7)
+    assert {d: s for d, (s, _) in got[1].items()} == want
+
+
+def test_few_keys_move_when_a_shard_is_added(spark):
+    df = spark.range(20_000).selectExpr("id AS doc_id", "cast(id as string) AS text")
+    a, b = ({r.doc_id: r.shard for r in shard(df, shards=k).collect()} for k in (16, 17))
+    moved = sum(a[i] != b[i] for i in a) / len(a)
+    assert 1 / 17 <= moved < 2.2 / 17
+
+
+def test_a_hot_key(spark):
+    rows = [(5, f"text {i}") for i in range(400)] + [(5, "same")] * 300 + [(i, "x") for i in range(500)] + [(None, "x")] * 3
+    made = shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), shards=4).collect()
+    per = Counter(r.shard for r in made)
+    assert len(made) == len(rows) and max(per.values()) - min(per.values()) <= 1
+    assert all(sorted(r.slot for r in made if r.shard == s) == list(range(per[s])) for s in per)
