@@ -29,16 +29,12 @@ def sum_by_key(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return keys[first], (np.add.reduceat(n, first) if len(first) else n)
 
 
-def summed(source: DataFrame, each: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], least: int = 1) -> DataFrame:
-    """p, keys, counts (binary, ascending keys): the sums of ``each`` batch's keys and counts.
-
-    Keys counted fewer than ``least`` times in a task are left out (an order of magnitude, not a count, is wanted then).
-    """
+def summed(source: DataFrame, each: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """p, keys, counts (binary, ascending keys): the sums of ``each`` batch's keys and counts."""
     parts = hash_parts(source.sparkSession)
     schema = "p int, keys binary, counts binary"
 
     def blobs(keys, n):
-        keys, n = keys[n >= least], n[n >= least]
         at = hash_ranges(keys, parts)
         some = [p for p in range(parts) if at[p + 1] > at[p]]
         return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([keys[at[p] : at[p + 1]].tobytes() for p in some], pa.binary()), pa.array([n[at[p] : at[p + 1]].tobytes() for p in some], pa.binary())], ["p", "keys", "counts"])
@@ -92,6 +88,7 @@ def most_frequent(counts: DataFrame, head: int) -> tuple[np.ndarray, np.ndarray,
         if taken + table[b][0] > head:
             break
         taken, least = taken + table[b][0], b
+    # Buckets are taken whole: where the top one alone has more than ``head`` keys none is frequent, and all are looked up.
 
     def frequent(batches):
         for k, n in _each(batches):
@@ -104,5 +101,3 @@ def most_frequent(counts: DataFrame, head: int) -> tuple[np.ndarray, np.ndarray,
     n = np.concatenate([np.frombuffer(r.n, np.int64) for r in rows] or [np.zeros(0, np.int64)])
     order = np.argsort(keys)
     return keys[order], n[order], total_n, total_v
-
-
