@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -13,22 +14,42 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Scratch tables of this driver that were not dropped yet.
+_written: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a private one only where that is unset (tests)."""
+    """The folder named by ``spark.checkpoint.dir``. Where it is unset a local session (tests) gets a private one; a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="rillbase-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[list[str]]:
+    """Drops the scratch tables written inside, at its end, but those put in the list it gives."""
+    outer, kept = _written[:], []
+    try:
+        yield kept
+    finally:
+        for path in [p for p in _written if p not in outer and p not in kept]:
+            drop_path(spark, path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _written:
+        _written.remove(path)
 
 
 def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -141,7 +162,3 @@ def quantiles(rows: DataFrame, group: str, value: str, q: float, buckets: int =
         a, b = found[g, int(np.floor(x))], found[g, int(np.ceil(x))]
         out[g] = a + (b - a) * (x - np.floor(x))
     return out
-
-
-def signed(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.uint64, copy=False).view(np.int64)

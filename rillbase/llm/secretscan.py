@@ -15,8 +15,8 @@ Here documents stand for repositories and ``source`` for their owner.
 Defined results: a null text is empty and has no spans; a null owner or repository counts as one of its own
 name; repeated rows are rows of their own and count as one repository; empty tables give empty results.
 
-Scale: texts are read once, in place; what is shuffled are candidate values (hashes) only. Counting
-distinct owners is aggregated before it is dealt; the join back is salted, so a value in a third of all
+Scale: texts are read once, in place; what is shuffled are candidate values (hashes), and the rows that have spans.
+Counting distinct owners is aggregated before it is dealt; the join back is salted, so a value in a third of all
 documents does not meet in one task.
 """
 
@@ -115,8 +115,8 @@ def scan_secrets(docs: DataFrame, text: str = "text", owner: str = "source", rep
     live = F.when(F.col("s.strong") & (F.least("n_owners", "n_repositories", "n_texts") < copied_owners), span(F.lit(KINDS.index("live")), "s.value_start", "s.value_end"))
     spans = known.select("rid", base.alias("base"), live.alias("live")).groupBy("rid").agg(F.sort_array(F.concat(F.collect_list("base"), F.collect_set("live"))).alias("secrets"))
     none = F.array().cast(spans.schema["secrets"].dataType)
-    joined = found.join(spans, "rid", "left")
-    return joined.select(*[F.col(n).alias(c) for n, c in zip(names, kept, strict=True)], F.coalesce("secrets", none).alias("secrets"))
+    out = lambda rows, secrets: rows.select(*[F.col(n).alias(c) for n, c in zip(names, kept, strict=True)], secrets.alias("secrets"))
+    return out(found.where(F.size("spans") > 0).join(spans, "rid"), F.col("secrets")).unionByName(out(found.where(F.size("spans") == 0), none))
 
 
 def joined_spans(spans):

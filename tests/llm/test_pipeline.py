@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_decontaminate_shard_chat import brute as brute_hits
 from test_near_join import brute as brute_near
 from test_tokens_packing_orc import check_packed
@@ -161,3 +162,33 @@ def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+MADE = "lang_pred score entropy rejected _free _key _learn _sampled _label near_row n_words n_hit hit_words items spans contaminated secrets rid scan_text scan_owner c0 c1 key text_crc32 position Text2"
+
+
+def test_columns_of_users_come_through(spark, sf, tmp_path):
+    """Extra columns with every name that a stage makes keep their values."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    for i, name in enumerate(MADE.split()):
+        docs = docs.withColumn(name, F.lit(f"mine {i}"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        made = stage(spark, docs, sf)
+        assert made.schema.names == docs.schema.names, name
+        rows = made.select(*MADE.split()).distinct().collect()
+        assert [tuple(r) for r in rows] == [tuple(f"mine {i}" for i in range(len(MADE.split())))], name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() >= 60
+
+
+def test_run_leaves_one_table(spark, tmp_path):
+    import os
+
+    spark.createDataFrame([(1, "words of a text in a language " * 40, "en", "b", 9), (2, "token = abcdef0123456789 and the words of another text", "en", "c", 1)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 2
+    left = {f for f in set(os.listdir(folder)) - before if not f.endswith(".crc")}
+    assert len(left) == 1 and next(iter(left)).startswith("pipeline-packing")
