@@ -29,6 +29,20 @@ def sum_by_key(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return keys[first], (np.add.reduceat(n, first) if len(first) else n)
 
 
+def by_first(batches, width: int):
+    """The rows of each first column's value in turn, from rows sorted by it: one group is held at a time."""
+    now, rows = None, []
+    for b in batches:
+        for row in zip(*(b.column(i).to_pylist() for i in range(width)), strict=True):
+            if rows and row[0] != now:
+                yield now, rows
+                rows = []
+            now = row[0]
+            rows.append(row)
+    if rows:
+        yield now, rows
+
+
 def summed(source: DataFrame, each: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     """p, keys, counts (binary, ascending keys): the sums of ``each`` batch's keys and counts."""
     parts = hash_parts(source.sparkSession)
@@ -51,15 +65,11 @@ def summed(source: DataFrame, each: Callable[[pa.RecordBatch], tuple[np.ndarray,
             yield blobs(keys, n)
 
     def add(batches):
-        found: dict[int, list] = {}
-        for b in batches:
-            for p, k, n in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                found.setdefault(p, []).append((np.frombuffer(k, np.uint64), np.frombuffer(n, np.int64)))
-        for p, x in found.items():
-            keys, n = sum_by_key(np.concatenate([k for k, _ in x]), np.concatenate([n for _, n in x]))
+        for p, rows in by_first(batches, 3):
+            keys, n = sum_by_key(np.concatenate([np.frombuffer(k, np.uint64) for _, k, _ in rows]), np.concatenate([np.frombuffer(n, np.int64) for _, _, n in rows]))
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([keys.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], ["p", "keys", "counts"])
 
-    return source.mapInArrow(count, schema).repartition("p").mapInArrow(add, schema)
+    return source.mapInArrow(count, schema).repartition("p").sortWithinPartitions("p").mapInArrow(add, schema)
 
 
 def _each(batches):

@@ -23,8 +23,8 @@ are linked with nothing, not with each other; a document of fewer words than ``k
 as one shingle; a null id never becomes a component's id unless all ids in it are null; repeated rows are
 rows of their own; an empty table gives no rows.
 
-Scale: a sample of the shingles is shuffled, 6 bytes each, packed in few rows; texts are shuffled once, one of
-each set of copies, and only those of unsettled documents again.
+Scale: a sample of the shingles is shuffled, 6 bytes each, packed in few rows; only texts of unsettled documents
+are shuffled, which a Bloom filter of bounded size finds. Tasks hold one hash range or one unit at a time.
 """
 
 from __future__ import annotations
@@ -38,9 +38,9 @@ from pyspark.sql import functions as F
 
 from .common import chunks, materialize, read_scratch, utf8, write_scratch
 from .components import connected_components
-from .counting import hash_parts
+from .counting import by_first, hash_parts
 from .rtree import links
-from .textvec import LOWER, SPACES, shingle_hashes, span_hashes, words
+from .textvec import LOWER, SPACES, mix, shingle_hashes, span_hashes, words
 
 #: A cell of more nodes or bytes is cut into blocks of about this many nodes.
 BLOCK_NODES, BLOCK_BYTES = 400, 16 << 20
@@ -50,6 +50,8 @@ SAMPLED = np.uint64(104)
 SHARED = 65535
 #: Text bytes of a unit of unsettled documents.
 UNIT_BYTES = 4 << 20
+#: Bits of the largest filter of open documents, 32 MB.
+FILTER_BITS = 1 << 28
 #: Parts that the rows of one large cell are dealt to in joins.
 SALTS = 16
 
@@ -132,11 +134,8 @@ def unique_shingles(sent: DataFrame) -> DataFrame:
     """unit, idx, m: how many sampled shingles of a document no other document has."""
 
     def over_all(batches):
-        found: dict[int, list] = {}
-        for b in batches:
-            for p, unit, keys, docs in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                found.setdefault(p, []).append((unit, np.frombuffer(keys, np.uint32), np.frombuffer(docs, np.uint16)))
-        for rows in found.values():
+        for _, group in by_first(batches, 4):
+            rows = [(unit, np.frombuffer(keys, np.uint32), np.frombuffer(docs, np.uint16)) for _, unit, keys, docs in group]
             keys = np.concatenate([k for _, k, _ in rows])
             docs = np.concatenate([d for _, _, d in rows]).astype(np.int64)
             owner = np.repeat(np.arange(len(rows)), [len(k) for _, k, _ in rows])
@@ -154,32 +153,15 @@ def unique_shingles(sent: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i in some], pa.int64()), blob((pair & 0xFFFF).astype(np.uint16)), blob(m.astype(np.uint32))], ["unit", "docs", "m"])
 
     def of_unit(batches):
-        total: dict[int, np.ndarray] = {}
-        for b in batches:
-            for unit, docs, m in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                if unit not in total:
-                    total[unit] = np.zeros(SHARED, np.int64)
-                total[unit][np.frombuffer(docs, np.uint16)] += np.frombuffer(m, np.uint32)
-        for unit, x in total.items():
-            idx = np.flatnonzero(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(idx), unit)), pa.array(idx, pa.int32()), pa.array(x[idx])], ["unit", "idx", "m"])
-
-    counted = sent.repartition("p").mapInArrow(over_all, "unit long, docs binary, m binary")
-    return counted.repartition("unit").mapInArrow(of_unit, "unit long, idx int, m long")
-
-
-def _of_unit(batches, width: int):
-    """The rows of each unit in turn, from rows sorted by unit."""
-    now, rows = None, []
-    for b in batches:
-        for row in zip(*(b.column(i).to_pylist() for i in range(width)), strict=True):
-            if row[0] != now and rows:
-                yield now, rows
-                rows = []
-            now = row[0]
-            rows.append(row)
-    if rows:
-        yield now, rows
+        for unit, group in by_first(batches, 3):
+            total = np.zeros(SHARED, np.int64)
+            for _, docs, m in group:
+                total[np.frombuffer(docs, np.uint16)] += np.frombuffer(m, np.uint32)
+            idx = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(idx), unit)), pa.array(idx, pa.int32()), pa.array(total[idx])], ["unit", "idx", "m"])
+
+    counted = sent.repartition("p").sortWithinPartitions("p").mapInArrow(over_all, "unit long, docs binary, m binary")
+    return counted.repartition("unit").sortWithinPartitions("unit").mapInArrow(of_unit, "unit long, idx int, m long")
 
 
 def _unit_sets(rows: list, k: int, parts: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
@@ -194,18 +176,15 @@ def levels(units: DataFrame, k: int, parts: int) -> DataFrame:
     """unit, p, levels: for each of a unit's distinct keys in a range, ascending, the exponent of its number of documents."""
 
     def ask(batches):
-        for unit, rows in _of_unit(batches, 3):
+        for unit, rows in by_first(batches, 3):
             _, _, keys, n = _unit_sets(rows, k, parts)
             some, edge = _cut(keys, parts)
             blob = lambda x: pa.array([x[edge[p] : edge[p + 1]].tobytes() for p in some], pa.binary())  # noqa: B023, E731
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(np.full(len(some), unit)), blob(_low(keys)), blob(n.astype(np.uint32))], ["p", "unit", "keys", "n"])
 
     def answer(batches):
-        found: dict[int, list] = {}
-        for b in batches:
-            for p, unit, keys, n in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                found.setdefault(p, []).append((unit, np.frombuffer(keys, np.uint32), np.frombuffer(n, np.uint32)))
-        for p, rows in found.items():
+        for p, group in by_first(batches, 4):
+            rows = [(unit, np.frombuffer(keys, np.uint32), np.frombuffer(n, np.uint32)) for _, unit, keys, n in group]
             _, inverse = np.unique(np.concatenate([x for _, x, _ in rows]), return_inverse=True)
             total = np.bincount(inverse, np.concatenate([n for _, _, n in rows]))
             level = np.floor(np.log2(total)).astype(np.uint8)[inverse]
@@ -213,7 +192,7 @@ def levels(units: DataFrame, k: int, parts: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([u for u, _, _ in rows], pa.int64()), pa.array(np.full(len(rows), p, np.int32)), pa.array([level[s:e].tobytes() for s, e in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["unit", "p", "levels"])
 
     asked = units.repartition("unit").sortWithinPartitions("unit").mapInArrow(ask, "p int, unit long, keys binary, n binary")
-    return asked.repartition("p").mapInArrow(answer, "unit long, p int, levels binary")
+    return asked.repartition("p").sortWithinPartitions("p").mapInArrow(answer, "unit long, p int, levels binary")
 
 
 def _ties(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -238,7 +217,7 @@ def cells(units: DataFrame, k: int, percent: int) -> DataFrame:
     both = units.select("unit", "th", "text", F.lit(-1).alias("p"), F.lit(None).cast("binary").alias("levels")).unionByName(known)
 
     def first(batches):
-        for _, rows in _of_unit(batches, 5):
+        for _, rows in by_first(batches, 5):
             node, sets, keys, _ = _unit_sets([r for r in rows if r[3] < 0], k, parts)
             level = np.frombuffer(b"".join(r[4] for r in rows if r[3] >= 0), np.uint8)  # by p, as the keys are
             firsts = []
@@ -351,6 +330,47 @@ def large_links(members: DataFrame, k: int, percent: int, groups: int) -> DataFr
     return known.unionByName(solve(left.unionByName(right), k, percent, groups))
 
 
+def _places(th: np.ndarray, bits: int) -> np.ndarray:
+    h = mix(th.view(np.uint64))
+    return np.stack([(h >> np.uint64(21 * i)) % np.uint64(bits) for i in range(3)]).astype(np.int64)
+
+
+def might_hold(nodes: DataFrame, column: str):
+    """A test of a column: false only for hashes that ``nodes`` (th) surely has not.
+
+    A Bloom filter of about eight bits for each node, at most ``FILTER_BITS``; beyond that more rows pass it, which
+    costs time and loses none. Tasks send the blocks of it that they set, and a block's copies meet in one task.
+    """
+    spark, block = nodes.sparkSession, 1 << 13
+    n = nodes.count()
+    bits = min(FILTER_BITS, 1 << max(16, (8 * n).bit_length()))
+
+    def build(batches):
+        data = np.zeros(bits // 8, np.uint8)
+        for b in batches:
+            at = _places(np.asarray(b.column(0)), bits).ravel()
+            np.bitwise_or.at(data, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        for i in np.flatnonzero(np.bitwise_or.reduceat(data, np.arange(0, len(data), block))).tolist():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([data[i * block : (i + 1) * block].tobytes()], pa.binary())], ["i", "x"])
+
+    def merge(batches):
+        for i, rows in by_first(batches, 2):
+            x = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for _, x in rows])
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([x.tobytes()], pa.binary())], ["i", "x"])
+
+    data = np.zeros(bits // 8, np.uint8)
+    for r in nodes.select("th").mapInArrow(build, "i long, x binary").repartition("i").sortWithinPartitions("i").mapInArrow(merge, "i long, x binary").toLocalIterator():
+        data[r.i * block : (r.i + 1) * block] = np.frombuffer(r.x, np.uint8)
+    shared = spark.sparkContext.broadcast(data)  # at most FILTER_BITS
+
+    @F.arrow_udf("boolean")
+    def there(th: pa.Array) -> pa.Array:
+        at = _places(np.asarray(th), bits)
+        return pa.array(((shared.value[at >> 3] >> (at & 7)) & 1).all(0))
+
+    return there(F.col(column))
+
+
 def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75, groups: int = 64) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     spark = docs.sparkSession
@@ -363,16 +383,19 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     alone = unique_shingles(made.where("p is not null").select("p", "unit", "keys", "docs"))
     take = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     open_rows = rows.where("n > 0").join(alone, ["unit", "idx"], "left").where(F.coalesce("m", F.lit(0)) < take)
-    open_nodes = open_rows.groupBy("th", "th2").agg(F.max("n").alias("n"))
+    open_nodes = materialize(open_rows.groupBy("th", "th2").agg(F.max("n").alias("n")), "near-open-nodes")
     name = F.concat(F.hex("th"), F.lit("."), F.hex("th2"))
-    distinct = texts.select("th", "th2", "text").groupBy("th", "th2").agg(F.first("text").alias("text"))
+    wanted = texts.select("th", "th2", "text").where(might_hold(open_nodes, "th"))
+    distinct = wanted.groupBy("th", "th2").agg(F.first("text").alias("text"))
     open_texts = materialize(open_nodes.join(distinct, ["th", "th2"]).withColumn("node", name).select("node", "th", "n", "text"), "near-open")
     size = open_texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     units = open_texts.select(F.pmod(F.xxhash64("th", F.lit(2)), F.lit(max(1, size // UNIT_BYTES))).alias("unit"), "th", "text")
     inside = materialize(cells(units, k, percent), "near-cells")
-    members = open_texts.join(inside, "th")
-    per = members.groupBy("cell").agg(F.count("*").alias("m"), F.sum(F.octet_length("text")).alias("bytes"))
-    kept = materialize(_spread(members, per, ["cell"]).select("cell", "node", "n", "text", ((F.col("m") > BLOCK_NODES) | (F.col("bytes") > BLOCK_BYTES)).alias("large")), "near-members")
+    sizes = inside.join(open_texts.select("th", "node", F.octet_length("text").alias("bytes")), "th")
+    per = sizes.groupBy("cell").agg(F.count("*").alias("m"), F.sum("bytes").alias("bytes"))
+    per = per.select("cell", ((F.col("m") > BLOCK_NODES) | (F.col("bytes") > BLOCK_BYTES)).alias("large"))
+    of_node = _spread(sizes.select("cell", "node"), per, ["cell"])
+    kept = materialize(open_texts.select("node", "n", "text").join(of_node, "node").select("cell", "node", "n", "text", "large"), "near-members")
     found = solve(kept.where("not large").select(F.col("cell").cast("string").alias("task"), F.lit(-1).alias("side"), "node", "text"), k, percent, groups)
     if kept.where("large").limit(1).count():
         found = found.unionByName(large_links(kept.where("large").drop("large"), k, percent, groups))
