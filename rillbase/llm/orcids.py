@@ -68,6 +68,11 @@ def read_ids(docs_schema: T.StructType, spark, path: str) -> DataFrame:
     return files.join(F.broadcast(base), "part").withColumn("start", F.col("base") + F.col("local_start")).drop("base", "local_start", "part")
 
 
+def lookup(spark, docs_schema: T.StructType, path: str, ids: list) -> DataFrame:
+    """The rows of some doc_ids: files, stripes and row groups that can't hold one are not read (statistics, row indexes, Bloom filters)."""
+    return spark.read.schema(docs_schema).orc(path).where(F.col("doc_id").isin(ids))
+
+
 def encode_to_orc(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text", end_id: int = 0, tokenizer: str | None = None) -> DataFrame:
     """Write the files and read them back: doc_id, n_tokens, ids, start."""
     spark = docs.sparkSession

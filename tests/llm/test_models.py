@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rillbase.llm.gru import GRU
 from rillbase.llm.langid import identify
@@ -351,3 +352,54 @@ def test_network_gradient_through_a_window():
             down = loss()
             w[i] = old
             assert grads[name][i] == pytest.approx((up - down) / 2e-5, abs=1e-6)
+
+
+def plain_ratio_scores(rows, good, buckets=1 << 14, shrink=20.0):
+    """Log-likelihood ratios from token lists and dictionaries; rows: (key, text), good: keys fitted."""
+    from rillbase.llm.textvec import mix, span_hashes
+
+    def token_hash(t):
+        return int(span_hashes(np.frombuffer(t, np.uint8), np.array([0]), np.array([len(t)]))[0])
+
+    def grams(text):
+        h = [token_hash(t) for t in re.findall(rb"[0-9a-z\x80-\xff]+|[!-/:-`{-\x7f]+", low(text).encode())]
+        pairs = [int(mix(np.array([(a * 0x9E6C63D0876A9A47 + b) % (1 << 64)], np.uint64))[0]) for a, b in zip(h[:-1], h[1:], strict=True)]
+        return [x >> 50 for x in [*h, *pairs]]
+
+    per = [grams(t) for _, t in rows]
+    raw = Counter(x for g in per for x in g)
+    target = Counter(x for (k, _), g in zip(rows, per, strict=True) if k in good for x in g)
+    n, m = sum(raw.values()) + buckets, sum(target.values()) + buckets
+    ratio = lambda x: math.log((target[x] + 1) / m) - math.log((raw[x] + 1) / n)
+    return [sum(map(ratio, g)) / (len(g) + shrink) for g in per]
+
+
+def test_op7_scores_and_verdicts_are_those_of_plain_counts(spark, sf):
+    from rillbase.llm.quality import rate, target_sample
+    from rillbase.llm.textvec import mix
+
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet").limit(120), spark.read.parquet(f"{sf}/labels.parquet")
+    chosen = target_sample(labels, "doc_id", "quality", 4000)
+    fitted = set(chosen[mix(chosen.view(np.uint64)) % np.uint64(2) == 0].tolist())
+    rows = rate(docs.selectExpr("doc_id", "text", "xxhash64(cast(doc_id as string)) AS k"), labels, quantile=0.2, keep=["doc_id", "k", "text"]).collect()
+    want = plain_ratio_scores([(r.k, r.text) for r in rows], fitted)
+    assert [r.score for r in rows] == pytest.approx(want, rel=1e-9, abs=1e-12)
+    good = {r[0] for r in labels.where("quality = 1").selectExpr("xxhash64(cast(doc_id as string))").collect()}
+    limit = np.quantile([w for r, w in zip(rows, want, strict=True) if r.k in good - fitted], 0.2)
+    assert all(r.kept == (not r.base_failed and w >= limit) for r, w in zip(rows, want, strict=True) if abs(w - limit) > 1e-9)
+    assert 0 < sum(r.kept for r in rows) < len(rows)
+
+
+@pytest.mark.parametrize("hold", [1, 50])
+def test_counts_sent_in_parts_and_heads_of_few_words(spark, monkeypatch, hold):
+    from rillbase.llm import counting
+    from rillbase.llm.lmscore import word_counts
+
+    monkeypatch.setattr(counting, "HOLD", hold)
+    df = spark.createDataFrame([(i, f"a b c w{i} w{i % 7}") for i in range(60)], "doc_id long, text string").repartition(3)
+    counts = word_counts(df, "text", F.lit(True)).cache()
+    keys, n, total, distinct = counting.most_frequent(counts, 1 << 16)
+    want = Counter(w for i in range(60) for w in f"a b c w{i} w{i % 7}".split())
+    assert (total, distinct) == (360, len(want) + 1) and sorted(n) == sorted([*want.values(), 60])
+    few = counting.most_frequent(counts, 3)  # four words are equally frequent: none of them is taken
+    assert len(few[0]) == 0 and few[2:] == (360, len(want) + 1)

@@ -140,3 +140,51 @@ def test_op8(spark, folder, sf, parts):
         assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in op8_orc_ids(spark, sf).collect()) == want_orc(docs)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_orc_files_have_indexes_and_bloom_filters_and_are_pruned(spark, tmp_path):
+    import os
+
+    from rillbase.llm.orcids import lookup, write_ids
+
+    docs = spark.range(0, 120_000, 3).selectExpr("id AS doc_id", "concat('text ', id % 50) AS text")
+    path = f"{tmp_path}/ids"
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        schema = write_ids(docs, path)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    orc, hadoop = spark._jvm.org.apache.orc.OrcFile, spark._jvm.org.apache.hadoop.fs.Path
+    files = [f for f in os.listdir(path) if f.endswith(".orc")]
+    for f in files:
+        reader = orc.createReader(hadoop(f"file://{path}/{f}"), orc.readerOptions(spark._jsc.hadoopConfiguration()))
+        assert reader.getRowIndexStride() == 10_000
+        column = list(reader.getSchema().getFieldNames()).index("doc_id") + 1
+        rows = reader.rows()
+        for stripe in reader.getStripes():
+            footer = rows.readStripeFooter(stripe)
+            kinds = {x.getKind().toString() for x in footer.getStreamsList() if x.getColumn() == column}
+            assert "ROW_INDEX" in kinds and any(k.startswith("BLOOM_FILTER") for k in kinds)
+            assert footer.getColumns(column).getKind().toString() == "DIRECT_V2"  # run lengths, second version
+        rows.close()
+
+    def read(ids):
+        found = lookup(spark, schema, path, ids)
+        rows = found.collect()
+        plan = found._jdf.queryExecution().executedPlan()
+        scan = plan.collectLeaves().head()
+        return rows, scan.metrics().apply("numOutputRows").value()
+
+    rows, seen = read([60_000])
+    assert [r.doc_id for r in rows] == [60_000] and 0 < seen <= 10_000
+    rows, seen = read([60_001])  # within the statistics of a row group, but in no Bloom filter
+    assert rows == [] and seen <= 10_000
+    assert read([10**9])[1] == 0
+
+
+def test_packing_without_a_broadcast(spark, sf, monkeypatch):
+    from rillbase.llm import packing
+
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    monkeypatch.setattr(packing, "BROADCAST_ROWS", 0)
+    check_packed(op2_pack(spark, sf).collect(), docs, 1024)
