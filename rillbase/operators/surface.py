@@ -159,11 +159,14 @@ def flow_setting(changes: DataFrame) -> DataFrame:
     return last.select("node", tokens.alias("tokens"), period.alias("period_s"), ((tokens <= 0) | (period <= 0)).alias("unlimited"))
 
 
-def command_index(log: DataFrame, parts: int = 0) -> DataFrame:
-    """slot, hash, seq, command_id dealt by range and sorted by (slot, hash): written as Parquet, a lookup reads few row groups."""
-    index = log.select("slot", fnv1a64_native(F.col("command_id")).alias("hash"), "seq", "command_id")
-    dealt = index.repartitionByRange(parts, "slot", "hash") if parts else index.repartitionByRange("slot", "hash")
-    return dealt.sortWithinPartitions("slot", "hash", "seq")
+def command_rows(log: DataFrame) -> DataFrame:
+    """slot, hash, seq, command_id of every record."""
+    return log.select("slot", fnv1a64_native(F.col("command_id")).alias("hash"), "seq", "command_id")
+
+
+def write_command_index(log: DataFrame, path: str) -> None:
+    """``command_rows`` as Parquet dealt by ranges of (slot, hash) and sorted in them: a lookup of a hash reads few row groups."""
+    command_rows(log).repartitionByRange("slot", "hash").sortWithinPartitions("slot", "hash", "seq").write.parquet(path)
 
 
 def find_commands(index: DataFrame, asked: DataFrame) -> DataFrame:

@@ -22,12 +22,12 @@ def assign_seq(df: DataFrame, slot: str, order: list[Column], *buckets: Column,
     names = [f"seq_bucket{i}" for i in range(len(buckets))]
     cut = df.select("*", *[b.alias(n) for b, n in zip(buckets, names, strict=True)])
     counts = cut.groupBy(slot, *names).agg(F.count("*").alias("seq_n"))
-    before = counts.withColumn("seq_base", F.lit(0).cast("long"))
-    for i, name in enumerate(names):
+    earlier = lambda by, name: F.sum("seq_n").over(Window.partitionBy(slot, *by).orderBy(name)) - F.col("seq_n")
+    before = counts.withColumn("seq_base", earlier(names[:-1], names[-1]))
+    for i, name in enumerate(names[:-1]):
         level = counts.groupBy(slot, *names[: i + 1]).agg(F.sum("seq_n").alias("seq_n"))
-        earlier = F.sum("seq_n").over(Window.partitionBy(slot, *names[:i]).orderBy(name)) - F.col("seq_n")
-        before = before.join(level.select(slot, *names[: i + 1], earlier.alias("seq_earlier")), [slot, *names[: i + 1]])
-        before = before.withColumn("seq_base", F.col("seq_base") + F.col("seq_earlier")).drop("seq_earlier")
+        level = level.select(slot, *names[: i + 1], earlier(names[:i], name).alias("seq_earlier"))
+        before = before.join(level, [slot, *names[: i + 1]]).withColumn("seq_base", F.col("seq_base") + F.col("seq_earlier")).drop("seq_earlier")
     before = before.drop("seq_n")
     local = F.row_number().over(Window.partitionBy(slot, *names).orderBy(*order))
     return cut.withColumn("seq_local", local).join(before, [slot, *names]).withColumn(out, (F.col("seq_base") + F.col("seq_local")).cast("long")).drop(*names, "seq_base", "seq_local")
@@ -53,7 +53,7 @@ def frames_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames with gaps, duplicates and out-of-order versions: orders are aggregates, line numbers versions, one slot of four by order key."""
     order = [F.col(c) for c in ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax")]
     rows = table(spark, sf_dir, "lineitem").withColumn("slot", (F.col("l_orderkey") % 4).cast("int"))
-    numbered = assign_seq(rows, "slot", order, F.col("l_shipdate"), F.shiftright("l_orderkey", 20))
+    numbered = assign_seq(rows, "slot", order, F.struct("l_shipdate", F.shiftright("l_orderkey", 32).alias("keys")))
     return numbered.select("slot", "seq", F.concat(F.lit("ord-"), F.col("l_orderkey")).alias("aggregate_id"), F.col("l_linenumber").cast("long").alias("version"), F.unix_seconds(F.col("l_shipdate").cast("timestamp")).alias("unix_time"))
 
 
@@ -68,4 +68,4 @@ def log_conversations(spark: SparkSession, sf_dir: str, gen: int = 2) -> DataFra
         F.col("role").alias("event_type"),
         F.col("text").alias("body"),
     ).withColumn("slot", logical_slot("aggregate_id", size) + size)
-    return assign_seq(rows, "slot", [F.col("turn"), F.col("conv_id")], F.col("turn"), F.floor(F.col("conv_id") / 1_000_000))
+    return assign_seq(rows, "slot", [F.col("turn"), F.col("conv_id")], F.struct("turn", F.floor(F.col("conv_id") / 1_000_000).alias("ids")))

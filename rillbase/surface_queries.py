@@ -110,7 +110,7 @@ def torn_segments(spark, d):
 def command_index_lookup(spark, d):
     log = log_events(spark, d)
     asked = log.select("slot", F.concat(F.lit("evt-"), F.col("event_id") + 5).alias("command_id"))
-    return surface.find_commands(surface.command_index(log), asked)
+    return surface.find_commands(surface.command_rows(log), asked)
 
 
 @query(FRAMES + ", a AS (SELECT 'ord-' || o_orderkey AS aggregate_id, (1 + o_orderkey % 7)::BIGINT AS version FROM orders) SELECT a.aggregate_id, a.version, d.seq, d.unix_time FROM a LEFT JOIN dir d USING (aggregate_id, version)")

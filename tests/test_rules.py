@@ -422,3 +422,16 @@ def test_quorum_needs_two_others_within_the_window(spark):
     reports = [("a", "x", 0), ("a", "y", 1000), ("b", "x", 0), ("b", "y", 1001), ("c", "c", 5), ("c", "x", 6), ("c", "x", 7), ("d", "x", 1), ("d", "y", 2), ("z", "x", 1), ("z", "y", 1)]
     got = unreachable(spark.createDataFrame(reports, "node string, reporter string, at_ms long"), peers)
     assert [tuple(r) for r in got.collect()] == [("a", 1000)]
+
+
+def test_the_command_index_is_sorted_and_looked_up(spark, tmp_path):
+    from rillbase.operators import surface
+
+    log = spark.createDataFrame([(i % 3, i, f"c{i}") for i in range(300)] + [(0, 999, "c3")], "slot int, seq long, command_id string")
+    surface.write_command_index(log, f"{tmp_path}/index")
+    index = spark.read.parquet(f"{tmp_path}/index")
+    for file in {r.f for r in index.selectExpr("input_file_name() AS f").distinct().collect()}:
+        keys = [(r.slot, r.hash) for r in spark.read.parquet(file).collect()]
+        assert keys == sorted(keys)
+    asked = spark.createDataFrame([(0, "c3"), (1, "c3"), (1, "c4")], "slot int, command_id string")
+    assert {(r.slot, r.command_id): r.seq for r in surface.find_commands(index, asked).collect()} == {(0, "c3"): 3, (1, "c3"): None, (1, "c4"): 4}
