@@ -8,11 +8,13 @@ format 1), and per event type and body. Ids and types have 2-byte lengths, bodie
 from __future__ import annotations
 
 import gzip
+import io
 import itertools
 import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -95,30 +97,40 @@ def segment(slot: int, base_seq: int, records: list[Record], version: int = 2) -
     return HEADER.pack(MAGIC, version, slot, base_seq) + b"".join(encode(r, version) for r in records)
 
 
-def read_segment(data: bytes) -> tuple[int, Iterator[tuple[int, Record]]]:
-    """slot, and (seq, record) up to the last whole frame; an incomplete or broken tail ends the segment."""
-    if len(data) < HEADER.size:
+def read_stream(file: BinaryIO, size: int) -> tuple[int, Iterator[tuple[int, Record]]]:
+    """slot, and (seq, record) up to the last whole frame of an open segment of ``size`` bytes; one frame is held at a time.
+
+    An incomplete or broken tail ends the segment, also where the file turns out shorter than ``size``.
+    """
+    head = file.read(HEADER.size)
+    if len(head) < HEADER.size:
         raise Corrupt("no header")
-    magic, version, slot, seq = HEADER.unpack_from(data)
+    magic, version, slot, seq = HEADER.unpack(head)
     if magic != MAGIC or version not in FORMATS:
         raise Corrupt("not a segment")
 
     def walk():
         at, n = HEADER.size, seq
-        while at + 4 <= len(data):
-            (size,) = struct.unpack_from(">I", data, at)
-            if at + 4 + size > len(data):
+        while len(prefix := file.read(4)) == 4:
+            (length,) = struct.unpack(">I", prefix)
+            at += 4 + length
+            if at > size:
                 return
             try:
-                record = decode(data[at + 4 : at + 4 + size], version)
+                record = decode(file.read(length), version)
             except (Corrupt, UnicodeDecodeError):
                 return
             yield n, record
-            at, n = at + 4 + size, n + 1
+            n += 1
 
     return slot, walk()
 
 
+def read_segment(data: bytes) -> tuple[int, Iterator[tuple[int, Record]]]:
+    """``read_stream`` of a segment in memory."""
+    return read_stream(io.BytesIO(data), len(data))
+
+
 def valid_segment_bytes(n: int) -> bool:
     return SEGMENT_MIN <= n <= SEGMENT_MAX and n & (n - 1) == 0
 
@@ -134,7 +146,8 @@ def _batches(rows: Iterator[tuple], names: list[str], size: int = 2000) -> Itera
 def scan_segments(spark: SparkSession, path: str, from_seq: int = 1) -> DataFrame:
     """Records of all segment files under a path, a task per group of files; torn tails are left out.
 
-    A file is held whole (Spark's binary files are at most 2 GiB), its records are decoded one after another.
+    For any file system Spark reads. A file is held whole (Spark's binary files are at most 2 GiB); the ``wal``
+    source holds one frame at a time.
     """
     files = spark.read.format("binaryFile").load(path).select("content")
 

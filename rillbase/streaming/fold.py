@@ -8,31 +8,70 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.append import RESULT, SlotState
 
-STATE = "seq long, versions string, commands string"
+class Entries:
+    """A map in the state as far as ``SlotState`` uses a dict; an entry is read once in a micro-batch and written when it is set."""
 
+    def __init__(self, state):
+        self.state, self.read = state, {}
 
-def append_stream(requests: DataFrame) -> DataFrame:
-    """Results of a stream of requests (slot, batch_id, pos, aggregate_id, version, command_id, reason).
+    def __contains__(self, key: str) -> bool:
+        if key not in self.read:
+            self.read[key] = self.state.getValue((key,)) if self.state.containsKey((key,)) else None
+        return self.read[key] is not None
+
+    def __getitem__(self, key: str) -> tuple:
+        if key not in self:
+            raise KeyError(key)
+        return self.read[key]
+
+    def __setitem__(self, key: str, value: tuple) -> None:
+        self.read[key] = value
+        self.state.updateValue((key,), value)
+
+
+class Versions(Entries):
+    def get(self, key: str, default: int) -> int:
+        return int(self[key][0]) if key in self else default
+
+    def __setitem__(self, key: str, value: int) -> None:
+        super().__setitem__(key, (value,))
 
-    A slot's rows of a micro-batch are put in (batch_id, pos) order; the state outlives the batch, so a stream
-    whose batches arrive in order has the results of one fold over all of it.
-    """
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+class Appends(StatefulProcessor):
+    """A slot's last seq, and one state entry for each aggregate and command."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seq = handle.getValueState("seq", "seq long")
+        self.versions = handle.getMapState("versions", "aggregate_id string", "version long")
+        self.commands = handle.getMapState("commands", "command_id string", "seq long, version long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
         known = SlotState()
-        if state.exists:
-            known.seq, versions, commands = state.get
-            known.versions, known.commands = json.loads(versions), {k: tuple(v) for k, v in json.loads(commands).items()}
-        rows = pd.concat(list(frames)).sort_values(["batch_id", "pos"], kind="stable").reset_index(drop=True)
+        known.seq = int(self.seq.get()[0]) if self.seq.exists() else 0
+        known.versions, known.commands = Versions(self.versions), Entries(self.commands)
+        rows = pd.concat(list(rows)).sort_values(["batch_id", "pos"], kind="stable").reset_index(drop=True)
         done = [known.append(a, int(v), c, r if isinstance(r, str) else None) for a, v, c, r in zip(rows["aggregate_id"], rows["version"], rows["command_id"], rows["reason"], strict=True)]
-        state.update((known.seq, json.dumps(known.versions), json.dumps(known.commands)))
+        self.seq.update((known.seq,))
         yield pd.concat([rows[["batch_id", "pos"]], pd.Series([key[0]] * len(rows), name="slot"), rows[["aggregate_id"]], pd.DataFrame(done, columns=["status", "err_id", "current_version", "seq"])], axis=1)
 
+    def close(self) -> None:
+        pass
+
+
+def append_stream(requests: DataFrame) -> DataFrame:
+    """Results of a stream of requests (slot, batch_id, pos, aggregate_id, version, command_id, reason).
+
+    A slot's rows of a micro-batch are put in (batch_id, pos) order; the state outlives the batch, so a stream
+    whose batches arrive in order has the results of one fold over all of it. A micro-batch reads and writes only
+    the state entries of its own aggregates and commands. Needs the RocksDB state store
+    (``spark.sql.streaming.stateStore.providerClass``).
+    """
     keys = requests.select("slot", "batch_id", "pos", "aggregate_id", "version", "command_id", "reason")
-    return keys.groupBy("slot").applyInPandasWithState(step, RESULT, STATE, "append", GroupStateTimeout.NoTimeout)
+    return keys.groupBy("slot").transformWithStateInPandas(Appends(), RESULT, "append", "none")
 
 
 def hold_stream(frames: DataFrame) -> DataFrame:

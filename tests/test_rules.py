@@ -1,7 +1,9 @@
 """Fixed cases of routing, directories, appends, codecs, layouts and streams."""
 
+import io
 import random
 import struct
+from pathlib import Path
 
 import pytest
 
@@ -182,6 +184,37 @@ def test_wal_sources(spark, tmp_path):
     key = lambda df: sorted((r.slot, r.seq, r.aggregate_id, r.version, r.command_id, len(r.events)) for r in df.collect())
     assert key(got) == key(again) and len(key(got)) == 50
     assert spark.read.format("wal").option("from_seq", 40).load(str(tmp_path)).count() == 11
+    assert spark.read.format("wal").load(f"file://{tmp_path}").count() == 50
+    (tmp_path / "none").mkdir()
+    assert spark.read.format("wal").load(str(tmp_path / "none")).count() == 0
+
+
+def test_wal_files_are_grouped_and_read_frame_by_frame(tmp_path, monkeypatch):
+    from rillbase.sources import wal
+
+    for i in range(5):
+        (tmp_path / f"{i}.wal").write_bytes(codec.segment(i, 1, RECORDS))
+    size = (tmp_path / "0.wal").stat().st_size
+    monkeypatch.setattr(wal, "TASK_BYTES", 2 * size)
+    reader = wal.WalReader(str(tmp_path), 1)
+    assert [[Path(f).name for f, _ in p.files] for p in reader.partitions()] == [["0.wal", "1.wal"], ["2.wal", "3.wal"], ["4.wal"]]
+    monkeypatch.setattr(wal, "TASK_BYTES", size - 1)
+    assert [len(p.files) for p in reader.partitions()] == [1] * 5
+
+    class File(io.BytesIO):
+        most = 0
+
+        def read(self, n=-1):
+            assert n >= 0
+            self.most = max(self.most, n)
+            return super().read(n)
+
+    file = File(codec.segment(1, 1, RECORDS))
+    assert len(list(codec.read_stream(file, size)[1])) == 50 and file.most <= max(len(codec.encode(r)) for r in RECORDS)
+    shorter = File(codec.segment(1, 1, RECORDS)[:-3])
+    assert len(list(codec.read_stream(shorter, size)[1])) == 49  # cut after it was listed
+    torn = File(codec.segment(1, 1, RECORDS) + b"\xff" * 9)
+    assert len(list(codec.read_stream(torn, size + 9)[1])) == 50 and torn.most < 1 << 20  # a length past the end is not read
 
 
 def test_command_filter(spark):
@@ -363,7 +396,11 @@ def test_append_stream_equals_the_fold(spark, tmp_path):
     rng = random.Random(3)
     rows = [(i // 20, i % 20, rng.randrange(3), f"a{rng.randrange(6)}", rng.randint(1, 5), f"c{rng.randrange(150)}", None) for i in range(300)]
     schema = "batch_id long, pos int, slot int, aggregate_id string, version long, command_id string, reason string"
-    got = run_stream(spark, append_stream, rows, schema, tmp_path, "appended", files=1)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        got = run_stream(spark, append_stream, rows, schema, tmp_path, "appended", files=1)
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     want = {(r.batch_id, r.pos): (r.status, r.seq) for r in append.append_fold(spark.createDataFrame(rows, schema)).collect()}
     assert {(r.batch_id, r.pos): (r.status, r.seq) for r in got} == want
 
