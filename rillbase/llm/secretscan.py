@@ -16,8 +16,9 @@ Defined results: a null text is empty and has no spans; a null owner or reposito
 name; repeated rows are rows of their own and count as one repository; empty tables give empty results.
 
 Scale: texts are read once, in place; what is shuffled are candidate values (hashes), and the rows that have spans.
-Counting distinct owners is aggregated before it is dealt; the join back is salted, so a value in a third of all
-documents does not meet in one task.
+Counting distinct owners is aggregated before it is dealt. Counts are joined back in two ways: those of values
+with more than one of ``HOT`` candidates, fewer than ``HOT`` values at any size, are broadcast, so such a value's
+rows stay where they are; the others are shuffled by value.
 """
 
 from __future__ import annotations
@@ -38,7 +39,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # a run is matched whole, so this drops the
 _KEYWORD = re.compile(rb"passw|secret|token|api_?key")
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
-SALTS = 16
+#: A value with more than one of so many candidates is hot.
+HOT = 10_000
 
 
 def find_spans(text: str) -> list[tuple[int, int, int, int, int]]:
@@ -90,10 +92,10 @@ def candidates(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
 
 
 def ownership(found: DataFrame, owner: str, repository: str, copy: str) -> DataFrame:
-    """value, n_repositories, n_owners, n_texts over all candidates; rows of the same ``copy`` have the same text."""
+    """value, n_repositories, n_owners, n_texts and n (candidates) over all of them; rows of the same ``copy`` have the same text."""
     each = found.select(F.explode("spans.value").alias("value"), F.col(owner).cast("string").alias("o"), F.col(repository).cast("string").alias("r"), F.col(copy).alias("t"))
     owners = each.select("value", "o").distinct().groupBy("value").agg(F.count("*").alias("n_owners"))
-    repositories = each.select("value", "r").distinct().groupBy("value").agg(F.count("*").alias("n_repositories"))
+    repositories = each.groupBy("value", "r").agg(F.count("*").alias("n")).groupBy("value").agg(F.count("*").alias("n_repositories"), F.sum("n").alias("n"))
     texts = each.select("value", "t").distinct().groupBy("value").agg(F.count("*").alias("n_texts"))
     return owners.join(repositories, "value").join(texts, "value")
 
@@ -107,16 +109,20 @@ def scan_secrets(docs: DataFrame, text: str = "text", owner: str = "source", rep
     source = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(kept)], F.col(text).alias("scan_text"), F.col(owner).alias("scan_owner"), F.col(repository).alias("scan_repository"), F.xxhash64(text).alias("scan_copy"))
     names = [f"c{i}" for i in range(len(kept))]
     found = materialize(candidates(source, "scan_text", [*names, "scan_owner", "scan_repository", "scan_copy"]), "secret-candidates")
-    each = found.where(F.size("spans") > 0).select("rid", F.explode("spans").alias("s")).withColumn("value", F.col("s.value")).withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int"))
-    counts = ownership(found.where(F.size("spans") > 0), "scan_owner", "scan_repository", "scan_copy").withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    known = each.join(counts, ["value", "salt"])
+    some = found.where(F.size("spans") > 0)
+    each = some.select("rid", F.explode("spans").alias("s")).withColumn("value", F.col("s.value"))
+    counts = materialize(ownership(some, "scan_owner", "scan_repository", "scan_copy"), "secret-owners")
+    hot = F.col("n") * HOT > (counts.agg(F.sum("n")).first()[0] or 0)
+    wide = F.broadcast(counts.where(hot))  # fewer than HOT values
+    cold = each.join(F.broadcast(counts.where(hot).select("value")), "value", "left_anti").join(counts.where(~hot), "value")
+    known = each.join(wide, "value").unionByName(cold)
     span = lambda kind, start, end: F.struct(F.col(start).alias("start"), kind.alias("kind"), F.col(end).alias("end"), "n_repositories", "n_owners")
     base = span(F.col("s.kind"), "s.start", "s.end")
     live = F.when(F.col("s.strong") & (F.least("n_owners", "n_repositories", "n_texts") < copied_owners), span(F.lit(KINDS.index("live")), "s.value_start", "s.value_end"))
     spans = known.select("rid", base.alias("base"), live.alias("live")).groupBy("rid").agg(F.sort_array(F.concat(F.collect_list("base"), F.collect_set("live"))).alias("secrets"))
     none = F.array().cast(spans.schema["secrets"].dataType)
     out = lambda rows, secrets: rows.select(*[F.col(n).alias(c) for n, c in zip(names, kept, strict=True)], secrets.alias("secrets"))
-    return out(found.where(F.size("spans") > 0).join(spans, "rid"), F.col("secrets")).unionByName(out(found.where(F.size("spans") == 0), none))
+    return out(some.join(spans, "rid"), F.col("secrets")).unionByName(out(found.where(F.size("spans") == 0), none))
 
 
 def joined_spans(spans):

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rillbase.llm import secretscan
 from rillbase.llm.gru import GRU
 from rillbase.llm.langid import identify
 from rillbase.llm.queries import op5_language_id, op6_secrets, op7_quality, op9_lm_score
@@ -135,6 +136,18 @@ def test_op6_short_and_digitless_values_and_copied_texts(spark):
     assert all(got[20 + i] == rows[10 + i][1] for i in range(5))
 
 
+@pytest.mark.parametrize("hot", [1, 3, 10_000])
+def test_op6_hot_and_other_values_join_alike(spark, monkeypatch, hot):
+    """No value, only the one of most rows, and all are joined by a broadcast."""
+    monkeypatch.setattr(secretscan, "HOT", hot)
+    rows = [(i, f"row {i} password=shared9value8key token=own{i}value7x", f"o{i % 7}") for i in range(12)] + [(12, None, "o"), (13, "nothing", None)]
+    got = {r.doc_id: [(s.start, s.n_repositories, s.n_owners) for s in r.secrets] for r in scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert set(got) == set(range(14)) and got[12] == got[13] == []
+    for i in range(12):
+        at = rows[i][1].index
+        assert got[i] == [(at("password"), 12, 7), (at("token"), 1, 1), (at("own"), 1, 1)]
+
+
 # quality
 
 
