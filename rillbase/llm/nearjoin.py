@@ -52,8 +52,8 @@ SHARED = 65535
 UNIT_BYTES = 4 << 20
 #: Bits of the largest filter of open documents, 32 MB.
 FILTER_BITS = 1 << 28
-#: Parts that the rows of one large cell are dealt to in joins.
-SALTS = 16
+#: A key whose join makes more rows than this, and more than one of ``HOT`` of all the join's rows, is dealt in parts of so many.
+SPREAD_ROWS, HOT = 1_000, 10_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
@@ -286,10 +286,23 @@ def _task(*parts):
 
 
 def _spread(rows: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
-    """A join of many rows of one key with that key's few rows, dealt by a salt as well."""
-    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")
-    more = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", salt).join(more, [*keys, "salt"]).drop("salt")
+    """A join of many rows of one key with that key's few rows; keys of much work are dealt by a salt as well.
+
+    A key's parts follow its share of the join's rows, so one with a third of them takes thousands of tasks where there
+    is much to do; all other keys keep one part. What is copied for the parts are ``few``'s rows, no more than come out.
+    """
+    count = lambda df, name: df.groupBy(*keys).agg(F.count("*").alias(name))
+    work = materialize(count(rows, "n").join(count(few, "m"), keys).withColumn("w", F.col("n") * F.col("m")), "near-work")
+    total, most = work.agg(F.sum("w"), F.max("w")).first()
+    least = max(SPREAD_ROWS, (total or 0) / HOT)
+    if (most or 0) <= least:
+        return rows.join(few, keys)
+    parts = F.least("n", F.ceil(F.col("w") / least)).cast("int").alias("parts")
+    hot = F.broadcast(work.where(F.col("w") > least).select(*keys, parts))  # fewer than HOT keys
+    last = F.coalesce("parts", F.lit(1)) - 1
+    dealt = rows.join(hot, keys, "left").withColumn("salt", F.pmod(F.xxhash64("node"), last + 1).cast("int")).drop("parts")
+    more = few.join(hot, keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), last))).drop("parts")
+    return dealt.join(more, [*keys, "salt"]).drop("salt")
 
 
 def large_links(members: DataFrame, k: int, percent: int, groups: int) -> DataFrame:
@@ -393,7 +406,7 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     inside = materialize(cells(units, k, percent), "near-cells")
     sizes = inside.join(open_texts.select("th", "node", F.octet_length("text").alias("bytes")), "th")
     per = sizes.groupBy("cell").agg(F.count("*").alias("m"), F.sum("bytes").alias("bytes"))
-    per = per.select("cell", ((F.col("m") > BLOCK_NODES) | (F.col("bytes") > BLOCK_BYTES)).alias("large"))
+    per = materialize(per.select("cell", ((F.col("m") > BLOCK_NODES) | (F.col("bytes") > BLOCK_BYTES)).alias("large")), "near-sizes")
     of_node = _spread(sizes.select("cell", "node"), per, ["cell"])
     kept = materialize(open_texts.select("node", "n", "text").join(of_node, "node").select("cell", "node", "n", "text", "large"), "near-members")
     found = solve(kept.where("not large").select(F.col("cell").cast("string").alias("task"), F.lit(-1).alias("side"), "node", "text"), k, percent, groups)
