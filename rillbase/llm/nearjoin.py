@@ -52,7 +52,7 @@ SHARED = 65535
 UNIT_BYTES = 4 << 20
 #: Bits of the largest filter of open documents, 32 MB.
 FILTER_BITS = 1 << 28
-#: A key whose join makes more rows than this, and more than one of ``HOT`` of all the join's rows, is dealt in parts of so many.
+#: A cell of more nodes than this, and of more than one of ``HOT`` of all, is dealt in parts of so many.
 SPREAD_ROWS, HOT = 1_000, 10_000
 
 
@@ -285,32 +285,29 @@ def _task(*parts):
     return F.concat_ws("/", *[p.cast("string") if not isinstance(p, str) else F.lit(p) for p in parts])
 
 
-def _spread(rows: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
-    """A join of many rows of one key with that key's few rows; keys of much work are dealt by a salt as well.
+def hot_cells(sizes: DataFrame, total: int) -> DataFrame | None:
+    """cell, parts: for each large share of all ``total`` nodes, in how many parts it is dealt; sizes: cell, m. None if there is none."""
+    least = max(SPREAD_ROWS, total / HOT)
+    found = sizes.where(F.col("m") > least).select("cell", F.ceil(F.col("m") / least).cast("int").alias("parts")).toArrow()  # fewer than HOT rows
+    return sizes.sparkSession.createDataFrame(found) if found.num_rows else None
 
-    A key's parts follow its share of the join's rows, so one with a third of them takes thousands of tasks where there
-    is much to do; all other keys keep one part. What is copied for the parts are ``few``'s rows, no more than come out.
-    """
-    count = lambda df, name: df.groupBy(*keys).agg(F.count("*").alias(name))
-    work = materialize(count(rows, "n").join(count(few, "m"), keys).withColumn("w", F.col("n") * F.col("m")), "near-work")
-    total, most = work.agg(F.sum("w"), F.max("w")).first()
-    least = max(SPREAD_ROWS, (total or 0) / HOT)
-    if (most or 0) <= least:
+
+def _spread(rows: DataFrame, few: DataFrame, keys: list[str], hot: DataFrame | None, most: int = HOT) -> DataFrame:
+    """A join of many rows of one key with that key's few rows; the rows of hot cells are dealt by a salt as well, to ``most`` parts."""
+    if hot is None:
         return rows.join(few, keys)
-    parts = F.least("n", F.ceil(F.col("w") / least)).cast("int").alias("parts")
-    hot = F.broadcast(work.where(F.col("w") > least).select(*keys, parts))  # fewer than HOT keys
-    last = F.coalesce("parts", F.lit(1)) - 1
-    dealt = rows.join(hot, keys, "left").withColumn("salt", F.pmod(F.xxhash64("node"), last + 1).cast("int")).drop("parts")
-    more = few.join(hot, keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), last))).drop("parts")
+    last = F.least(F.coalesce("parts", F.lit(1)), F.lit(most)) - 1
+    dealt = rows.join(F.broadcast(hot), "cell", "left").withColumn("salt", F.pmod(F.xxhash64("node"), last + 1).cast("int")).drop("parts")
+    more = few.join(F.broadcast(hot), "cell", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), last))).drop("parts")
     return dealt.join(more, [*keys, "salt"]).drop("salt")
 
 
-def large_links(members: DataFrame, k: int, percent: int, groups: int) -> DataFrame:
-    """Links of cells too large for one task; members: cell, node, n, text."""
+def large_links(members: DataFrame, k: int, percent: int, groups: int, hot: DataFrame | None = None) -> DataFrame:
+    """Links of cells too large for one task; members: cell, node, n, text; hot: as from ``hot_cells``."""
     ratio = math.log(100 / percent)
     sized = members.withColumn("s", F.floor(F.log(F.col("n").cast("double")) / ratio + 1e-9).cast("int"))
     per = sized.groupBy("cell", "s").agg(F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)).cast("int").alias("blocks"))
-    blocked = _spread(sized, per, ["cell", "s"]).withColumn("h", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    blocked = _spread(sized, per, ["cell", "s"], hot).withColumn("h", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     blocked = materialize(blocked.select("cell", "node", "n", "text", "s", "h", "blocks"), "near-blocks")
     cell, s, h = F.col("cell"), F.col("s"), F.col("h")
     own = blocked.select(_task("own", cell, s, h).alias("task"), F.lit(-1).alias("side"), "node", "text")
@@ -320,7 +317,7 @@ def large_links(members: DataFrame, k: int, percent: int, groups: int) -> DataFr
         first = blocked.where("h = 0").select("cell", (F.col("s") - d).alias("s"), "node", "text")
         target = steps.withColumn("h", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         target = target if d > 0 else target.where("h > 0")  # the first blocks meet each other once
-        hub = _spread(first, target.select("cell", "s", "h"), ["cell", "s"]).select(_task(name, cell, s, h).alias("task"), F.lit(1).alias("side"), "node", "text")
+        hub = _spread(first, target.select("cell", "s", "h"), ["cell", "s"], hot, BLOCK_NODES).select(_task(name, cell, s, h).alias("task"), F.lit(1).alias("side"), "node", "text")
         block = blocked.where("h > 0") if d <= 0 else blocked
         pieces += [hub, block.select(_task(name, cell, s, h).alias("task"), F.lit(0).alias("side"), "node", "text")]
     tasks = pieces[0]
@@ -330,16 +327,16 @@ def large_links(members: DataFrame, k: int, percent: int, groups: int) -> DataFr
     labels = blocked.select("cell", "node").join(connected_components(known, "a", "b"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     counted = labels.groupBy("cell", "component").agg(F.count("*").alias("m"))
     main = counted.groupBy("cell").agg(F.max_by("component", F.struct("m", "component")).alias("main"))
-    rest = _spread(labels, main, ["cell"]).where("component <> main").select("cell", "node")
+    rest = _spread(labels, main, ["cell"], hot).where("component <> main").select("cell", "node")
     rest = materialize(blocked.drop("blocks", "h").join(rest.select("node"), "node", "left_semi"), "near-rest")
     groups_of = rest.groupBy("cell", "s").agg(F.ceil(F.count("*") / BLOCK_NODES).cast("int").alias("g"))
-    rest = _spread(rest, groups_of, ["cell", "s"]).withColumn("r", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
+    rest = _spread(rest, groups_of, ["cell", "s"], hot).withColumn("r", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
     asked = groups_of.withColumn("r", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).select("cell", F.col("s").alias("rs"), "r")
     near = asked.withColumn("s", F.explode(F.array(F.col("rs") - 1, F.col("rs"), F.col("rs") + 1)))
     key = _task("rest", cell, F.col("rs"), F.col("r"), s, h)
-    left = _spread(blocked, near, ["cell", "s"]).select(key.alias("task"), F.lit(0).alias("side"), "node", "text")
+    left = _spread(blocked, near, ["cell", "s"], hot).select(key.alias("task"), F.lit(0).alias("side"), "node", "text")
     blocks = steps.withColumn("h", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cell", "s", "h")
-    right = _spread(rest.withColumnRenamed("s", "rs"), near.join(blocks, ["cell", "s"]), ["cell", "rs", "r"]).select(key.alias("task"), F.lit(1).alias("side"), "node", "text")
+    right = _spread(rest.withColumnRenamed("s", "rs"), near.join(blocks, ["cell", "s"]), ["cell", "rs", "r"], hot, BLOCK_NODES).select(key.alias("task"), F.lit(1).alias("side"), "node", "text")
     return known.unionByName(solve(left.unionByName(right), k, percent, groups))
 
 
@@ -406,12 +403,13 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     inside = materialize(cells(units, k, percent), "near-cells")
     sizes = inside.join(open_texts.select("th", "node", F.octet_length("text").alias("bytes")), "th")
     per = sizes.groupBy("cell").agg(F.count("*").alias("m"), F.sum("bytes").alias("bytes"))
-    per = materialize(per.select("cell", ((F.col("m") > BLOCK_NODES) | (F.col("bytes") > BLOCK_BYTES)).alias("large")), "near-sizes")
-    of_node = _spread(sizes.select("cell", "node"), per, ["cell"])
+    per = materialize(per.select("cell", "m", ((F.col("m") > BLOCK_NODES) | (F.col("bytes") > BLOCK_BYTES)).alias("large")), "near-sizes")
+    hot = hot_cells(per, inside.count())
+    of_node = _spread(sizes.select("cell", "node"), per.drop("m"), ["cell"], hot)
     kept = materialize(open_texts.select("node", "n", "text").join(of_node, "node").select("cell", "node", "n", "text", "large"), "near-members")
     found = solve(kept.where("not large").select(F.col("cell").cast("string").alias("task"), F.lit(-1).alias("side"), "node", "text"), k, percent, groups)
     if kept.where("large").limit(1).count():
-        found = found.unionByName(large_links(kept.where("large").drop("large"), k, percent, groups))
+        found = found.unionByName(large_links(kept.where("large").drop("large"), k, percent, groups, hot))
     component = connected_components(found, "a", "b")
     nodes = rows.where("n > 0").groupBy("th", "th2").agg(F.min("doc_id").alias("first_id"))
     labelled = nodes.withColumn("node", name).join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -78,15 +78,19 @@ def test_families_passages_and_edges(spark, tmp_path, monkeypatch, block):
     assert rows3(op3_near_join(spark, str(tmp_path))) == brute(docs)
 
 
-@pytest.mark.parametrize("least, hot", [(1000, 10_000), (3, 10_000), (3, 4)])
+@pytest.mark.parametrize("least, hot", [(1000, 10_000), (3, 10_000), (3, 2)])
 def test_spread_is_a_join(spark, monkeypatch, least, hot):
-    """No key, every key and the largest alone dealt in parts; keys of one side only go."""
+    """No cell, every cell and the largest alone dealt in parts; keys of one side only go."""
     monkeypatch.setattr(nearjoin, "SPREAD_ROWS", least)
     monkeypatch.setattr(nearjoin, "HOT", hot)
-    rows = [(c, s, f"n{c}{s}{i}") for c, s, n in ((1, 0, 90), (1, 1, 6), (2, 0, 3), (3, 0, 5)) for i in range(n)]
+    rows = [(c, s, f"n{c}{s}{i}") for c, s, n in ((1, 0, 90), (1, 1, 6), (2, 0, 4), (3, 0, 5)) for i in range(n)]
     few = [(1, 0, 7), (1, 0, 8), (1, 1, 9), (2, 0, 7), (4, 0, 1)]
-    got = nearjoin._spread(spark.createDataFrame(rows, "cell int, s int, node string"), spark.createDataFrame(few, "cell int, s int, h int"), ["cell", "s"])
-    assert sorted((r.cell, r.s, r.node, r.h) for r in got.collect()) == sorted((c, s, n, h) for c, s, n in rows for d, t, h in few if (c, s) == (d, t))
+    many = spark.createDataFrame(rows, "cell long, s int, node string")
+    cells = nearjoin.hot_cells(many.groupBy("cell").count().withColumnRenamed("count", "m"), len(rows))
+    assert {1000: 0, 3: 3 if hot > 2 else 1}[least] == (cells.count() if cells is not None else 0)
+    for most in (2, 10_000):
+        got = nearjoin._spread(many, spark.createDataFrame(few, "cell long, s int, h int"), ["cell", "s"], cells, most)
+        assert sorted((r.cell, r.s, r.node, r.h) for r in got.collect()) == sorted((c, s, n, h) for c, s, n in rows for d, t, h in few if (c, s) == (d, t))
 
 
 def test_many_units(spark, monkeypatch):
