@@ -96,9 +96,24 @@ def unreachable(reports: DataFrame, peers: DataFrame, window_ms: int = 1000, rep
     reports: node, reporter, at_ms; peers: id, down. Reports on oneself, on strangers and on nodes that are down do not count.
     """
     up = peers.where(~F.col("down")).select(F.col("id").alias("node"))
-    rows = reports.where("reporter <> '' and reporter <> node").join(F.broadcast(up), "node", "left_semi")  # the members of a cluster
-    seen = F.collect_set("reporter").over(Window.partitionBy("node").orderBy("at_ms").rangeBetween(-window_ms, Window.currentRow))
-    return rows.withColumn("seen", F.size(seen)).where(F.col("seen") >= reporters).groupBy("node").agg(F.min("at_ms").alias("at_ms"))
+    rows = reports.where("reporter <> '' and reporter <> node and at_ms is not null").join(F.broadcast(up), "node", "left_semi")  # the members of a cluster
+    # In spans one longer than the window, a reporter counts from its first report of the span on, and up to the window
+    # after its last one of the span before. Counts rise only at first reports, so only these can be the answer.
+    width = window_ms + 1
+    start = F.col("at_ms") - F.pmod("at_ms", F.lit(width))
+    each = rows.groupBy("node", "reporter", start.alias("span")).agg(F.min("at_ms").alias("first"), F.max("at_ms").alias("last"))
+    none = F.lit(None).cast("long")
+    sides = F.array(F.struct(F.col("span"), F.col("first"), none.alias("until")), F.struct((F.col("span") + width).alias("span"), none.alias("first"), (F.col("last") + window_ms).alias("until")))
+    met = each.select("node", "reporter", F.inline(sides)).groupBy("node", "span", "reporter").agg(F.max("first").alias("first"), F.max("until").alias("until"))
+    known, still = F.col("until").isNotNull(), F.col("first") <= F.col("until")
+    steps = (
+        F.when(known, F.struct(F.col("span").alias("at_ms"), F.lit(1).alias("step"), F.lit(False).alias("own"))),
+        F.when(known & ~F.coalesce(still, F.lit(False)), F.struct((F.col("until") + 1).alias("at_ms"), F.lit(-1).alias("step"), F.lit(False).alias("own"))),
+        F.when(F.col("first").isNotNull(), F.struct(F.col("first").alias("at_ms"), F.when(still, 0).otherwise(1).alias("step"), F.lit(True).alias("own"))),
+    )
+    turns = met.select("node", "span", F.inline(F.array_compact(F.array(*steps))))
+    n = F.sum("step").over(Window.partitionBy("node", "span").orderBy("at_ms"))  # with all steps of the same moment
+    return turns.withColumn("n", n).where(F.col("own") & (F.col("n") >= reporters)).groupBy("node").agg(F.min("at_ms").alias("at_ms"))
 
 
 def members(voters: DataFrame, directory: DataFrame) -> DataFrame:

@@ -472,3 +472,25 @@ def test_the_command_index_is_sorted_and_looked_up(spark, tmp_path):
         assert keys == sorted(keys)
     asked = spark.createDataFrame([(0, "c3"), (1, "c3"), (1, "c4")], "slot int, command_id string")
     assert {(r.slot, r.command_id): r.seq for r in surface.find_commands(index, asked).collect()} == {(0, "c3"): 3, (1, "c3"): None, (1, "c4"): 4}
+
+
+def test_unreachable_holds_no_window_of_reports(spark, capsys):
+    """Against all pairs of reports; and no frame of raw reports is gone through again for each of them."""
+    from pyspark.sql import functions as F
+
+    from rillbase.plans.layout import unreachable
+
+    peers = spark.createDataFrame([(f"n{i}", i == 3) for i in range(4)], "id string, down boolean")
+    rng = random.Random(5)
+    for window, most in ((0, 40), (1, 60), (7, 300), (50, 2000)):
+        reports = [(f"n{rng.randrange(5)}", rng.choice(["n0", "n1", "n2", "n3", "", None]), rng.choice([None, rng.randrange(-most, most)])) for _ in range(150)]
+        df = spark.createDataFrame(reports, "node string, reporter string, at_ms long")
+        valid = [(n, r, t) for n, r, t in reports if n in ("n0", "n1", "n2") and r and r != n and t is not None]
+        for k in (1, 2, 3):
+            hits = [(n, t) for n, _, t in valid if len({r for m, r, u in valid if m == n and t - window <= u <= t}) >= k]
+            want = {n: min(t for m, t in hits if m == n) for n, _ in hits}
+            assert {r.node: r.at_ms for r in unreachable(df, peers, window, k).collect()} == want, (window, k)
+    many = spark.range(200_000).select(F.lit("n0").alias("node"), F.concat(F.lit("n"), 1 + F.col("id") % 2).alias("reporter"), F.col("id").alias("at_ms"))
+    unreachable(many, peers, 100_000).explain()
+    plan = capsys.readouterr().out
+    assert "collect_set" not in plan and plan.index("Window") < plan.index("partial_max(at_ms")  # reports are reduced first
