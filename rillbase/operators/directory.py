@@ -15,14 +15,19 @@ from .append import ordered_fold
 KEY = ["slot", "aggregate_id"]
 
 
-def first_frames(frames: DataFrame, keys: list[str] = KEY) -> DataFrame:
-    """One row per claimed version: the frame that came first.
+def numbered(frames: DataFrame, keys: list[str] = KEY) -> DataFrame:
+    """Frames with ``nth``: 1 for the frame of its version that came first.
 
-    Dealt by aggregate at once: versions rarely repeat, so a partial aggregation would save little, and the
-    aggregation, the window over versions and the roll-up by aggregate all keep this partitioning.
+    Dealt by aggregate at once and put in order of version and seq, once: versions rarely repeat, so an aggregation would
+    hold nearly all rows in each of its tables. The windows over versions that follow keep this order and deal.
     """
     rows = frames.where("version >= 1").select(*keys, "version", "seq", "unix_time").repartition(*keys)
-    return rows.groupBy(*keys, "version").agg(F.min("seq").alias("seq"), F.min_by("unix_time", "seq").alias("unix_time"))
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy(*keys, "version").orderBy(F.asc_nulls_last("seq"))))
+
+
+def first_frames(frames: DataFrame, keys: list[str] = KEY) -> DataFrame:
+    """One row per claimed version: the frame that came first."""
+    return numbered(frames, keys).where("nth = 1").drop("nth")
 
 
 def directory(frames: DataFrame) -> DataFrame:
@@ -34,10 +39,12 @@ def directory(frames: DataFrame) -> DataFrame:
 def capped_directory(frames: DataFrame, cap: int = MAX_WITHHELD) -> DataFrame:
     """The directory where an aggregate remembers at most ``cap`` versions beyond a gap at a time; others stay in the log only.
 
-    Aggregates of at most ``cap`` versions can't reach it and go the native way; the others are folded in seq order.
+    Aggregates of at most ``cap`` versions can't reach it and go the native way; the others are folded in seq order. Both
+    read the same frames, dealt by aggregate once.
     """
-    sizes = frames.where("version >= 1").groupBy(*KEY).agg(F.count_distinct("version").alias("n"))
-    large = sizes.where(F.col("n") > cap).select(*KEY)
+    w = Window.partitionBy(*KEY).orderBy("version").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = numbered(frames).withColumn("n", F.count(F.when(F.col("nth") == 1, 1)).over(w))
+    small = rows.where((F.col("n") <= cap) & (F.col("nth") == 1)).withColumn("rn", F.row_number().over(Window.partitionBy(*KEY).orderBy("version")))
 
     def make():
         last, held = 0, {}
@@ -57,10 +64,18 @@ def capped_directory(frames: DataFrame, cap: int = MAX_WITHHELD) -> DataFrame:
 
         return step
 
-    rows = frames.where("version >= 1").join(large, KEY, "left_semi")
-    folded = ordered_fold(rows, KEY, ["seq"], ["version", "seq", "unix_time"], KEY, "adopted array<struct<version:long,seq:long,unix_time:long>>", make)
+    folded = ordered_fold(rows.where(F.col("n") > cap), KEY, ["seq"], ["version", "seq", "unix_time"], KEY, "adopted array<struct<version:long,seq:long,unix_time:long>>", make)
     folded = folded.select(*KEY, F.explode("adopted").alias("a")).select(*KEY, "a.version", "a.seq", "a.unix_time")
-    return directory(frames.join(large, KEY, "left_anti")).unionByName(folded)
+    return small.where("rn = version").select(*folded.columns).unionByName(folded)
+
+
+def standing(frames: DataFrame) -> DataFrame:
+    """The directory with claim, the highest version of the aggregate's frames, and resolvable, its highest one here."""
+    w = Window.partitionBy(*KEY).orderBy("version")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = first_frames(frames).withColumn("rn", F.row_number().over(w))
+    rows = rows.withColumn("claim", F.max("version").over(whole)).withColumn("resolvable", F.count(F.when(F.col("rn") == F.col("version"), 1)).over(whole))
+    return rows.where("rn = version").drop("rn")
 
 
 def withheld(frames: DataFrame) -> DataFrame:
@@ -69,10 +84,12 @@ def withheld(frames: DataFrame) -> DataFrame:
 
 
 def tails(frames: DataFrame, keys: list[str] = KEY) -> DataFrame:
-    """``keys`` and version (0 if none is resolvable): one aggregation, no join."""
-    number = F.row_number().over(Window.partitionBy(*keys).orderBy("version"))
-    rows = first_frames(frames, keys).withColumn("rn", number)
-    return rows.groupBy(*keys).agg(F.coalesce(F.max(F.when(F.col("rn") == F.col("version"), F.col("version"))), F.lit(0)).cast("long").alias("version"))
+    """``keys`` and version (0 if none is resolvable): the last row of each aggregate has it, so nothing is joined or held."""
+    w = Window.partitionBy(*keys).orderBy("version")
+    rows = first_frames(frames, keys).withColumn("rn", F.row_number().over(w))
+    found = F.count(F.when(F.col("rn") == F.col("version"), 1)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.select(*keys, found.alias("found"), F.lead("version").over(w).alias("next"))
+    return rows.where("next is null").select(*keys, F.col("found").alias("version"))
 
 
 def slot_digest(frames: DataFrame, claimed: DataFrame | None = None) -> DataFrame:
@@ -92,15 +109,23 @@ def slot_digest(frames: DataFrame, claimed: DataFrame | None = None) -> DataFram
 def stalled(frames: DataFrame) -> DataFrame:
     """Aggregates with withheld versions after whose last withheld frame another aggregate has a frame.
 
-    Of each slot the two aggregates with the highest seq suffice.
+    Of each slot the two aggregates with the highest seq suffice. Frames are dealt by aggregate and put in order once; an
+    aggregate's last row has its sums.
     """
-    held = withheld(frames).groupBy(*KEY).agg(F.max("seq").alias("held_seq"), F.count("*").alias("withheld"))
-    last = frames.groupBy(*KEY).agg(F.max("seq").alias("last_seq"))
-    top = last.groupBy("slot").agg(F.max_by("aggregate_id", "last_seq").alias("first_id"), F.max("last_seq").alias("first_seq"))
-    second = last.join(F.broadcast(top), "slot").where("aggregate_id <> first_id").groupBy("slot").agg(F.max("last_seq").alias("second_seq"))
-    of_slot = top.join(second, "slot", "left")
+    rows = frames.where("aggregate_id is not null").select(*KEY, "version", "seq").repartition(*KEY)
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*KEY, "version").orderBy("seq")))
+    w = Window.partitionBy(*KEY).orderBy("version", "seq")
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    new = (F.col("nth") == 1) & (F.col("version") >= 1)
+    rows = rows.withColumn("rn", F.count(F.when(new, 1)).over(so_far))
+    held = F.when(new & (F.col("rn") != F.col("version")), F.col("seq"))
+    sums = rows.select(*KEY, F.max(held).over(so_far).alias("held_seq"), F.count(held).over(so_far).alias("withheld"), F.max("seq").over(so_far).alias("last_seq"), F.lead(F.lit(1)).over(w).alias("more"))
+    sums = sums.where("more is null").drop("more")
+    two = sums.withColumn("place", F.row_number().over(Window.partitionBy("slot").orderBy(F.desc("last_seq")))).where("place <= 2")
+    of = lambda place, c: F.max(F.when(F.col("place") == place, F.col(c)))
+    of_slot = two.groupBy("slot").agg(of(1, "aggregate_id").alias("first_id"), of(1, "last_seq").alias("first_seq"), of(2, "last_seq").alias("second_seq"))
     other = F.when(F.col("aggregate_id") == F.col("first_id"), F.coalesce("second_seq", F.lit(0))).otherwise(F.col("first_seq"))
-    return held.join(F.broadcast(of_slot), "slot").where(other > F.col("held_seq")).select(*KEY, "held_seq", "withheld")
+    return sums.where("withheld > 0").join(F.broadcast(of_slot), "slot").where(other > F.col("held_seq")).select(*KEY, "held_seq", "withheld")
 
 
 def density(frames: DataFrame) -> DataFrame:

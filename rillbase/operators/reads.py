@@ -129,13 +129,11 @@ def slot_payload(rows: DataFrame, size: str, frame: str, start: int, until: int,
 def sound(directory: DataFrame, claimed: DataFrame) -> DataFrame:
     """The directory with a gate: reading a record of a stream whose claimed version is not what is resolvable raises an error.
 
-    claimed: slot, aggregate_id, version.
+    claimed: slot, aggregate_id, version; a row per stream. One join, after which each stream's rows are side by side.
     """
-    held = directory.groupBy(*KEY).agg(F.max("version").alias("resolvable"))
-    off = claimed.select(*KEY, F.col("version").alias("claim")).join(held, KEY, "left").where(F.col("claim") != F.coalesce("resolvable", F.lit(0)))
-    met = directory.join(off.select(*KEY, "claim"), KEY, "left")
+    met = directory.join(claimed.select(*KEY, F.col("version").alias("claim")), KEY, "left").withColumn("held", F.max("version").over(Window.partitionBy(*KEY)))
     message = F.concat(F.lit("stream "), F.col("aggregate_id"), F.lit(" claims version "), F.col("claim").cast("string"), F.lit(" but not all versions are resolvable"))
-    return met.withColumn("version", F.when(F.col("claim").isNotNull(), F.raise_error(message).cast("long")).otherwise(F.col("version"))).drop("claim")
+    return met.withColumn("version", F.when(F.col("claim") != F.col("held"), F.raise_error(message).cast("long")).otherwise(F.col("version"))).drop("claim", "held")
 
 
 def ids_frame(spark: SparkSession, ids: list[str]) -> DataFrame:

@@ -184,9 +184,13 @@ def aggregate_index(directory: DataFrame, span: int = 4096) -> DataFrame:
 
 def find_versions(index: DataFrame, asked: DataFrame) -> DataFrame:
     """asked (aggregate_id, version) with seq and unix_time, null for a version that is not there."""
-    met = asked.join(index, "aggregate_id", "left")
-    at = F.when((F.col("version") >= F.col("first_version")) & (F.col("version") < F.col("first_version") + F.col("n")), F.element_at("places", (F.col("version") - F.col("first_version") + 1).cast("int")))
-    return met.withColumn("at", at).groupBy("aggregate_id", "version").agg(F.max("at.seq").alias("seq"), F.max("at.unix_time").alias("unix_time"))
+    block = index.withColumnRenamed("aggregate_id", "of")
+    inside = (F.col("version") >= F.col("first_version")) & (F.col("version") < F.col("first_version") + F.col("n"))
+    met = asked.join(block, (F.col("aggregate_id") == F.col("of")) & inside, "left").select("aggregate_id", "version", F.element_at("places", (F.col("version") - F.col("first_version") + 1).cast("int")).alias("at"))
+    w = Window.partitionBy("aggregate_id", "version").orderBy(F.desc_nulls_last("seq"))  # of an id in more than one slot, and asked again
+    last = F.max("unix_time").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    rows = met.select("aggregate_id", "version", "at.seq", "at.unix_time").withColumn("nth", F.row_number().over(w)).withColumn("unix_time", last)
+    return rows.where("nth = 1").drop("nth")
 
 
 def node_status(slots: DataFrame, base: int, size: int) -> DataFrame:

@@ -276,7 +276,7 @@ def read_tails_bounded(spark, d):
 
 @query(FRAMES + "SELECT slot, aggregate_id, max(version) AS version FROM dir GROUP BY ALL")
 def current_versions(spark, d):
-    return directory.directory(frames_lineitem(spark, d)).groupBy("slot", "aggregate_id").agg(F.max("version").alias("version"))
+    return directory.tails(frames_lineitem(spark, d)).where("version > 0")
 
 
 _WHEN = "(SELECT (min(epoch(ts)) + (max(epoch(ts)) - min(epoch(ts))) / 2)::BIGINT FROM events)"
