@@ -800,14 +800,6 @@ def gzip_roundtrip(spark, d):
 def segment_roundtrip(spark, d):
     log = log_events(spark, d).select("slot", "seq", "aggregate_id", "version", "unix_time", "command_id", F.lit(0).cast("tinyint").alias("codec"), F.array(F.struct(F.col("event_type").alias("type"), F.encode("body", "UTF-8").alias("body"))).alias("events"))
 
-    def read(batches):
-        import pandas as pd
-
-        for batch in batches:
-            for content in batch["content"]:
-                slot, rows = codec.read_segment(content)
-                yield pd.DataFrame([(slot, seq, r.aggregate_id, r.version, r.unix_time, r.command_id, r.codec, [{"type": t, "body": b} for t, b in r.events]) for seq, r in rows], columns=["slot", "seq", "aggregate_id", "version", "unix_time", "command_id", "codec", "events"])
-
-    back = codec.to_segments(log).select("content").mapInPandas(read, codec.SEGMENT_ROWS)
+    back = codec.read_records(codec.to_segments(log))
     event = F.col("events")[0]
     return back.select("slot", "seq", "aggregate_id", "version", "unix_time", "command_id", event["type"].alias("type"), F.md5(event["body"]).alias("body_md5"))

@@ -143,49 +143,114 @@ def _batches(rows: Iterator[tuple], names: list[str], size: int = 2000) -> Itera
         yield pd.DataFrame(part, columns=names)
 
 
-def scan_segments(spark: SparkSession, path: str, from_seq: int = 1) -> DataFrame:
-    """Records of all segment files under a path, a task per group of files; torn tails are left out.
+#: Bytes of a piece: 10,000 rows, Spark's largest batch, have at most 80 MB.
+PIECE = 8 << 10
+
+
+class _Pieces:
+    """The pieces of segments, one after another, as files that are read forward; holds what is asked for."""
+
+    def __init__(self, batches: Iterator[pd.DataFrame]):
+        self.rows = (row for b in batches for row in zip(b["at"], b["size"], b["piece"], strict=True))
+        self.next = next(self.rows, None)
+
+    def files(self) -> Iterator[tuple[_Pieces, int]]:
+        """Each segment, with its size; what is left of it is passed over before the next."""
+        while self.next is not None:
+            self.rest, size = memoryview(b""), self.next[1]
+            self._take()
+            yield self, size
+            while self.next is not None and self.next[0] > 0:
+                self.next = next(self.rows, None)
+
+    def _take(self) -> None:
+        self.rest, self.next = memoryview(self.next[2]), next(self.rows, None)
+
+    def _forward(self, n: int) -> Iterator[memoryview]:
+        while n > 0:
+            if not self.rest:
+                if self.next is None or self.next[0] == 0:
+                    return
+                self._take()
+            part, self.rest = self.rest[:n], self.rest[n:]
+            n -= len(part)
+            yield part
 
-    For any file system Spark reads. A file is held whole (Spark's binary files are at most 2 GiB); the ``wal``
-    source holds one frame at a time.
+    def read(self, n: int) -> bytes:
+        return b"".join(self._forward(n))
+
+    def seek(self, n: int, whence: int = io.SEEK_CUR) -> None:
+        for _ in self._forward(n):
+            pass
+
+
+def pieces(files: DataFrame) -> DataFrame:
+    """at, size, piece: the contents of segment files (a column ``content``) cut into pieces, each file's in order.
+
+    A batch of whole segments that Python gets would have as many bytes as a task's partition.
     """
-    files = spark.read.format("binaryFile").load(path).select("content")
+    cut = files.select("content", F.explode(F.sequence(F.lit(0), F.greatest(F.length("content") - 1, F.lit(0)), F.lit(PIECE))).alias("at"))
+    return cut.select("at", F.length("content").alias("size"), F.substring("content", F.col("at") + 1, F.lit(PIECE)).alias("piece"))
+
+
+def read_records(files: DataFrame, from_seq: int = 1) -> DataFrame:
+    """The records of segment files (a column ``content``); one frame is held at a time."""
 
     def read(batches):
-        for batch in batches:
-            for content in batch["content"]:
-                slot, rows = read_segment(content)
-                out = ((slot, seq, r.aggregate_id, r.version, r.unix_time, r.command_id, r.codec, [{"type": t, "body": b} for t, b in r.events]) for seq, r in rows if seq >= from_seq)
-                yield from _batches(out, ["slot", "seq", "aggregate_id", "version", "unix_time", "command_id", "codec", "events"])
+        for file, size in _Pieces(batches).files():
+            slot, rows = read_stream(file, size)
+            out = ((slot, seq, r.aggregate_id, r.version, r.unix_time, r.command_id, r.codec, [{"type": t, "body": b} for t, b in r.events]) for seq, r in rows if seq >= from_seq)
+            yield from _batches(out, ["slot", "seq", "aggregate_id", "version", "unix_time", "command_id", "codec", "events"])
 
-    return files.mapInPandas(read, SEGMENT_ROWS)
+    return pieces(files).mapInPandas(read, SEGMENT_ROWS)
 
 
-def read_headers(data: bytes) -> tuple[int, Iterator[tuple]]:
-    """slot, and (seq, aggregate id, version, unix time, command id, offset, frame bytes) of each whole frame; bodies are not read."""
-    if len(data) < HEADER.size:
+def scan_segments(spark: SparkSession, path: str, from_seq: int = 1) -> DataFrame:
+    """Records of all segment files under a path, a task per group of files; torn tails are left out.
+
+    For any file system Spark reads. The JVM holds a file whole (Spark's binary files are at most 2 GiB), Python one
+    frame at a time, as the ``wal`` source does.
+    """
+    return read_records(spark.read.format("binaryFile").load(path).select("content"), from_seq)
+
+
+def header_stream(file: BinaryIO, size: int, frames: bool = False) -> tuple[int, Iterator[tuple]]:
+    """slot, and (seq, aggregate id, version, unix time, command id, offset, frame bytes) of each whole frame, read forward.
+
+    Bodies are passed over; with ``frames`` the encoded frame is the last field.
+    """
+    head = file.read(HEADER.size)
+    if len(head) < HEADER.size:
         raise Corrupt("no header")
-    magic, version, slot, seq = HEADER.unpack_from(data)
+    magic, version, slot, seq = HEADER.unpack(head)
     if magic != MAGIC or version not in FORMATS:
         raise Corrupt("not a segment")
 
     def walk():
         at, n = HEADER.size, seq
-        while at + 4 <= len(data):
-            (size,) = struct.unpack_from(">I", data, at)
-            if at + 4 + size > len(data):
+        while at + 4 <= size:
+            prefix = file.read(4)
+            (length,) = struct.unpack(">I", prefix)
+            if at + 4 + length > size:
                 return
-            r = _Reader(data[at + 4 : at + 4 + min(size, 2 * (2 + 65535) + 14)])
+            frame = file.read(length if frames else min(length, 2 * (2 + 65535) + 14))
+            r = _Reader(frame)
             try:
                 head = (r.take(r.number("H")).decode(), r.number("I"), r.number("q"), r.take(r.number("H")).decode())
             except (Corrupt, UnicodeDecodeError):
                 return
-            yield n, *head, at, size + 4
-            at, n = at + 4 + size, n + 1
+            file.seek(length - len(frame), io.SEEK_CUR)
+            yield (n, *head, at, length + 4, prefix + frame) if frames else (n, *head, at, length + 4)
+            at, n = at + 4 + length, n + 1
 
     return slot, walk()
 
 
+def read_headers(data: bytes) -> tuple[int, Iterator[tuple]]:
+    """``header_stream`` of a segment in memory."""
+    return header_stream(io.BytesIO(data), len(data))
+
+
 HEADER_ROWS = "slot int, seq long, aggregate_id string, version long, unix_time long, command_id string, offset long, bytes long"
 
 
@@ -193,24 +258,22 @@ def scan_headers(files: DataFrame) -> DataFrame:
     """The heads of all frames of segment files (a column ``content``): what an index or a range read is made of."""
 
     def read(batches):
-        for batch in batches:
-            for content in batch["content"]:
-                slot, rows = read_headers(content)
-                yield from _batches(((slot, *r) for r in rows), ["slot", "seq", "aggregate_id", "version", "unix_time", "command_id", "offset", "bytes"])
+        for file, size in _Pieces(batches).files():
+            slot, rows = header_stream(file, size)
+            yield from _batches(((slot, *r) for r in rows), ["slot", "seq", "aggregate_id", "version", "unix_time", "command_id", "offset", "bytes"])
 
-    return files.select("content").mapInPandas(read, HEADER_ROWS)
+    return pieces(files).mapInPandas(read, HEADER_ROWS)
 
 
 def scan_frames(files: DataFrame) -> DataFrame:
     """slot, seq, bytes and the encoded frame of every whole record."""
 
     def read(batches):
-        for batch in batches:
-            for content in batch["content"]:
-                slot, rows = read_headers(content)
-                yield from _batches(((slot, r[0], r[6], bytes(content[r[5] : r[5] + r[6]])) for r in rows), ["slot", "seq", "bytes", "frame"])
+        for file, size in _Pieces(batches).files():
+            slot, rows = header_stream(file, size, frames=True)
+            yield from _batches(((slot, r[0], r[6], r[7]) for r in rows), ["slot", "seq", "bytes", "frame"])
 
-    return files.select("content").mapInPandas(read, "slot int, seq long, bytes long, frame binary")
+    return pieces(files).mapInPandas(read, "slot int, seq long, bytes long, frame binary")
 
 
 def to_segments(log: DataFrame) -> DataFrame:

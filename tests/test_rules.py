@@ -494,3 +494,20 @@ def test_unreachable_holds_no_window_of_reports(spark, capsys):
     unreachable(many, peers, 100_000).explain()
     plan = capsys.readouterr().out
     assert "collect_set" not in plan and plan.index("Window") < plan.index("partial_max(at_ms")  # reports are reduced first
+
+
+def test_segments_reach_python_in_bounded_pieces(spark):
+    """Segments in one task, one of them empty but for its header, one torn, one broken inside, and one of a frame longer than a piece."""
+    long = [codec.Record("a", 1, 5, "c", [("t", b"x" * (3 * codec.PIECE + 7))]), codec.Record("b", 1, 5, "d", [("t", b"y")])]
+    whole = codec.segment(1, 1, RECORDS)
+    broken = bytearray(codec.segment(6, 1, RECORDS))
+    broken[codec.HEADER.size + 4 : codec.HEADER.size + 6] = b"\xff\xff"
+    contents = [whole, codec.segment(2, 1, []), codec.segment(3, 1, long)[:-1], bytes(broken), codec.segment(4, 9, long), whole[:-3] + b"", codec.segment(5, 1, RECORDS * 40)]
+    files = spark.createDataFrame([(bytearray(c),) for c in contents], "content binary").coalesce(1)
+    sizes = [len(r.piece) for r in codec.pieces(files).collect()]
+    assert max(sizes) <= codec.PIECE and sum(sizes) == sum(map(len, contents))
+    heads = [(slot, *h) for slot, rows in map(codec.read_headers, contents) for h in rows]
+    assert [tuple(r) for r in codec.scan_headers(files).collect()] == heads
+    assert [(r.slot, r.seq, bytes(r.frame)) for r in codec.scan_frames(files).collect()] == [(slot, h[0], c[h[5] : h[5] + h[6]]) for c in contents for slot, rows in [codec.read_headers(c)] for h in rows]
+    want = [(slot, seq, r.aggregate_id, [b for _, b in r.events]) for slot, rows in map(codec.read_segment, contents) for seq, r in rows]
+    assert [(r.slot, r.seq, r.aggregate_id, [bytes(e.body) for e in r.events]) for r in codec.read_records(files).collect()] == want
