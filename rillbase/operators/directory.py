@@ -20,9 +20,10 @@ def numbered(frames: DataFrame, keys: list[str] = KEY) -> DataFrame:
 
     Dealt by aggregate at once and put in order of version and seq, once: versions rarely repeat, so an aggregation would
     hold nearly all rows in each of its tables. The windows over versions that follow keep this order and deal.
+    All columns are in the order, so that plans that read this twice deal the same rows and share them.
     """
     rows = frames.where("version >= 1").select(*keys, "version", "seq", "unix_time").repartition(*keys)
-    return rows.withColumn("nth", F.row_number().over(Window.partitionBy(*keys, "version").orderBy(F.asc_nulls_last("seq"))))
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy(*keys, "version").orderBy(F.asc_nulls_last("seq"), "unix_time")))
 
 
 def first_frames(frames: DataFrame, keys: list[str] = KEY) -> DataFrame:
