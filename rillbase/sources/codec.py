@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 from typing import BinaryIO
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -313,20 +314,48 @@ def inflate(body: bytes) -> bytes:
     return out
 
 
+#: Bytes of bodies that are Python objects at a time.
+HELD = 4 << 20
+
+
+def _bodies(values: pa.Array, f, kind: pa.DataType) -> pa.Array:
+    """f of each body, nulls kept; only some megabytes are Python objects at a time, the rest stays in Arrow."""
+    done, part, held = [], [], 0
+    for v in values:
+        part.append(f(v) if v.is_valid else None)
+        made = part[-1]
+        held += len(made["body"] if isinstance(made, dict) else made or b"")
+        if held >= HELD:
+            done, part, held = [*done, pa.array(part, kind)], [], 0
+    return pa.chunked_array([*done, pa.array(part, kind)], kind).combine_chunks()
+
+
+_PACKED = pa.struct([("codec", pa.int32()), ("body", pa.binary())])
+
+
 def gzip_body(body: Column | str, floor: int) -> Column:
-    """struct(codec, body) of a one-event record."""
+    """struct(codec, body) of a one-event record; null for none."""
+
+    def one(v):
+        kind, (out,) = compress_bodies([v.as_py()], floor)
+        return {"codec": kind, "body": out}
 
-    @F.pandas_udf("struct<codec:int,body:binary>")
-    def pack(s: pd.Series) -> pd.DataFrame:
-        got = [compress_bodies([bytes(b)], floor) for b in s]
-        return pd.DataFrame({"codec": [c for c, _ in got], "body": [b[0] for _, b in got]})
+    @F.arrow_udf("struct<codec:int,body:binary>")
+    def pack(bodies: pa.Array) -> pa.Array:
+        return _bodies(bodies, one, _PACKED)
 
     return pack(body)
 
 
-def inflate_body(codec: Column | str, body: Column | str) -> Column:
-    @F.pandas_udf("binary")
-    def unpack(c: pd.Series, s: pd.Series) -> pd.Series:
-        return pd.Series([inflate(bytes(b)) if k == CODEC_GZIP else bytes(b) for k, b in zip(c, s, strict=True)])
+def inflate_body(packed: Column | str) -> Column:
+    """The body of a struct (codec, body). On ``gzip_body`` itself both run in one worker, which a struct's fields apart would not."""
+
+    @F.arrow_udf("binary")
+    def unpack(packed: pa.Array) -> pa.Array:
+        def one(v):
+            body = v["body"].as_py()
+            return inflate(body) if v["codec"].as_py() == CODEC_GZIP else body
+
+        return _bodies(packed, one, pa.binary())
 
-    return unpack(codec, body)
+    return unpack(packed)

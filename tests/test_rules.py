@@ -511,3 +511,17 @@ def test_segments_reach_python_in_bounded_pieces(spark):
     assert [(r.slot, r.seq, bytes(r.frame)) for r in codec.scan_frames(files).collect()] == [(slot, h[0], c[h[5] : h[5] + h[6]]) for c in contents for slot, rows in [codec.read_headers(c)] for h in rows]
     want = [(slot, seq, r.aggregate_id, [b for _, b in r.events]) for slot, rows in map(codec.read_segment, contents) for seq, r in rows]
     assert [(r.slot, r.seq, r.aggregate_id, [bytes(e.body) for e in r.events]) for r in codec.read_records(files).collect()] == want
+
+
+def test_gzip_of_columns_in_one_worker(spark, capsys):
+    """Null, empty, short, long and incompressible bodies come back; packing and unpacking are one step of the plan."""
+    from pyspark.sql import functions as F
+
+    bodies = [None, b"", b"x", b"ab" * 4000, random.Random(1).randbytes(5000), b"z" * codec.MAX_BODY, *[bytes([65 + i]) * codec.MAX_BODY for i in range(9)], None, b"end" * 900]
+    df = spark.createDataFrame([(i, None if b is None else bytearray(b)) for i, b in enumerate(bodies)], "i int, b binary").coalesce(1)
+    packed = df.select("i", codec.gzip_body("b", 1024).alias("p"))
+    assert [r.p and r.p.codec for r in packed.orderBy("i").collect()] == [None, 0, 0, 1, 0, *[1] * 10, None, 1]
+    back = packed.select("i", codec.inflate_body("p").alias("b"))
+    assert [None if r.b is None else bytes(r.b) for r in back.orderBy("i").collect()] == bodies
+    back.explain()
+    assert capsys.readouterr().out.count("ArrowEvalPython") == 1
