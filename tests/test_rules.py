@@ -525,3 +525,46 @@ def test_gzip_of_columns_in_one_worker(spark, capsys):
     assert [None if r.b is None else bytes(r.b) for r in back.orderBy("i").collect()] == bodies
     back.explain()
     assert capsys.readouterr().out.count("ArrowEvalPython") == 1
+
+
+def test_directories_put_frames_in_order_once(spark, capsys):
+    """No aggregation holds a task's frames, and they are dealt and sorted once, however many columns are derived."""
+    df = frames(spark, [(i, f"a{i % 3}", i // 3 + 1) for i in range(40)])
+    for made in (directory.directory(df), directory.withheld(df), directory.tails(df), directory.standing(df)):
+        capsys.readouterr()
+        made.explain()
+        plan = capsys.readouterr().out
+        assert "Aggregate" not in plan and plan.count("Exchange") == plan.count("Sort [") == 1, plan
+    capsys.readouterr()
+    directory.stalled(df).explain()
+    keys = [x.split("functions=")[0] for x in capsys.readouterr().out.splitlines() if "Aggregate(key" in x]
+    assert keys and not any("aggregate_id" in k for k in keys)
+
+
+def test_sums_of_an_aggregate_agree_with_plain_ones(spark):
+    """Directories, tails, claims, withheld and stalled streams of random frames with replays, gaps and versions below 1, in plain Python."""
+    rng = random.Random(9)
+    rows = [(rng.choice("abcdef"), rng.randrange(-1, 9)) for _ in range(90)]
+    f = frames(spark, [(s, a, v) for s, (a, v) in enumerate(rows, 1)])
+    first = {}
+    for s, (a, v) in enumerate(rows, 1):
+        if v >= 1:
+            first.setdefault((a, v), s)
+    ids = {a for a, _ in first}
+    top = {a: next(v for v in range(99) if (a, v + 1) not in first) for a in ids}
+    late = {a: [s for (b, v), s in first.items() if b == a and v > top[a]] for a in ids}
+    last = {a: max(s for s, (b, _) in enumerate(rows, 1) if b == a) for a in {a for a, _ in rows}}
+    assert {(r.aggregate_id, r.version): r.seq for r in directory.directory(f).collect()} == {k: s for k, s in first.items() if k[1] <= top[k[0]]}
+    assert {r.aggregate_id: r.version for r in directory.tails(f).collect()} == top
+    assert {(r.aggregate_id, r.claim, r.resolvable) for r in directory.standing(f).collect()} == {(a, max(v for b, v in first if b == a), top[a]) for a in ids if top[a]}
+    want = {(a, max(late[a]), len(late[a])) for a in ids if late[a] and any(last[b] > max(late[a]) for b in last if b != a)}
+    assert {(r.aggregate_id, r.held_seq, r.withheld) for r in directory.stalled(f).collect()} == want
+
+
+def test_lookups_of_repeated_ids(spark):
+    from rillbase.operators import surface
+
+    d = spark.createDataFrame([(s, "a", v, 10 * s + v, 50 - s) for s in (1, 2) for v in range(1, 6)], "slot int, aggregate_id string, version long, seq long, unix_time long")
+    asked = spark.createDataFrame([("a", 4), ("a", 4), ("a", 6), ("b", 1)], "aggregate_id string, version long")
+    got = surface.find_versions(surface.aggregate_index(d, 2), asked).select("aggregate_id", "version", "seq", "unix_time")
+    assert sorted(map(tuple, got.collect())) == [("a", 4, 24, 49), ("a", 6, None, None), ("b", 1, None, None)]
