@@ -50,8 +50,12 @@ def log_events(spark: SparkSession, sf_dir: str, gen: int = 3) -> DataFrame:
 
 
 def frames_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames with gaps, duplicates and out-of-order versions: orders are aggregates, line numbers versions, one slot of four by order key."""
-    order = [F.col(c) for c in ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax")]
+    """Frames with gaps, duplicates and out-of-order versions: orders are aggregates, line numbers versions, one slot of four by order key.
+
+    All of a frame but its seq follows from date, key and line: rows that agree in them make equal frames, whatever their
+    order, so the further columns that would order them are not read, dealt or sorted.
+    """
+    order = [F.col(c) for c in ("l_shipdate", "l_orderkey", "l_linenumber")]
     rows = table(spark, sf_dir, "lineitem").withColumn("slot", (F.col("l_orderkey") % 4).cast("int"))
     numbered = assign_seq(rows, "slot", order, F.struct("l_shipdate", F.shiftright("l_orderkey", 32).alias("keys")))
     return numbered.select("slot", "seq", F.concat(F.lit("ord-"), F.col("l_orderkey")).alias("aggregate_id"), F.col("l_linenumber").cast("long").alias("version"), F.unix_seconds(F.col("l_shipdate").cast("timestamp")).alias("unix_time"))
