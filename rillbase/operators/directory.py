@@ -6,11 +6,13 @@ that claims a version has it. Later frames of that version are replays. Versions
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import MAX_WITHHELD
-from .append import ordered_fold
 
 KEY = ["slot", "aggregate_id"]
 
@@ -37,37 +39,50 @@ def directory(frames: DataFrame) -> DataFrame:
     return first_frames(frames).withColumn("rn", number).where("rn = version").drop("rn")
 
 
+def _changes(column: pa.Array) -> np.ndarray:
+    """Whether each value but the first differs from the one before; nulls are equal."""
+    now, then = column[1:], column[:-1]
+    return pc.coalesce(pc.not_equal(now, then), pc.xor(pc.is_null(now), pc.is_null(then))).to_numpy(zero_copy_only=False)
+
+
 def capped_directory(frames: DataFrame, cap: int = MAX_WITHHELD) -> DataFrame:
     """The directory where an aggregate remembers at most ``cap`` versions beyond a gap at a time; others stay in the log only.
 
-    Aggregates of at most ``cap`` versions can't reach it and go the native way; the others are folded in seq order. Both
-    read the same frames, dealt by aggregate once.
+    One pass over frames dealt by aggregate and sorted by seq. Rows go by as Arrow batches: only versions are looked at one
+    by one, adopted rows are taken from the batch by place, and what is remembered at its end goes before the next batch.
     """
-    w = Window.partitionBy(*KEY).orderBy("version").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = numbered(frames).withColumn("n", F.count(F.when(F.col("nth") == 1, 1)).over(w))
-    small = rows.where((F.col("n") <= cap) & (F.col("nth") == 1)).withColumn("rn", F.row_number().over(Window.partitionBy(*KEY).orderBy("version")))
-
-    def make():
-        last, held = 0, {}
-
-        def step(version, seq, unix_time):
-            nonlocal last
-            out = []
-            if version == last + 1:
-                last = version
-                out.append((version, seq, unix_time))
-                while last + 1 in held:
-                    last += 1
-                    out.append((last, *held.pop(last)))
-            elif version > last and len(held) < cap:
-                held.setdefault(version, (seq, unix_time))
-            return ([{"version": v, "seq": s, "unix_time": t} for v, s, t in out],)
-
-        return step
-
-    folded = ordered_fold(rows.where(F.col("n") > cap), KEY, ["seq"], ["version", "seq", "unix_time"], KEY, "adopted array<struct<version:long,seq:long,unix_time:long>>", make)
-    folded = folded.select(*KEY, F.explode("adopted").alias("a")).select(*KEY, "a.version", "a.seq", "a.unix_time")
-    return small.where("rn = version").select(*folded.columns).unionByName(folded)
+    long = [F.col(c).cast("long").alias(c) for c in ("version", "seq", "unix_time")]
+    rows = frames.where("version >= 1").select(*KEY, *long).repartition(*KEY).sortWithinPartitions(*KEY, F.asc_nulls_last("seq"), "unix_time")
+
+    def run(batches):
+        before, last, held, kept = None, 0, {}, None  # held: place of each remembered version in kept and the batch after it
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids = [b.column(i) for i in range(len(KEY))]
+            first = [tuple(c[0].as_py() for c in ids) != before]
+            new = first + np.logical_or.reduce([_changes(c) for c in ids]).tolist()
+            before = tuple(c[-1].as_py() for c in ids)
+            start, out = 0, []
+            if held:
+                start, b = kept.num_rows, pa.Table.from_batches([kept, b]).combine_chunks().to_batches()[0]
+            for i, (version, other) in enumerate(zip(b.column(len(KEY))[start:].to_pylist(), new, strict=True), start):
+                if other:
+                    last, held = 0, {}
+                if version == last + 1:
+                    last = version
+                    out.append(i)
+                    while last + 1 in held:
+                        last += 1
+                        out.append(held.pop(last))
+                elif version > last and len(held) < cap:
+                    held.setdefault(version, i)
+            if out:
+                yield b.take(pa.array(out, pa.int64()))
+            kept = b.take(pa.array(list(held.values()), pa.int64()))
+            held = {version: i for i, version in enumerate(held)}
+
+    return rows.mapInArrow(run, rows.schema)
 
 
 def standing(frames: DataFrame) -> DataFrame:
