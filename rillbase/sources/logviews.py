@@ -17,7 +17,8 @@ def assign_seq(df: DataFrame, slot: str, order: list[Column], *buckets: Column,
 
     Each of ``buckets``, from coarse to fine, must not fall as ``order`` rises within the coarser ones. Rows are numbered
     within the finest and shifted by the counts of buckets before, level by level, so no window holds a slot's rows, nor
-    more than one coarser bucket's buckets.
+    more than one coarser bucket's buckets. Counts meet rows where these are, by a merge: a narrow table looks small enough
+    to be broadcast, and would then be put in order in the few tasks that the counts have.
     """
     names = [f"seq_bucket{i}" for i in range(len(buckets))]
     cut = df.select("*", *[b.alias(n) for b, n in zip(buckets, names, strict=True)])
@@ -30,7 +31,7 @@ def assign_seq(df: DataFrame, slot: str, order: list[Column], *buckets: Column,
         before = before.join(level, [slot, *names[: i + 1]]).withColumn("seq_base", F.col("seq_base") + F.col("seq_earlier")).drop("seq_earlier")
     before = before.drop("seq_n")
     local = F.row_number().over(Window.partitionBy(slot, *names).orderBy(*order))
-    return cut.withColumn("seq_local", local).join(before, [slot, *names]).withColumn(out, (F.col("seq_base") + F.col("seq_local")).cast("long")).drop(*names, "seq_base", "seq_local")
+    return cut.withColumn("seq_local", local).join(before.hint("merge"), [slot, *names]).withColumn(out, (F.col("seq_base") + F.col("seq_local")).cast("long")).drop(*names, "seq_base", "seq_local")
 
 
 def log_events(spark: SparkSession, sf_dir: str, gen: int = 3) -> DataFrame:

@@ -613,3 +613,14 @@ def test_the_capped_hold_is_one_pass(spark, capsys):
     directory.capped_directory(f, 1).explain()
     plan = capsys.readouterr().out
     assert plan.count("Exchange") == plan.count("Sort [") == 1 and "Window" not in plan and "Union" not in plan
+
+
+def test_rows_are_not_broadcast_to_their_counts(spark, sf, capsys):
+    """However small a table looks, its rows stay dealt by slot and bucket while they are numbered."""
+    from rillbase.sources.logviews import frames_lineitem, log_events
+
+    for rows in (log_events(spark, sf), frames_lineitem(spark, sf)):
+        capsys.readouterr()
+        rows.select("slot", "seq").explain()
+        plan = capsys.readouterr().out
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
